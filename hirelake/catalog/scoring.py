@@ -66,7 +66,8 @@ def scored(s: Stage) -> DataFrame:
 
 
 def per_skill(s: Stage) -> DataFrame:
-    return scored(s).select("application_id", F.explode("per_skill").alias("x")).select("application_id", "x.*")
+    # inline_outer: a plain explode makes Spark evaluate the array again for the filter it infers
+    return scored(s).select("application_id", F.inline_outer("per_skill")).where("jd_skill is not null")
 
 
 def score_view(df: DataFrame) -> DataFrame:
@@ -145,10 +146,10 @@ def _(s):
         s.applications.select("application_id", "job_id", "resume_id"),
         scoring.job_arrays(scoring.clean_jd(s.jd_skills), s.vectors, 64),
         scoring.resume_arrays(scoring.best_tier(s.resume_skills), s.vectors, 64), scoring.Weights())
-    return (df.select("application_id", F.explode(F.arrays_zip("jd", "cands")).alias("z"))
-            .select("application_id", F.col("z.jd").alias("jd_skill"), F.explode("z.cands").alias("x"))
-            .select("application_id", "jd_skill", F.col("x.skill").alias("resume_skill"), F.round("x.sim", 6).alias("similarity"),
-                    F.round("x.c", 6).alias("credit"), F.col("x.weight").alias("weight")))
+    return (df.select("application_id", F.inline_outer(F.arrays_zip("jd", "cands")))
+            .select("application_id", F.col("jd").alias("jd_skill"), F.inline_outer("cands")).where("skill is not null")
+            .select("application_id", "jd_skill", F.col("skill").alias("resume_skill"), F.round("sim", 6).alias("similarity"),
+                    F.round("c", 6).alias("credit"), "weight"))
 
 
 @query("top2_evidence", _PAIRS + "SELECT application_id, jd_skill, round(e1, 6) AS e1, round(e2, 6) AS e2, round(u, 6) AS u FROM per")

@@ -222,6 +222,23 @@ SELECT doc_id, CAST(pos AS BIGINT) AS line_no, CAST(floor(pos / 10) AS BIGINT) A
        CASE WHEN pos % 10 = 0 THEN 'Header ' || CAST(doc_id AS STRING) ELSE trim(line) END AS line
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
              unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)"""),
+        # lines of the resume-like and job-like documents
+        **{f"v_{kind}_lines": (f"""
+SELECT doc_id, CAST(pos AS BIGINT) AS line_no, line FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM v_{kind}_docs)"""
+            if d == SPARK else f"""
+SELECT doc_id, CAST(pos AS BIGINT) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+  unnest(range(len(string_split(text, chr(10))))) AS pos FROM v_{kind}_docs)""") for kind in ("resume", "job")},
+        # three text blocks per document, and skills listed under a block that may not hold them
+        "v_blocks": ("""
+SELECT doc_id, source, """ + ("array_join(transform(sort_array(collect_list(struct(line_no, line))), x -> x.line), '\\n')" if d == SPARK
+                                else "string_agg(line, chr(10) ORDER BY line_no)") + """ AS text
+FROM (SELECT *, CASE line_no % 3 WHEN 0 THEN 'skills_section' WHEN 1 THEN 'work_experience' ELSE 'projects' END AS source FROM v_resume_lines)
+GROUP BY doc_id, source"""),
+        "v_block_skills": """
+SELECT doc_id, CASE (line_no + line_no % 2) % 3 WHEN 0 THEN 'skills_section' WHEN 1 THEN 'work_experience' ELSE 'projects' END AS source,
+       CASE line_no % 4 WHEN 0 THEN split_part(line, ' ', 1) WHEN 1 THEN split_part(line, ' ', 2) WHEN 2 THEN upper(split_part(line, ' ', 1))
+            ELSE 'zz' || CAST(line_no % 8 AS STRING) END AS skill, line_no AS pos
+FROM v_resume_lines WHERE line <> '' AND split_part(line, ' ', 2) <> '' AND line_no < 60""",
         "v_gold": "SELECT DISTINCT resume_id AS file, skill FROM v_resume_skills WHERE source IN ('skills_section', 'work_experience')",
         "v_pred": "SELECT DISTINCT resume_id AS file, skill FROM v_resume_skills WHERE source IN ('work_experience', 'projects')",
     }

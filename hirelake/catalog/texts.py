@@ -408,10 +408,12 @@ def _(s):
     return s.resumes.select("resume_id", t.file_stem(F.col("original_filename")).alias("stem"))
 
 
-@query("eval_normalize",
-       "SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(translate(text, '’‘“”–—', '''''\"\"--'), '[•●▪]', ' ', 'g'), '\\s+', ' ', 'g')))) AS hash FROM documents")
+_EVN = r"regexp_replace(translate(line, '’‘“”–—', chr(39) || chr(39) || '""--'), '^\s*(?:\(cid:\d+\)|[-*•●>]|\d{1,2}[.)]\s)\s*', '')"
+
+
+@query("eval_normalize", f"SELECT doc_id, line_no, md5(trim(regexp_replace(lower({_squeeze(_EVN)}), ':+$', ''))) AS hash FROM v_job_lines")
 def _(s):
-    return s.table("documents").select("doc_id", F.md5(t.eval_normalize(F.col("text"))).alias("hash"))
+    return s.job_lines.select("doc_id", "line_no", F.md5(t.eval_normalize(F.col("line"))).alias("hash"))
 
 
 @query("format_label", "SELECT DISTINCT upper(substr(status, 1, 1)) || replace(substr(status, 2), '_', ' ') AS label FROM v_applications")

@@ -168,14 +168,15 @@ def compact_heading(text: Column) -> Column:
 
 
 def file_stem(name: Column) -> Column:
-    """File name without extension and without a copy mark like ' (2)'."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"\s*\(\d+\)$", ""))
+    """Lower-case file name without extension and without a copy mark like ' (2)'."""
+    return F.lower(F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), r"\s*\(\d+\)$", ""))
 
 
 def eval_normalize(text: Column) -> Column:
-    """Plain quotes and dashes, no bullets, blanks collapsed, lower case."""
-    t = F.translate(text, "’‘“”–—", "''\"\"--")
-    return F.lower(squeeze(F.regexp_replace(t, "[•●▪]", " ")))
+    """Plain quotes and dashes, no leading bullet, blanks collapsed, no trailing colon, lower case."""
+    t = F.translate(F.coalesce(text, F.lit("")), "’‘“”–—", "''\"\"--")
+    t = F.regexp_replace(t, r"^\s*(?:\(cid:\d+\)|[-*•●>]|\d{1,2}[.)](?=\s))\s*", "")
+    return F.trim(F.regexp_replace(F.lower(squeeze(t)), ":+$", ""))
 
 
 def format_label(value: Column) -> Column:

@@ -106,7 +106,7 @@ def _(s):
 i AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS step, sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) AS inc FROM d GROUP BY 1, 2)
 SELECT event_type, step, round(sum(inc) OVER (PARTITION BY event_type ORDER BY step RANGE BETWEEN 10800 PRECEDING AND CURRENT ROW), 4) AS increase FROM i""")
 def _(s):
-    return ops.counter_rate(s.table("events"), ["event_type"], 14400, 3600).withColumn("increase", F.round("increase", 4))
+    return ops.counter_rate(s.table("events"), ["event_type"], ["ts", "event_id"], 14400, 3600).withColumn("increase", F.round("increase", 4))
 
 
 @query("alert_hold", """WITH c AS (SELECT *, value > 10 AS c FROM events), l AS (SELECT *, CASE WHEN lag(c) OVER w = c THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),

@@ -408,7 +408,7 @@ def _(s):
     return s.resumes.select("resume_id", t.file_stem(F.col("original_filename")).alias("stem"))
 
 
-_EVN = r"regexp_replace(translate(line, '’‘“”–—', chr(39) || chr(39) || '""--'), '^\s*(?:\(cid:\d+\)|[-*•●>]|\d{1,2}[.)]\s)\s*', '')"
+_EVN = r"regexp_replace(translate(line, '’‘“”–—', chr(39) || chr(39) || repeat(chr(34), 2) || '--'), '^\s*(?:\(cid:\d+\)|[-*•●>]|\d{1,2}[.)]\s)\s*', '')"
 
 
 @query("eval_normalize", f"SELECT doc_id, line_no, md5(trim(regexp_replace(lower({_squeeze(_EVN)}), ':+$', ''))) AS hash FROM v_job_lines")

@@ -93,13 +93,13 @@ def fixed_window_limit(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
     return ranked.withColumn("allowed", F.col("n") <= limit)
 
 
-def counter_rate(series: DataFrame, keys: list[str], window: int, step: int = 60) -> DataFrame:
+def counter_rate(series: DataFrame, keys: list[str], order: list[str], window: int, step: int = 60) -> DataFrame:
     """Increase of a counter over the last ``window`` seconds at each ``step``, with resets.
 
     A fall counts as restart from zero.  Increases are summed per step first,
     so the window runs over a time grid.  No extrapolation at the edges.
     """
-    d = lag_rows(series, keys, ["ts", "event_id"], F.to_date("ts"), {"value": "prev"})
+    d = lag_rows(series, keys, order, F.to_date("ts"), {"value": "prev"})
     inc = F.when(F.col("prev").isNull(), 0.0).when(F.col("value") < F.col("prev"), F.col("value")).otherwise(F.col("value") - F.col("prev"))
     grid = (
         d.withColumn("step", (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / step) * step).cast("bigint"))
@@ -109,13 +109,20 @@ def counter_rate(series: DataFrame, keys: list[str], window: int, step: int = 60
     return grid.select(*keys, "step", F.sum("inc").over(w).alias("increase"))
 
 
-def alert_hold(series: DataFrame, keys: list[str], cond: Column, hold: int, order: list[str]) -> DataFrame:
-    """Rows where ``cond`` has held without a break for ``hold`` seconds; ``since`` is the start of the run."""
+def alert_hold(series: DataFrame, keys: list[str], cond: Column, hold: int | Column, order: list[str], max_gap: int | None = None) -> DataFrame:
+    """Rows where ``cond`` has held without a break for ``hold`` seconds; ``since`` is the start of the run.
+
+    A pause longer than ``max_gap`` seconds between samples also breaks a run.
+    """
     d = series.withColumn("_c", F.coalesce(cond, F.lit(False)))
-    runs = islands(d, keys, order, "ts", F.to_date("ts"), F.col("_c") != F.col("_pc"), {"_c": "_pc"}, "_run").where("_c")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    starts = F.col("_c") != F.col("_pc")
+    if max_gap is not None:
+        starts = starts | (micros("ts") - micros("_pt") > max_gap * 1_000_000)
+    runs = islands(d, keys, order, "ts", F.to_date("ts"), starts, {"_c": "_pc", "ts": "_pt"}, "_run").where("_c")
     start = runs.groupBy(*keys, "_run").agg(F.min("ts").alias("since"))
-    held = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("since").cast("timestamp"))
-    return runs.join(start, [*keys, "_run"]).where(held >= hold * 1_000_000).drop("_c", "_pc", "_run")
+    held = micros("ts") - micros("since")
+    return runs.join(start, [*keys, "_run"]).where(held >= F.lit(hold).cast("bigint") * 1_000_000).drop("_c", "_pc", "_pt", "_run")
 
 
 def token_estimate(prompt_len: Column, doc_len: Column) -> Column:

@@ -263,6 +263,8 @@ def with_views(sql: str, d: str = DUCK) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[d][n]})" for n in names)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

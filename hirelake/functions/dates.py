@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let, squeeze
+
 # Markers of an open end, the first year taken as real, number words, plausibility bound.
 CURRENT_MARKERS = ("present", "current", "currently", "now", "ongoing", "till date", "to date")
 MIN_YEAR = 1970
@@ -76,13 +78,13 @@ def format_months(months: Column) -> Column:
 
 
 def find_ranges(text: Column) -> Column:
-    """array<struct<start, end>> of the date ranges in a text; an open end reads 'Present'."""
-    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    group = lambda i: F.regexp_extract_all(text, F.lit(RANGE), F.lit(i))
-    return F.transform(
-        F.arrays_zip(group(1).alias("s"), group(2).alias("e"), group(3).alias("c")),
-        lambda x: F.struct(squeeze(x["s"]).alias("start"),
-                           F.when(F.length(x["c"]) > 0, "Present").otherwise(squeeze(x["e"])).alias("end")))
+    """array<struct<start, end>> of the date ranges in a text; an open end reads 'Present'.
+
+    One pass over the text finds the ranges; only the short matches are taken apart.
+    """
+    part = lambda x, k: squeeze(F.regexp_extract(x, RANGE, k))
+    return F.transform(F.regexp_extract_all(text, F.lit(RANGE), F.lit(0)), lambda x: F.struct(
+        part(x, 1).alias("start"), F.when(F.regexp_extract(x, RANGE, 3) != "", "Present").otherwise(part(x, 2)).alias("end")))
 
 
 def find_mentions(text: Column) -> Column:
@@ -91,19 +93,16 @@ def find_mentions(text: Column) -> Column:
     Matches are marked by two control characters and the text is split there,
     so every match sits at an odd place with its context on both sides.
     """
-    plain = F.translate(text, "\u0001\u0002", "  ")
-    parts = F.split(F.regexp_replace(plain, MENTION, "\u0001$0\u0002"), "[\u0001\u0002]")
-    places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
 
-    def context(i: Column) -> Column:
+    def context(parts: Column, i: Column) -> Column:
         head = F.array_join(F.slice(parts, 1, i), "")
         tail = F.array_join(F.slice(parts, i + 2, F.size(parts)), "")
-        return F.struct(
-            F.get(parts, i).alias("m"), F.right(head, F.lit(50)).alias("before"),
-            F.get(F.split(F.substring(tail, 1, 80), "\n\n"), F.lit(0)).alias("after"),
-            F.slice(F.concat(F.array(F.lit("")), F.split(head, "\n")), -2, 2).alias("lines"),
-            F.get(F.split(tail, "\n"), F.lit(0)).alias("rest"),
-        )
+        return let(F.struct(head.alias("h"), tail.alias("t")), lambda v: F.struct(
+            F.get(parts, i).alias("m"), F.right(v["h"], F.lit(50)).alias("before"),
+            F.get(F.split(F.substring(v["t"], 1, 80), "\n\n"), F.lit(0)).alias("after"),
+            F.slice(F.concat(F.array(F.lit("")), F.split(v["h"], "\n")), -2, 2).alias("lines"),
+            F.substring_index(v["t"], "\n", 1).alias("rest"),
+        ))
 
     def read(c: Column) -> Column:
         g = lambda k: F.nullif(F.regexp_extract(c["m"], MENTION, k), F.lit(""))
@@ -119,5 +118,10 @@ def find_mentions(text: Column) -> Column:
         window = F.regexp_replace(F.concat_ws(" ", c["before"], c["m"], c["after"]), "\n", " ")
         return window.rlike(CUE) & ~c["before"].rlike(NOT_BEFORE) & ~c["after"].rlike(NOT_AFTER)
 
-    found = F.transform(F.filter(F.transform(places, context), real), read)
+    def all_of(parts: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
+        return F.transform(F.filter(F.transform(places, lambda i: context(parts, i)), real), read)
+
+    plain = F.translate(text, "\u0001\u0002", "  ")
+    found = let(F.split(F.regexp_replace(plain, MENTION, "\u0001$0\u0002"), "[\u0001\u0002]"), all_of)
     return F.filter(found, lambda x: x["min_months"] <= MAX_MONTHS)

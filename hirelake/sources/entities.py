@@ -42,3 +42,13 @@ def lookup_many(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return keys.join(df.withColumn("_hit", F.lit(True)), key, "left").withColumn(
         "found", F.coalesce("_hit", F.lit(False))
     ).drop("_hit")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work on a scan with few splits.
+
+    A table of many files already has more splits than cores and is left as
+    it is; only a small one (one file, one row group) is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .entities import SCHEMAS, read_entity
+from .entities import SCHEMAS, read_entity, spread
 
 SPARK, DUCK = "spark", "duck"
 
@@ -283,7 +283,8 @@ class Stage:
         full = with_views(text, SPARK)
         for name in SCHEMAS:
             if re.search(rf"\b{name}\b", full):
-                self.table(name).createOrReplaceTempView(name)
+                table = self.table(name)
+                (spread(table) if name == "documents" else table).createOrReplaceTempView(name)
         return self.spark.sql(full)
 
     def __getattr__(self, name: str) -> DataFrame:

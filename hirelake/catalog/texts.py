@@ -100,7 +100,7 @@ _RNG = f"""r AS (SELECT doc_id, line_no, regexp_extract(line, '^([A-Z][a-z][a-z]
 
 @query("extract_ranges", f"WITH {_RNG} SELECT doc_id, g.a AS range_start, g.b AS range_end FROM r")
 def _(s):
-    return s.resume_docs.select("doc_id", F.inline(d.find_ranges(F.col("text")))).select("doc_id", F.col("start").alias("range_start"), F.col("end").alias("range_end"))
+    return s.resume_docs.select("doc_id", F.inline_outer(d.find_ranges(F.col("text")))).where("start is not null").select("doc_id", F.col("start").alias("range_start"), F.col("end").alias("range_end"))
 
 
 # every injected job text line that states a duration, with the context that makes it a preference
@@ -112,12 +112,12 @@ WHERE regexp_matches(line, '^- At least [0-9]+\\+ years of experience|^Ideally [
 
 @query("extract_mentions", f"SELECT doc_id, min_months, preferred FROM ({_MEN})")
 def _(s):
-    return s.job_docs.select("doc_id", F.inline(d.find_mentions(F.col("text")))).select("doc_id", "min_months", "preferred")
+    return s.job_docs.select("doc_id", F.inline_outer(d.find_mentions(F.col("text")))).where("min_months is not null").select("doc_id", "min_months", "preferred")
 
 
 @query("preferred_context", f"SELECT doc_id, min_months FROM ({_MEN}) WHERE preferred")
 def _(s):
-    return s.job_docs.select("doc_id", F.inline(d.find_mentions(F.col("text")))).where("preferred").select("doc_id", "min_months")
+    return s.job_docs.select("doc_id", F.inline_outer(d.find_mentions(F.col("text")))).where("preferred").select("doc_id", "min_months")
 
 
 @query("min_experience", f"""SELECT d.doc_id, CAST(max(m.min_months) FILTER (NOT preferred) AS INT) AS min_months,
@@ -277,8 +277,8 @@ s AS (SELECT *, last_value(kind IGNORE NULLS) OVER w AS section, last_value(CASE
 @query("partition_sections", _SECT + f"""SELECT doc_id, CAST(ordinal - 1 AS INT) AS pos, section AS kind, heading, CAST(count(*) FILTER (kind IS NULL) AS INT) AS n_lines,
  md5(coalesce(string_agg(line, {NL} ORDER BY line_no) FILTER (kind IS NULL), '')) AS hash FROM s WHERE ordinal > 0 GROUP BY 1, 2, 3, 4""")
 def _(s):
-    df = sec.partition_sections(s.resume_docs).select("doc_id", F.posexplode("sections").alias("pos", "x"))
-    return df.select("doc_id", "pos", "x.kind", "x.heading", F.size("x.lines").alias("n_lines"), F.md5(F.array_join("x.lines", "\n")).alias("hash"))
+    df = sec.partition_sections(s.resume_docs).select("doc_id", F.posexplode_outer(F.transform("sections", lambda x: F.struct(x["kind"].alias("kind"), x["heading"].alias("heading"), F.size(x["lines"]).alias("n_lines"), F.md5(F.array_join(x["lines"], "\n")).alias("hash")))).alias("pos", "x")).where("pos is not null")
+    return df.select("doc_id", "pos", F.struct("x.*").alias("x")).select("doc_id", "pos", "x.*")
 
 
 @query("collect_sections", _SECT + f"""SELECT d.doc_id, k.kind, count(s.doc_id) > 0 AS found, arg_min(s.heading, s.line_no) AS heading,
@@ -287,7 +287,7 @@ FROM v_resume_docs d CROSS JOIN (VALUES ('experience'), ('projects')) k(kind) LE
 def _(s):
     df = sec.partition_sections(s.resume_docs)
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), sec.collect_section("sections", k).alias("x")) for k in ("experience", "projects")])
-    return df.select("doc_id", F.explode(kinds).alias("r")).select("doc_id", "r.kind", "r.x.found", "r.x.heading", F.md5("r.x.section_text").alias("hash"))
+    return df.select("doc_id", F.inline_outer(kinds)).select("doc_id", "kind", "x.found", "x.heading", F.md5("x.section_text").alias("hash"))
 
 
 _TRIML = _trim("line")
@@ -316,7 +316,7 @@ def _(s):
 @query("join_wrapped")
 def _(s):
     df = sec.requirements_section(s.job_docs)
-    return df.select("doc_id", F.posexplode(sec.join_wrapped(F.split("requirements.section_text", "\n"))).alias("pos", "item"))
+    return df.select("doc_id", F.posexplode_outer(sec.join_wrapped(F.split("requirements.section_text", "\n"))).alias("pos", "item")).where("pos is not null")
 
 
 _CAND = """SELECT doc_id, line_no, length(line) % 2 AS priority, (length(line) * 7) % 11 AS confidence, CAST(floor(line_no / 10) AS BIGINT) AS page, line_no % 3 AS detector_rank FROM v_job_lines WHERE line <> ''"""
@@ -363,8 +363,8 @@ _NSK = "SELECT *, lower(trim(regexp_replace(skill, '\\s+', ' ', 'g'))) AS norm F
 @query("ground_skills", f"""SELECT k.doc_id, k.source, k.skill FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source, norm ORDER BY pos) AS rn FROM ({_NSK})) k
 JOIN ({_NTXT}) b ON b.doc_id = k.doc_id AND b.source = k.source WHERE rn = 1 AND contains(b.txt, k.norm)""")
 def _(s):
-    df = blocks(s).select("doc_id", "blocks", F.explode("skills").alias("source", "l"))
-    return df.select("doc_id", "source", F.explode(ex.ground(F.col("l"), F.try_element_at("blocks", "source"))["kept"]).alias("skill"))
+    df = blocks(s).select("doc_id", "blocks", F.explode_outer("skills").alias("source", "l"))
+    return df.select("doc_id", "source", F.explode_outer(ex.ground(F.col("l"), F.try_element_at("blocks", "source"))["kept"]).alias("skill")).where("skill is not null")
 
 
 _WORD = "regexp_matches(' ' || b.txt || ' ', '[^a-z0-9+#]' || regexp_replace(k.norm, '([\\\\.\\[\\]{}()*+?^$|#&-])', '\\\\\\1', 'g') || '[^a-z0-9+#]')"
@@ -372,8 +372,8 @@ _WORD = "regexp_matches(' ' || b.txt || ' ', '[^a-z0-9+#]' || regexp_replace(k.n
 
 @query("whole_word_skills", f"SELECT DISTINCT k.doc_id, k.norm AS skill, b.source FROM ({_NSK}) k JOIN ({_NTXT}) b ON b.doc_id = k.doc_id WHERE {_WORD}")
 def _(s):
-    df = blocks(s).select("doc_id", "blocks", F.explode(ex.merge(F.col("skills"))).alias("skill")).withColumn("skill", normalize_ws(F.col("skill")))
-    return (df.select("doc_id", "skill", F.explode("blocks").alias("source", "text"))
+    df = blocks(s).select("doc_id", "blocks", F.explode_outer(ex.merge(F.col("skills"))).alias("skill")).where("skill is not null").withColumn("skill", normalize_ws(F.col("skill")))
+    return (df.select("doc_id", "skill", F.explode_outer("blocks").alias("source", "text"))
             .where(ex.contains_word(ex.block_text(F.col("text")), F.col("skill"))).select("doc_id", "skill", "source"))
 
 
@@ -384,13 +384,13 @@ _ROUTED = f"""SELECT k.doc_id, k.pos, k.skill, k.norm, k.source AS old, coalesce
 
 @query("reroute_skills", f"SELECT doc_id, source, skill FROM ({_ROUTED})")
 def _(s):
-    return blocks(s).select("doc_id", F.inline(ex.reroute(F.col("skills"), F.col("blocks"))))
+    return blocks(s).select("doc_id", F.inline_outer(ex.reroute(F.col("skills"), F.col("blocks")))).where("skill is not null")
 
 
 @query("fill_occurrences", f"""SELECT doc_id, source, norm FROM (SELECT doc_id, source, norm FROM ({_NSK}) UNION SELECT k.doc_id, b.source, k.norm FROM ({_NSK}) k JOIN ({_NTXT}) b ON b.doc_id = k.doc_id WHERE {_WORD})""")
 def _(s):
-    df = blocks(s).select("doc_id", F.explode(ex.fill_occurrences(F.col("skills"), F.col("blocks"))).alias("source", "l"))
-    return df.select("doc_id", "source", F.explode(F.array_distinct(F.transform("l", normalize_ws))).alias("norm"))
+    df = blocks(s).select("doc_id", F.explode_outer(ex.fill_occurrences(F.col("skills"), F.col("blocks"))).alias("source", "l"))
+    return df.select("doc_id", "source", F.explode_outer(F.array_distinct(F.transform("l", normalize_ws))).alias("norm")).where("norm is not null")
 
 
 @query("clean_skill_list", """WITH l AS (SELECT resume_id, lower(trim(raw_skill)) AS n FROM v_raw_skills GROUP BY 1, 2)

@@ -31,7 +31,7 @@ def tag_skills(docs: DataFrame, key: list[str], text: str, lexicon: DataFrame, m
             F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(tok) - i + 1)),
             lambda n: F.array_join(F.slice(tok, i, n), " ")))))
 
-    grams = docs.select(*key, F.posexplode(let(tokens, runs)).alias("pos", "alias"))
+    grams = docs.select(*key, F.posexplode_outer(let(tokens, runs)).alias("pos", "alias"))
     return (
         grams.join(lexicon.select("alias", "canonical"), "alias")
         .groupBy(*key, F.col("canonical").alias("skill")).agg(F.min("pos").alias("pos"))

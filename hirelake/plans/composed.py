@@ -35,7 +35,8 @@ def score_and_rank(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, users:
 def extract_resume_skills(docs: DataFrame, lexicon: DataFrame, today: Column) -> DataFrame:
     """Documents -> skills by source, flat skills and months of experience.
 
-    Everything but the dictionary match happens inside the document row.
+    Everything but the dictionary match happens inside the document row.  A
+    skill is kept as the text spells it; scoring maps it to its canonical name.
     """
     d = sec.best_skills_heading(sec.partition_sections(docs)).withColumns({
         "work": sec.collect_section("sections", "experience"), "proj": sec.collect_section("sections", "projects")})
@@ -45,8 +46,9 @@ def extract_resume_skills(docs: DataFrame, lexicon: DataFrame, today: Column) ->
             F.lit("skills_section"), t.strip_labels(t.expand_parens(t.strip_dates(F.col("skills.section_text")))),
             F.lit("work_experience"), t.strip_bullets(F.col("work.section_text")),
             F.lit("projects"), t.strip_bullets(F.col("proj.section_text"))).alias("blocks"))
-    parts = d.select("doc_id", F.explode("blocks").alias("source", "body"))
-    found = ex.tag_skills(parts, ["doc_id", "source"], "body", lexicon)
+    # *_outer generators: a plain explode infers a filter that evaluates the whole row work again
+    parts = d.select("doc_id", F.explode_outer("blocks").alias("source", "body"))
+    found = ex.tag_skills(parts, ["doc_id", "source"], "body", lexicon.select("alias", F.col("alias").alias("canonical")))
     lists = (
         found.groupBy("doc_id", "source").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "skill"))), lambda x: x["skill"]).alias("l"))
         .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("source", "l"))).alias("raw"))
@@ -66,7 +68,7 @@ def extract_job_requirements(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     d = xp.min_experience(d, "section", "text").withColumn("items", t.unlines(sec.join_wrapped(t.lines_of(F.col("section")))))
     d = d.select("doc_id", "min_months", "min_source", F.col("requirements.found").alias("found"),
                  t.strip_labels(t.expand_parens(t.clean_bullets(F.col("items")))).alias("body"))
-    lists = ex.tag_skills(d, ["doc_id"], "body", lexicon).groupBy("doc_id").agg(
+    lists = ex.tag_skills(d, ["doc_id"], "body", lexicon.select("alias", F.col("alias").alias("canonical"))).groupBy("doc_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "skill"))), lambda x: x["skill"]).alias("l"))
     d = d.join(lists, "doc_id", "left").withColumn("l", F.coalesce("l", F.array().cast("array<string>")))
     return d.select("doc_id", "found", "min_months", "min_source", ex.ground(F.col("l"), F.col("body"))["kept"].alias("skills"))

@@ -223,10 +223,11 @@ def _(s):
 _PURGE = "expires_at < TIMESTAMP '2024-01-20 00:00:00' OR (revoked_at IS NOT NULL AND revoked_at < TIMESTAMP '2024-01-19 00:00:00')"
 
 
-@query("purge_expired", f"SELECT session_id, (SELECT count(*) FROM v_sessions WHERE {_PURGE}) AS removed FROM v_sessions WHERE NOT ({_PURGE})")
+@query("purge_expired", f"""SELECT 'kept' AS kind, session_id AS n FROM v_sessions WHERE NOT ({_PURGE})
+UNION ALL SELECT 'removed', count(*) FROM v_sessions WHERE {_PURGE}""")
 def _(s):
     kept, removed = sinks.purge(s.sessions, sinks.expired_sessions(dt.datetime(2024, 1, 20)))
-    return kept.select("session_id", F.lit(1).alias("k")).join(removed.withColumn("k", F.lit(1)), "k").drop("k")
+    return kept.select(F.lit("kept").alias("kind"), F.col("session_id").alias("n")).union(removed.select(F.lit("removed"), "removed"))
 
 
 _OWN = "SELECT user_id FROM v_users WHERE user_id % 10 = 3"

@@ -440,10 +440,10 @@ def _(s):
  coalesce(new, 0) DESC, coalesce(total, 0) DESC, job_id) AS place FROM (SELECT j.job_id, j.status, c.new, c.total FROM v_jobs j LEFT JOIN ({_CNT}) c ON j.job_id = c.job_id)""")
 def _(s):
     rank = F.expr("CASE status WHEN 'published' THEN 0 WHEN 'draft' THEN 1 WHEN 'closed' THEN 2 ELSE 3 END")
-    df = s.jobs.select("job_id", "status").join(dash.job_counters(s.applications), "job_id", "left").withColumn("all", F.lit(0))
+    df = s.jobs.select("job_id", "status").join(dash.job_counters(s.applications), "job_id", "left")
     order = F.struct(rank.alias("a"), (-F.coalesce("new", F.lit(0))).alias("b"), (-F.coalesce("total", F.lit(0))).alias("c"), F.col("job_id").alias("d"))
     from ..operators.skew import rank_rows
-    return rank_rows(df, ["all"], order, "place").select("job_id", "place")
+    return rank_rows(df, [], order, "place").select("job_id", "place")
 
 
 @query("sort_switch", """SELECT application_id, 'applied_at' AS sort FROM (SELECT * FROM v_applications ORDER BY applied_at DESC, application_id LIMIT 25)
@@ -457,9 +457,3 @@ def _(s):
 @query("notes_latest", "SELECT application_id, note_id, created_at FROM v_notes ORDER BY created_at DESC, note_id DESC LIMIT 50")
 def _(s):
     return listing.top(s.notes.select("application_id", "note_id", "created_at"), [F.desc("created_at"), F.desc("note_id")], 50)
-
-
-@query("score_and_rank", None)
-def _(s):
-    from ..plans.composed import score_and_rank
-    return score_and_rank(s.applications, s.jobs, s.resumes, s.users, s.jd_skills, s.resume_skills, s.vectors)

@@ -208,3 +208,15 @@ _ROUTE = """route AS (SELECT a.application_id, a.job_id,
  CASE WHEN reason IS NOT NULL THEN 'failed' WHEN js IS NULL THEN 'gone' WHEN rs <> 'done' OR js <> 'done' THEN 'pending' ELSE 'score' END AS route FROM route""")
 def _(s):
     return scoring.match_readiness(s.applications, s.resumes, s.jobs, s.jd_skills.where("job_id % 7 <> 0")).drop("resume_id")
+
+
+@query("score_and_rank", "WITH " + _ROUTE.replace("WHERE job_id % 7 <> 0", "") + ", " + _SCORE[5:] + """,
+st AS (SELECT r.application_id, r.reason, CASE WHEN r.reason IS NOT NULL THEN 'failed' WHEN r.js IS NULL THEN 'gone' WHEN r.rs <> 'done' OR r.js <> 'done' THEN 'pending' ELSE 'score' END AS route FROM route r),
+al AS (SELECT a.application_id, a.job_id, a.applied_at, st.route, CASE WHEN st.route = 'score' THEN round(round(f.score, 6), 1) END AS score,
+  lower(coalesce(u.full_name, u.email, v.candidate_name, v.original_filename)) AS sort_name FROM v_applications a JOIN st ON st.application_id = a.application_id
+  LEFT JOIN final f ON f.application_id = a.application_id LEFT JOIN v_users u ON u.user_id = a.user_id LEFT JOIN v_resumes v ON v.resume_id = a.resume_id)
+SELECT application_id, job_id, route, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC NULLS LAST, applied_at, sort_name NULLS LAST, application_id) AS rank FROM al""")
+def _(s):
+    from ..plans.composed import score_and_rank
+    out = score_and_rank(s.applications, s.jobs, s.resumes, s.users, s.jd_skills, s.resume_skills, s.vectors)
+    return out.select("application_id", "job_id", "route", "score", "rank")

@@ -46,13 +46,18 @@ def stage_counts(apps: DataFrame) -> DataFrame:
 
 def quick_actions(jobs: DataFrame, counters: DataFrame, upcoming: DataFrame) -> DataFrame:
     """Dashboard totals of the jobs given, in one row."""
+    names = ("draft_jobs", "published_jobs", "new_applicants", "still_scoring", "shortlisted", "upcoming_interviews")
+
+    def row(df: DataFrame, **given) -> DataFrame:
+        return df.agg(*[given.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+
     z = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    a = jobs.agg(F.count_if(F.col("status") == "draft").alias("draft_jobs"),
-                 F.count_if(F.col("status") == "published").alias("published_jobs")).withColumn("_k", F.lit(1))
-    b = counters.agg(z("new").alias("new_applicants"), z("scoring").alias("still_scoring"),
-                     z("shortlisted").alias("shortlisted")).withColumn("_k", F.lit(1))
-    c = upcoming.agg(F.count(F.lit(1)).alias("upcoming_interviews")).withColumn("_k", F.lit(1))
-    return a.join(b, "_k").join(c, "_k").drop("_k")
+    parts = (
+        row(jobs, draft_jobs=F.count_if(F.col("status") == "draft"), published_jobs=F.count_if(F.col("status") == "published"))
+        .unionByName(row(counters, new_applicants=z("new"), still_scoring=z("scoring"), shortlisted=z("shortlisted")))
+        .unionByName(row(upcoming, upcoming_interviews=F.count(F.lit(1))))
+    )
+    return parts.agg(*[F.sum(n).alias(n) for n in names])
 
 
 def attention(jobs: DataFrame, counters: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def page(df: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -
 
 def page_with_total(df: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
     """The page with the size of the whole filtered set on each row."""
-    total = df.groupBy().agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(1))
-    return page(df, order, limit, offset).withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return page(df, order, limit, offset).withColumn("total", total.scalar())
 
 
 def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:

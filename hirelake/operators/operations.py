@@ -80,8 +80,8 @@ def metric_rows(name: str, df: DataFrame, labels: list[str], value: str) -> Data
 
 def stagger(ids: DataFrame, key: str, order: list[str], size: int, delay: int) -> DataFrame:
     """Start delay of each distinct id: batch k of ``size`` starts ``k * delay`` later, in first-seen order."""
-    first = ids.groupBy(key).agg(F.min(F.struct(*order)).alias("_at")).withColumn("_all", F.lit(0))
-    ranked = rank_rows(first, ["_all"], F.struct("_at", key), "_n")
+    first = ids.groupBy(key).agg(F.min(F.struct(*order)).alias("_at"))
+    ranked = rank_rows(first, [], F.struct("_at", key), "_n")
     return ranked.select(key, (F.floor((F.col("_n") - 1) / max(size, 1)) * max(delay, 0)).cast("bigint").alias("countdown"))
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skills import cosine_grid, credit, experience_score
@@ -23,6 +23,7 @@ from .lexicon import normalize_skill
 SOURCES = ("work_experience", "projects", "skills_section")
 PROVEN_SOURCES = ("work_experience", "projects")
 MATCHED_CREDIT = 0.5
+PLACES = 1 << 48  # list positions stay below this
 
 
 @dataclass(frozen=True)
@@ -47,16 +48,8 @@ class Weights:
         return dict(zip(SOURCES, (self.tier_work, self.tier_projects, self.tier_mention)))
 
 
-def _tier_of(source: Column, w: Weights) -> Column:
-    tiers = list(w.tiers().items())
-    expr = F.when(source == tiers[0][0], tiers[0][1])
-    for name, weight in tiers[1:]:
-        expr = expr.when(source == name, weight)
-    return expr
-
-
 def _rank_of(source: Column) -> Column:
-    expr = F.when(source == SOURCES[0], 0)
+    expr = F.when(source == SOURCES[0], F.lit(0).cast("bigint"))
     for i, name in enumerate(SOURCES[1:], 1):
         expr = expr.when(source == name, i)
     return expr
@@ -66,18 +59,21 @@ def best_tier(skills: DataFrame, w: Weights = Weights(), alias: DataFrame | None
     """(resume_id, skill) -> best tier weight, its source, and place in the index.
 
     Highest weight wins and the first source wins ties; the place is that of
-    the first sighting, in source order and then list order.
+    the first sighting, in source order and then list order.  Both are plain
+    numbers, so the aggregation stays in the hash operator and combines on
+    the map side.
     """
     rows = normalize_skill(skills.where(F.trim("skill") != ""), "skill", alias)
     rank = _rank_of(F.col("source"))
+    tiers = w.tiers()
+    ranking = sorted(SOURCES, key=lambda s: -tiers[s])  # stable: earlier source first on equal weight
+    order = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(ranking) for x in (s, i)]), F.col("source"))
+    best = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_o"))
     return (
         rows.where(rank.isNotNull())
         .groupBy("resume_id", "skill")
-        .agg(
-            F.max(F.struct(_tier_of(F.col("source"), w).alias("weight"), (-rank).alias("r"), "source")).alias("_b"),
-            F.min(F.struct(rank.alias("r"), F.col("pos").alias("p"))).alias("place"),
-        )
-        .select("resume_id", "skill", F.col("_b.weight").alias("weight"), F.col("_b.source").alias("source"), "place")
+        .agg(F.min(order).alias("_o"), F.min(rank * PLACES + F.col("pos")).alias("place"))
+        .select("resume_id", "skill", best([tiers[s] for s in ranking]).alias("weight"), best(ranking).alias("source"), "place")
     )
 
 

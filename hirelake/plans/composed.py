@@ -13,13 +13,15 @@ from ..operators import filters as flt
 from ..operators import history as hist
 from ..operators import listing, operations, scoring
 from ..operators import sections as sec
+from ..operators.skew import written
 
 
 def score_and_rank(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, users: DataFrame, jd: DataFrame, skills: DataFrame,
                    vectors: DataFrame, weights: scoring.Weights = scoring.Weights(), dim: int = 64) -> DataFrame:
     """Route, score and rank all applications; those not ready keep a null score and rank last.
 
-    Ranking uses the stored score, which has one decimal.
+    Ranking uses the stored score, which has one decimal; the narrow score
+    table is written once and ranked from there.
     """
     clean = scoring.clean_jd(jd)
     route = scoring.match_readiness(apps, resumes, jobs, clean)
@@ -29,7 +31,7 @@ def score_and_rank(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, users:
                            F.size("matched").alias("n_matched"), F.size("missing").alias("n_missing"))
     people = listing.display_identity(listing.with_people(apps, users, resumes)).select("application_id", "job_id", "applied_at", "sort_name")
     df = people.join(route.select("application_id", "route", "reason"), "application_id").join(stored, "application_id", "left")
-    return listing.rank_applicants(df, "score")
+    return listing.rank_applicants(written(df, "scores"), "score")
 
 
 def extract_resume_skills(docs: DataFrame, lexicon: DataFrame, today: Column) -> DataFrame:

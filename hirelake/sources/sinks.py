@@ -28,15 +28,19 @@ def csv_line(cols: list[Column]) -> Column:
 
 
 def export_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> bool:
-    """Write guarded CSV parts (UTF-8 mark and header on each, CRLF lines); an empty input writes nothing."""
+    """Write guarded CSV parts (UTF-8 mark and header on each, CRLF lines); an empty input writes nothing.
+
+    Lines are built here because the CSV writer would also rewrite line breaks
+    inside cells.  The first row of each part carries the header.
+    """
     if df.isEmpty():
         return False
     names = columns or df.columns
-    body = df.select(*[formula_guard(F.col(c)).alias(c) for c in names])
-    first = "\ufeff" + names[0]
-    (body.withColumnRenamed(names[0], first).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("lineSep", "\r\n").option("emptyValue", "").option("encoding", "UTF-8")
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    quoted = ['"' + n.replace('"', '""') + '"' if set(n) & set(',"\r\n') else n for n in names]
+    head = "\ufeff" + ",".join(quoted)
+    first = F.monotonically_increasing_id() % (1 << 33) == 0
+    line = F.concat(F.when(first, head + "\r\n").otherwise(""), csv_line([F.col(c) for c in names]))
+    df.select(line.alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
     return True
 
 

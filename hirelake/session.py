@@ -34,10 +34,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written tables and stream checkpoints.
 
     It lies under the folder the cluster names in ``spark.checkpoint.dir``.
-    Only where that is unset (tests on one machine) a temporary folder is used.
+    Only where that is unset and Spark runs on one machine (tests) a temporary
+    folder is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="hirelake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

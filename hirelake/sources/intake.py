@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
@@ -25,6 +25,13 @@ def decode_bytes(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files as (path, file_name, content, text); text is decoded from the bytes."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return raw.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "content",
+                      decode_bytes(F.col("content")).alias("text"))
+
+
 def ingest_text(df: DataFrame, cap: int = CHAR_CAP, min_len: int = MIN_CHARS) -> DataFrame:
     """Add ``clean`` and ``reason`` (null = accepted) to (file_name, text) rows.
 

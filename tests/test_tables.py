@@ -56,3 +56,10 @@ def test_pages_cover_everything(stage):
 
 def test_funnel_adds_up(stage):
     assert dashboards.funnel(stage.applications).agg(F.sum("n")).first()[0] == stage.applications.count()
+
+
+def test_read_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"caf\xc3\xa9 \xff" + b"word " * 20)
+    (tmp_path / "b.bin").write_bytes(b"x")
+    got = {r.file_name: r for r in intake.ingest_text(intake.read_files(spark, str(tmp_path))).collect()}
+    assert got["a.txt"].reason is None and got["a.txt"].clean.startswith("café word") and got["b.bin"].reason == "unsupported type"

@@ -162,3 +162,17 @@ def test_collect_until_boundary(spark):
     df = spark.createDataFrame([(lines, 0, 1), (lines, 0, 0), (["Must have: a, b", "c", "Benefits"], 0, 0)], "l array<string>, c int, p int")
     got = [r.section_text for r in sec.collect_until_boundary(df, "l", "c", "p").collect()]
     assert got == ["python", "python\ndegree", "a, b\nc"]
+
+
+def test_resume_and_job_plans(spark):
+    from hirelake.plans.composed import extract_job_requirements, extract_resume_skills
+    lex = spark.createDataFrame([(x, x) for x in ("python", "aws", "aws s3", "c++", "sql", "go")], "alias string, canonical string")
+    resume = ("Jane Doe\nSkills\nlanguages: Python, C++\nAws (S3, EC2)\nWork Experience\nJan 2020 - Jan 2022 Acme\n- Wrote SQL and Python services\n"
+              "Projects\n* Go crawler\nEducation\n2010 - 2014 SQL course")
+    r = extract_resume_skills(spark.createDataFrame([(1, resume)], "doc_id long, text string"), lex, F.lit(TODAY)).first()
+    assert r.experience_months == 24
+    assert {k: set(v) for k, v in r.skills_by_source.items()} == {
+        "skills_section": {"python", "c++", "aws", "aws s3"}, "work_experience": {"sql", "python"}, "projects": {"go"}}
+    job = "About us\nWe like go\nRequirements:\n- 3+ years of experience with Python\n- AWS\n  (S3)\nBenefits\nsql training"
+    j = extract_job_requirements(spark.createDataFrame([(1, job)], "doc_id long, text string"), lex).first()
+    assert j.found and j.min_months == 36 and j.min_source == "requirements_section" and set(j.skills) >= {"python", "aws"} and "sql" not in j.skills

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stateful as st
 from ..operators.alerts import alert_eval
+from ..operators.skew import rank_rows
 from ..streaming import streams
 from .registry import query
 
@@ -75,10 +76,8 @@ def _(s):
        r.rev OR (r.rot IS NOT NULL AND v.v = r.cur - 1 AND o.tm - r.rot > 36000000000)""",
        ", LATERAL (SELECT CASE WHEN o.rn < 6 THEN o.rn - 1 - o.tokens % 2 ELSE o.tokens % 12 END AS v) v"))
 def _(s):
-    from pyspark.sql import Window
-    # presented version: mostly the next one, sometimes an old one (the place in the key is only used to make the data)
-    rn = F.row_number().over(Window.partitionBy("key").orderBy("ts", "hit_id"))
-    d = s.hits.withColumn("rn", rn).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
+    # presented version: mostly the next one, sometimes an old one
+    d = rank_rows(s.hits, ["key"], F.struct("ts", "hit_id"), "rn").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
         "version", F.when(F.col("rn") < 6, F.col("rn") - 1 - F.col("tokens") % 2).otherwise(F.col("tokens") % 12)).drop("rn")
     return st.replay(d, ["key"], ["at", "hit_id"], st.Rotation(36000)).select("hit_id", "verdict")
 

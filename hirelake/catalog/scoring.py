@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skills import cosine, credit, experience_score
 from ..operators import embedding, lexicon, scoring
+from ..operators.dashboards import STATUSES
 from ..sources.standins import Stage
 from .registry import query
 
@@ -104,10 +105,11 @@ def _(s):
     return lexicon.alias_integrity(bad)
 
 
-@query("enum_drift", """SELECT DISTINCT p_type AS value FROM part EXCEPT SELECT DISTINCT department FROM v_jobs WHERE status = 'draft' AND job_id % 8 = 0""")
+@query("enum_drift", """SELECT v AS value FROM (VALUES ('applied'), ('under_review'), ('shortlisted'), ('interviewing'), ('hired'), ('rejected'), ('withdrawn')) t(v)
+WHERE v NOT IN (SELECT status FROM v_applications)""")
 def _(s):
-    declared = s.table("part").select(F.col("p_type").alias("value"))
-    return lexicon.enum_drift(declared, s.jobs.where("status = 'draft' AND job_id % 8 = 0").select(F.col("department").alias("value")), "value")
+    declared = s.spark.createDataFrame([(v,) for v in (*STATUSES, "withdrawn")], "value string")
+    return lexicon.enum_drift(declared, s.applications.select(F.col("status").alias("value")), "value")
 
 
 @query("best_tier", "WITH " + _IDX + "z AS (SELECT 1) SELECT resume_id, skill, weight, source FROM idx")

@@ -12,6 +12,7 @@ from ..functions.skills import normalize_ws
 from ..operators import experience as xp
 from ..operators import extraction as ex
 from ..operators import sections as sec
+from ..sources.entities import spread
 from .registry import query
 
 TODAY = dt.date(2020, 6, 15)
@@ -53,7 +54,7 @@ m AS (SELECT *, CAST((year(end_date) - year(start_date)) * 12 + month(end_date)
 
 @query("merge_ranges", _ISLANDS + "SELECT person_id, start_date, end_date, months FROM m")
 def _(s):
-    return xp.merge_ranges(s.ranges, "person_id", F.lit(TODAY))
+    return xp.merge_ranges(spread(s.ranges), "person_id", F.lit(TODAY))
 
 
 _MONTHS_OF = "SELECT r.person_id AS person_id, CAST(sum(m.months) AS BIGINT) AS months FROM (SELECT DISTINCT person_id FROM v_ranges) r LEFT JOIN m ON m.person_id = r.person_id GROUP BY 1"
@@ -61,12 +62,12 @@ _MONTHS_OF = "SELECT r.person_id AS person_id, CAST(sum(m.months) AS BIGINT) AS
 
 @query("experience_months", _ISLANDS + _MONTHS_OF)
 def _(s):
-    return xp.experience_months(s.ranges, "person_id", F.lit(TODAY))
+    return xp.experience_months(spread(s.ranges), "person_id", F.lit(TODAY))
 
 
 @query("experience_years", _ISLANDS + f"SELECT person_id, CAST(round_even(months / 12.0E0, 0) AS INT) AS years FROM ({_MONTHS_OF})")
 def _(s):
-    return xp.experience_months(s.ranges, "person_id", F.lit(TODAY)).select("person_id", d.whole_years(F.col("months")).alias("years"))
+    return xp.experience_months(spread(s.ranges), "person_id", F.lit(TODAY)).select("person_id", d.whole_years(F.col("months")).alias("years"))
 
 
 _MTEXT = """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'Jun ' || y WHEN 1 THEN y || '-06' WHEN 2 THEN '06/' || y WHEN 3 THEN y WHEN 4 THEN 'June, ' || y
@@ -243,24 +244,24 @@ _RS = f"""CASE WHEN {_trim('line')} = '' OR length({_trim('line')}) > 60 OR rege
 
 
 @query("classify_headings", f"""SELECT doc_id, line_no, CAST({_RS} AS INT) AS requirement, {_trim('line')} IN ('About the Company', 'Nice to have', 'Benefits') AS boundary,
- regexp_matches({_trim('line')}, '[.;!?,]$') OR regexp_matches(regexp_extract({_trim('line')}, '(\\pL)', 1), '^\\p{{Ll}}$') AS fragment FROM v_job_lines WHERE line_no % 13 IN (1, 3, 4, 5, 6, 8, 9, 11)""")
+ regexp_matches({_trim('line')}, '[.;!?,]$') OR regexp_matches(regexp_extract({_trim('line')}, '(\\pL)', 1), '^\\p{{Ll}}$') AS fragment FROM v_job_lines""")
 def _(s):
-    lines = s.job_lines.where("line_no % 13 IN (1, 3, 4, 5, 6, 8, 9, 11)")
+    lines = s.job_lines
     c = F.col("line")
     return lines.select("doc_id", "line_no", sec.requirement_score(c).alias("requirement"), sec.is_job_boundary(c).alias("boundary"),
                         sec.sentence_fragment(c).alias("fragment"))
 
 
-@query("split_inline_label", f"""SELECT doc_id, line_no, CASE WHEN line_no % 2 = 0 THEN 'Required Skills' ELSE 'must  have' END AS heading, {_trim('line')} AS rest FROM v_job_lines WHERE {_trim('line')} <> '' AND line_no % 13 IN (2, 10)""")
+@query("split_inline_label", f"""SELECT doc_id, line_no, CASE WHEN line_no % 2 = 0 THEN 'Required Skills' ELSE 'must  have' END AS heading, {_trim('line')} AS rest FROM v_job_lines WHERE {_trim('line')} <> ''""")
 def _(s):
-    lines = s.job_lines.where("line_no % 13 IN (2, 10)").withColumn("line", F.concat(F.when(F.col("line_no") % 2 == 0, "Required Skills").otherwise("must  have"), F.lit(" : "), "line"))
+    lines = s.job_lines.withColumn("line", F.concat(F.when(F.col("line_no") % 2 == 0, "Required Skills").otherwise("must  have"), F.lit(" : "), "line"))
     got = sec.split_inline_label(F.col("line"))
     return lines.select("doc_id", "line_no", got["heading"].alias("heading"), got["rest"].alias("rest")).where("rest is not null")
 
 
-@query("split_embedded", "SELECT doc_id, line_no, CASE WHEN line = 'own the deploy line Company & Culture' THEN 'own the deploy line' END AS head, CASE WHEN line = 'own the deploy line Company & Culture' THEN 'Company & Culture' END AS tail FROM v_job_lines WHERE line_no % 13 IN (5, 6, 7) AND (line_no % 13 <> 7 OR doc_id % 3 = 0)")
+@query("split_embedded", "SELECT doc_id, line_no, CASE WHEN line = 'own the deploy line Company & Culture' THEN 'own the deploy line' END AS head, CASE WHEN line = 'own the deploy line Company & Culture' THEN 'Company & Culture' END AS tail FROM v_job_lines")
 def _(s):
-    lines = s.job_lines.where("line_no % 13 IN (5, 6, 7) AND (line_no % 13 <> 7 OR doc_id % 3 = 0)")
+    lines = s.job_lines
     got = sec.split_embedded(F.col("line"))
     return lines.select("doc_id", "line_no", F.when(got["tail"].isNotNull(), got["head"]).alias("head"), got["tail"].alias("tail"))
 
@@ -413,7 +414,9 @@ def _(s):
 @query("clean_skill_list", """WITH l AS (SELECT resume_id, lower(trim(raw_skill)) AS n FROM v_raw_skills GROUP BY 1, 2)
 SELECT resume_id, CASE WHEN count(*) > 4 THEN 'too many skills' END AS reason, CAST(count(*) AS INT) AS n FROM l GROUP BY 1""")
 def _(s):
-    lists = s.raw_skills.groupBy("resume_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part_id", "raw_skill"))), lambda x: x["raw_skill"]).alias("l"))
+    # one row per spelling first, so the list of a resume is bounded by its distinct spellings
+    rows = s.raw_skills.groupBy("resume_id", "raw_skill").agg(F.min("pos").alias("pos"), F.min("part_id").alias("part_id"))
+    lists = rows.groupBy("resume_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "part_id", "raw_skill"))), lambda x: x["raw_skill"]).alias("l"))
     got = ex.clean_skill_list(F.col("l"), max_items=4)
     return lists.select("resume_id", got["reason"].alias("reason"), F.size(got["skills"]).alias("n"))
 

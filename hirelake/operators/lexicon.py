@@ -44,4 +44,4 @@ def alias_integrity(alias: DataFrame) -> DataFrame:
 
 def enum_drift(declared: DataFrame, actual: DataFrame, col: str) -> DataFrame:
     """Declared values that the data does not hold."""
-    return declared.select(col).subtract(actual.select(col))
+    return declared.select(col).subtract(actual.select(col).distinct())

@@ -46,12 +46,18 @@ def rank_applicants(df: DataFrame, score: str = "match_score", **kw) -> DataFram
 
 
 def page(df: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page; 1..200 rows.  Becomes one top-k operator, not a full sort."""
+    """One page; 1..200 rows.  Becomes one top-k operator over offset + limit rows; see :func:`deep_page` for large offsets."""
     if not 1 <= limit <= 200 or offset < 0:
         raise ValueError("limit must be 1..200 and offset not negative")
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def deep_page(df: DataFrame, order: Column, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The same page for a large offset: ``order`` is a struct; rows are placed in parallel, none pass through one task."""
+    placed = rank_rows(df, [], order, "_place")
+    return placed.where(F.col("_place").between(offset + 1, offset + limit)).drop("_place")
+
+
 def page_with_total(df: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
     """The page with the size of the whole filtered set on each row."""
     total = df.agg(F.count(F.lit(1)).alias("total"))

@@ -238,7 +238,7 @@ GROUP BY doc_id, source"""),
 SELECT doc_id, CASE (line_no + line_no % 2) % 3 WHEN 0 THEN 'skills_section' WHEN 1 THEN 'work_experience' ELSE 'projects' END AS source,
        CASE line_no % 4 WHEN 0 THEN split_part(line, ' ', 1) WHEN 1 THEN split_part(line, ' ', 2) WHEN 2 THEN replace(split_part(line, ' ', 1), 'e', 'E')
             ELSE 'zz' || CAST(line_no % 8 AS STRING) END AS skill, line_no AS pos
-FROM v_resume_lines WHERE line <> '' AND split_part(line, ' ', 2) <> '' AND line_no < 60""",
+FROM v_resume_lines WHERE line <> '' AND split_part(line, ' ', 2) <> ''""",
         "v_gold": "SELECT DISTINCT resume_id AS file, skill FROM v_resume_skills WHERE source IN ('skills_section', 'work_experience')",
         "v_pred": "SELECT DISTINCT resume_id AS file, skill FROM v_resume_skills WHERE source IN ('work_experience', 'projects')",
     }

@@ -63,3 +63,10 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"x")
     got = {r.file_name: r for r in intake.ingest_text(intake.read_files(spark, str(tmp_path))).collect()}
     assert got["a.txt"].reason is None and got["a.txt"].clean.startswith("café word") and got["b.bin"].reason == "unsupported type"
+
+
+def test_deep_page_equals_page(stage):
+    df = stage.applications.select("application_id", "applied_at")
+    a = listing.page(df, [F.asc("applied_at"), F.asc("application_id")], 100, 700).collect()
+    b = listing.deep_page(df, F.struct("applied_at", "application_id"), 100, 700).collect()
+    assert sorted(a) == sorted(b) and len(b) == 100

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import dashboards as dash
 from ..operators import filters as flt
 from ..operators import listing, scopes
+from ..operators.skew import rank_rows, written
 from ..sources import entities
 from .registry import query
 
@@ -384,7 +385,9 @@ _ORDER = "match_score DESC NULLS LAST, applied_at, sort_name NULLS LAST, applica
 
 @query("rank_applicants", f"SELECT application_id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY {_ORDER}) AS rank FROM ({_IDENT})")
 def _(s):
-    return listing.rank_applicants(people(s)).select("application_id", "job_id", "rank")
+    # the joined rows are read several times by the ranking, so they are written once
+    rows = people(s).select("application_id", "job_id", "match_score", "applied_at", "sort_name")
+    return listing.rank_applicants(written(rows, "applicants")).select("application_id", "job_id", "rank")
 
 
 @query("dedupe_keep_first", """SELECT resume_id, skill, pos, part_id FROM (SELECT *, row_number() OVER (PARTITION BY resume_id, skill ORDER BY pos, part_id) AS rn FROM
@@ -443,7 +446,6 @@ def _(s):
     rank = F.expr("CASE status WHEN 'published' THEN 0 WHEN 'draft' THEN 1 WHEN 'closed' THEN 2 ELSE 3 END")
     df = s.jobs.select("job_id", "status").join(dash.job_counters(s.applications), "job_id", "left")
     order = F.struct(rank.alias("a"), (-F.coalesce("new", F.lit(0))).alias("b"), (-F.coalesce("total", F.lit(0))).alias("c"), F.col("job_id").alias("d"))
-    from ..operators.skew import rank_rows
     return rank_rows(df, [], order, "place").select("job_id", "place")
 
 

@@ -324,13 +324,30 @@ e AS (SELECT s.doc_id, s.line_no, s.heading, coalesce(min(b.line_no) FILTER (b.s
 x AS (SELECT e.doc_id, e.line_no, e.heading, {text if not lower else f"lower({text})"} AS body FROM e LEFT JOIN bound b ON b.doc_id = e.doc_id AND b.line_no > e.line_no AND b.t <> '' AND NOT ({skip}) GROUP BY 1, 2, 3)"""
 
 
-@query("requirements_section", "WITH " + _JL + ", " + _read_sql("s AS (SELECT doc_id, line_no, t AS heading FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS rn FROM l) WHERE rn = 1 AND score > 0)",
-       "b.score > 0", False) + """ SELECT d.doc_id, x.doc_id IS NOT NULL AS found, x.heading, md5(coalesce(x.body, '')) AS hash FROM v_job_docs d LEFT JOIN x ON x.doc_id = d.doc_id""")
+_BEST = "s AS (SELECT doc_id, line_no, t AS heading FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS rn FROM l) WHERE rn = 1 AND score > 0)"
+
+
+@query("requirements_section", "WITH " + _JL + ", " + _read_sql(_BEST, "b.score > 0", False) + """ SELECT d.doc_id, x.doc_id IS NOT NULL AS found, x.heading, md5(coalesce(x.body, '')) AS hash FROM v_job_docs d LEFT JOIN x ON x.doc_id = d.doc_id""")
 def _(s):
     return sec.requirements_section(s.job_docs).select("doc_id", "requirements.found", "requirements.heading", F.md5("requirements.section_text").alias("hash"))
 
 
-@query("join_wrapped")
+_WORDS = r"len(regexp_extract_all({}, '\S+'))"
+_CW = f"list_filter(regexp_extract_all(b.t, '[A-Za-z][A-Za-z'']*'), lambda w: lower(w) NOT IN {_in(sec.SMALL_WORDS)})"
+_CONT = rf"""CASE WHEN regexp_matches(b.t, '^(?:\p{{Ll}}|[)\],;])') THEN true WHEN regexp_matches(r.item, {_q(sec.CONTINUES_AFTER)}) THEN true
+ WHEN r.item LIKE '%:' AND {_WORDS.format('r.item')} <= 4 THEN true
+ WHEN {_WORDS.format('b.t')} BETWEEN 2 AND 6 AND regexp_matches(b.t, {_q(sec.SUBHEADING_TAIL)}) AND len({_CW}) > 0 AND len(list_filter({_CW}, lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0 THEN false
+ ELSE hb.has AND NOT regexp_matches(r.item, '[.!?;:]$') END"""
+
+
+@query("join_wrapped", "WITH RECURSIVE " + _JL + ", " + _read_sql(_BEST, "b.score > 0", False) + rf""",
+b0 AS (SELECT doc_id, unnest(string_split(body, {NL})) AS raw, unnest(range(len(string_split(body, {NL})))) AS p FROM x),
+b AS (SELECT doc_id, t, regexp_matches(t, {_q(t.ITEM_BULLET)}) AS bul, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM (SELECT doc_id, p, {_trim('raw')} AS t FROM b0) WHERE t <> ''),
+hb AS (SELECT doc_id, bool_or(bul) AS has FROM b GROUP BY 1),
+r AS (SELECT doc_id, i, t AS item, 0 AS k FROM b WHERE i = 1 UNION ALL
+ SELECT b.doc_id, b.i, CASE WHEN n.fresh THEN b.t ELSE r.item || CASE WHEN regexp_matches(r.item, '\pL-$') AND regexp_matches(b.t, '^\p{{Ll}}') THEN '' ELSE ' ' END || b.t END, r.k + CAST(n.fresh AS INT)
+ FROM r JOIN b ON b.doc_id = r.doc_id AND b.i = r.i + 1 JOIN hb ON hb.doc_id = b.doc_id, LATERAL (SELECT b.bul OR NOT ({_CONT}) AS fresh) n)
+SELECT doc_id, k AS pos, arg_max(item, i) AS item FROM r GROUP BY 1, 2""")
 def _(s):
     df = sec.requirements_section(s.job_docs)
     return df.select("doc_id", F.posexplode_outer(sec.join_wrapped(F.split("requirements.section_text", "\n"))).alias("pos", "item")).where("pos is not null")

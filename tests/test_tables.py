@@ -70,3 +70,18 @@ def test_deep_page_equals_page(stage):
     a = listing.page(df, [F.asc("applied_at"), F.asc("application_id")], 100, 700).collect()
     b = listing.deep_page(df, F.struct("applied_at", "application_id"), 100, 700).collect()
     assert sorted(a) == sorted(b) and len(b) == 100
+
+
+def test_scan_prunes_and_pushes_down(stage):
+    from hirelake.sources.entities import lookup, read_entity
+    df = lookup(read_entity(stage.spark, stage.sf_dir, "orders"), "o_orderkey", 5).select("o_custkey")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderkey), EqualTo(o_orderkey,5)]" in plan and "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+
+
+def test_no_cross_joins(spark):
+    import __spark_entry__ as entry
+    from .conftest import SF
+    for name in ("score_applications", "scope_read_jobs", "tag_skills", "fuzzy_set_match", "quick_actions", "page_rows", "rank_applicants", "audit_labels"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan, name

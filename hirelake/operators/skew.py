@@ -103,15 +103,32 @@ def running_sum(df: DataFrame, key: list[str], order: list[str], piece: Column,
     )
 
 
-def islands(df: DataFrame, key: list[str], order: list[str], ts: str, piece: Column, starts: Column,
-            lagged: dict[str, str], out: str = "island") -> DataFrame:
-    """Number the runs of each key: a row starts a new run where ``starts`` holds.
-
-    ``starts`` may read the lagged columns; the first row of a key always starts one.
+def islands(df: DataFrame, key: list[str], order: list[str], piece: Column, starts: Column, lagged: dict[str, str],
+            out: str = "island") -> DataFrame:
+    """Name the runs of each key: a row starts a new run where ``starts`` holds.
+
+    ``starts`` may read the lagged columns; the first row of a key always
+    starts one.  A run is named by the order values of its first row.  Runs
+    are found inside pieces; one summary row per piece (its first and last row
+    and its last start) tells the next pieces which run goes on.
     """
-    d = lag_rows(df, key, order, piece, lagged)
-    flag = F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0)
-    return running_sum(d.withColumn("_new", flag), key, order, piece, "_new", out).drop("_new")
+    names, at = list(lagged), F.struct(*order)
+    w = Window.partitionBy(*key, "_piece").orderBy(*order)
+    local = df.withColumn("_piece", piece).withColumn("_isl_prev", F.lag(F.struct(*names)).over(w))
+    local = local.withColumns({a: F.col("_isl_prev")[n] for n, a in lagged.items()})
+    local = local.withColumn("_isl_s", F.when(F.col("_isl_prev").isNotNull() & F.coalesce(starts, F.lit(True)), at))
+    pieces = local.groupBy(*key, "_piece").agg(
+        F.min_by(F.struct(*df.columns), at).alias("_isl_f"), F.max_by(F.struct(*names), at).alias("_isl_l"), F.max("_isl_s").alias("_isl_ls"))
+    by_piece = Window.partitionBy(*key).orderBy("_piece")
+    pieces = pieces.withColumn("_isl_b", F.lag("_isl_l").over(by_piece)).select(
+        *[F.col("_isl_f")[c].alias(c) for c in df.columns], *[F.col("_isl_b")[n].alias(a) for n, a in lagged.items()], "_piece", "_isl_ls", "_isl_b")
+    pieces = pieces.withColumn("_isl_fs", F.when(F.col("_isl_b").isNull() | F.coalesce(starts, F.lit(True)), at))
+    carry = F.last(F.coalesce("_isl_ls", "_isl_fs"), ignorenulls=True).over(by_piece.rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select(*key, "_piece", F.coalesce("_isl_fs", carry).alias("_isl_c"), *[F.col(a).alias(f"_b_{a}") for a in lagged.values()])
+    first = F.coalesce(F.max("_isl_s").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_isl_c"))
+    named = local.join(pieces, [*key, "_piece"]).withColumn("_isl_run", first)
+    return named.withColumns({a: F.when(F.col("_isl_prev").isNull(), F.col(f"_b_{a}")).otherwise(F.col(a)) for a in lagged.values()}).withColumn(
+        out, F.concat_ws("|", *[F.col("_isl_run")[c].cast("string") for c in order])).select(*df.columns, *lagged.values(), out)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -204,5 +204,5 @@ def replay_quiet(df: DataFrame, key: str, ts: str, tie: str, rule, quiet: int |
     gap = (quiet or rule.seconds) * SECOND
     moment: Column = F.unix_micros(F.col(ts).cast("timestamp"))
     d = df.withColumn("at", moment)
-    runs = islands(d, [key], ["at", tie], "at", F.date_trunc("hour", F.col(ts).cast("timestamp")), F.col("at") - F.col("_prev_at") > gap, {"at": "_prev_at"}, "run")
+    runs = islands(d, [key], ["at", tie], F.date_trunc("hour", F.col(ts).cast("timestamp")), F.col("at") - F.col("_prev_at") > gap, {"at": "_prev_at"}, "run")
     return replay(runs.drop("_prev_at"), [key, "run"], ["at", tie], rule).drop("run", "at")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dups, url_reputation
-from .shared import read_entity
+from . import byte_bpe, exact_dedup, mixing, near_dups, url_reputation, warc
+from .shared import read_entity, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +59,24 @@ def _(spark, sf_dir):
 @register("op10_simhash_near_dups")
 def _(spark, sf_dir):
     return near_dups.find_groups(read_entity(spark, sf_dir, "documents"))
+
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@register("op8_byte_bpe")
+def _(spark, sf_dir):
+    docs = read_entity(spark, sf_dir, "documents")
+    return docs.select("doc_id", byte_bpe.round_trip(whole("text"), byte_bpe.read_ranks(VOCABULARY)).alias("r")).select("doc_id", "r.*")
+
+
+@register("op9_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest, h FROM p),
+m AS (SELECT h, max(page_id) AS top FROM d WHERE payload_bytes >= 1000 GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN top <> page_id THEN top END AS refers_to FROM d LEFT JOIN m ON d.h = m.h AND d.payload_bytes >= 1000""")
+def _(spark, sf_dir):
+    files, folder = warc.store_pages(read_entity(spark, sf_dir, "pages"))
+    back = warc.read_archives(files, folder, payloads=False)
+    return back.select(warc.id_of(F.col("id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.id_of(F.col("refers_to")).alias("refers_to"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import sys
+import types
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import written
@@ -10,7 +13,7 @@ from ..session import shared_dir
 from ..sources.entities import read_entity
 
 __all__ = ["UPPER", "LOWER", "WORD", "BLANKS", "ascii_lower", "column", "fold", "read_entity", "remainder", "shared_dir",
-           "total", "whole", "written"]
+           "total", "whole", "worker_cache", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run without these six blank characters.
@@ -44,5 +47,6 @@ def total(df: DataFrame, *cols: Column) -> tuple:
     return tuple(df.agg(*cols).first())
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker; functions travel by value and would lose their own globals."""
+    return sys.modules.setdefault("_hirelake_worker_cache", types.ModuleType("_hirelake_worker_cache")).__dict__

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, near_dups, url_reputation, warc
+from . import byte_bpe, exact_dedup, fingerprints, mixing, near_dups, url_reputation, warc
 from .shared import read_entity, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def _(spark, sf_dir):
     files, folder = warc.store_pages(read_entity(spark, sf_dir, "pages"))
     back = warc.read_archives(files, folder, payloads=False)
     return back.select(warc.id_of(F.col("id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.id_of(F.col("refers_to")).alias("refers_to"))
+
+
+@register("op4_simhash_fingerprints")
+def _(spark, sf_dir):
+    return fingerprints.edit_and_compare(read_entity(spark, sf_dir, "documents"))

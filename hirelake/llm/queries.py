@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fingerprints, mixing, near_dups, url_reputation, warc
-from .shared import read_entity, whole
+from . import byte_bpe, exact_dedup, fingerprints, mixing, near_dups, toxicity, url_reputation, warc
+from .shared import read_entity, remainder, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,16 @@ def _(spark, sf_dir):
 @register("op4_simhash_fingerprints")
 def _(spark, sf_dir):
     return fingerprints.edit_and_compare(read_entity(spark, sf_dir, "documents"))
+
+
+def learnable(spark, sf_dir):
+    """Labels of the rows that may be learnt from: crc32 of the id modulo 4 is not 2."""
+    return read_entity(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2).select("doc_id", "toxic")
+
+
+@register("op5_toxicity")
+def _(spark, sf_dir):
+    docs = read_entity(spark, sf_dir, "documents")
+    model = toxicity.train(docs, learnable(spark, sf_dir))
+    scored = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), toxicity.score(whole("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))

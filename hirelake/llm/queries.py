@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fingerprints, mixing, near_dups, toxicity, url_reputation, warc
+from . import byte_bpe, exact_dedup, fingerprints, licence_texts, licences, mixing, near_dups, ngram_lm, toxicity, url_reputation, warc
 from .shared import read_entity, remainder, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,35 @@ def _(spark, sf_dir):
     model = toxicity.train(docs, learnable(spark, sf_dir))
     scored = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), toxicity.score(whole("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def _licence_sql() -> str:
+    """The canonical form once more, for DuckDB."""
+    def canonical(text: str) -> str:
+        t = f"trim(regexp_replace(regexp_replace(lower({text}), '{licences.COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        t = f"(' ' || {t} || ' ')"
+        for spelling, usual in licences.EQUIVALENT:
+            t = f"replace({t}, ' {spelling} ', ' {usual} ')"
+        return f"trim({t})"
+
+    known = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licence_texts.KNOWN)
+    return f"""WITH k AS (SELECT sha256(c) AS digest, min(licence) AS licence FROM (SELECT licence, {canonical('text')} AS c FROM (VALUES {known}) v(licence, text)) GROUP BY 1),
+w AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS c FROM documents),
+l AS (SELECT doc_id, {canonical('line')} AS c FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+n AS (SELECT doc_id, string_agg(DISTINCT licence, '|' ORDER BY licence) AS notices FROM l JOIN k ON sha256(l.c) = k.digest WHERE l.c <> '' GROUP BY 1)
+SELECT w.doc_id, CASE WHEN w.c <> '' THEN sha256(w.c) END AS digest, CASE WHEN w.c <> '' THEN k.licence END AS licence, coalesce(n.notices, '') AS notices
+FROM w LEFT JOIN k ON sha256(w.c) = k.digest LEFT JOIN n ON n.doc_id = w.doc_id"""
+
+
+@register("op7_licence_scan", _licence_sql())
+def _(spark, sf_dir):
+    found = licences.scan_documents(read_entity(spark, sf_dir, "documents"), licence_texts.known_texts(spark))
+    return found.withColumn("notices", F.array_join("notices", "|"))
+
+
+@register("op3_ngram_lm")
+def _(spark, sf_dir):
+    docs = read_entity(spark, sf_dir, "documents")
+    model = ngram_lm.train(docs.where(~ngram_lm.is_held_out(docs)))
+    out = ngram_lm.score(docs, model)
+    return out.select("doc_id", ngram_lm.is_held_out(out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -180,8 +180,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                           (F.array_min(F.transform("draws", lambda d: d.n)) >= F.col("pass")).alias("all"))
     joined = marked.join(written(parts, "mix-passes"), "at")
     words = F.regexp_extract_all(F.col("row")[text_col], F.lit(rf"({WORD}[\x20\x09-\x0D]*)"))
-    text = F.when(F.col("all"), F.col("row")[text_col]).otherwise(F.array_join(F.flatten(F.transform(
-        "parts", lambda d: F.slice(words, (d.word + 1).cast("int"), (d.end - d.word).cast("int")))), ""))
+    # the words are found once: a one-element array binds them
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(
+        "parts", lambda d: F.slice(w, (d.word + 1).cast("int"), (d.end - d.word).cast("int")))), ""))
+    text = F.when(F.col("all"), F.col("row")[text_col]).otherwise(F.element_at(cut, 1))
     new = joined.select("row", text.alias("text"))
     return new.select(*[F.col("text").alias(c) if c == text_col else F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col("row")[c].alias(c)
                         for c in docs.columns])

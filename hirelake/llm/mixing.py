@@ -146,7 +146,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     drawn = F.element_at("upto", -1)
     free = F.filter(F.array(*[F.lit(p).cast("bigint") for p in PRIMES]), lambda p: F.col("blocks") % p != 0)
     plan = plan.withColumns({
-        "block": F.lit(block).cast("bigint"), "step": F.element_at(free, 1), "shift": F.pmod(F.xxhash64(F.lit(seed), "position"), F.greatest("blocks", F.lit(1))),
+        "block": F.lit(block).cast("bigint"), "step": F.coalesce(F.try_element_at(free, F.lit(1)), F.lit(1)), "shift": F.pmod(F.xxhash64(F.lit(seed), "position"), F.greatest("blocks", F.lit(1))),
         "rounds": F.when(F.col("blocks") > 0, F.floor(drawn / F.col("blocks"))).otherwise(0),
         "rest": F.when(F.col("blocks") > 0, drawn % F.col("blocks")).otherwise(0)})
     plan = written(plan, "mix-plan")

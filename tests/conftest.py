@@ -12,8 +12,9 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+def spark(tmp_path_factory):
+    s = build_session("local[8]", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+                                     "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
                                      "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     return s

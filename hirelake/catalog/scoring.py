@@ -146,8 +146,8 @@ def _(s):
 def _(s):
     df = scoring.with_candidates(
         s.applications.select("application_id", "job_id", "resume_id"),
-        scoring.job_arrays(scoring.clean_jd(s.jd_skills), s.vectors, 64),
-        scoring.resume_arrays(scoring.best_tier(s.resume_skills), s.vectors, 64), scoring.Weights())
+        scoring.job_arrays(scoring.clean_jd(s.jd_skills), s.vectors),
+        scoring.resume_arrays(scoring.best_tier(s.resume_skills), s.vectors), scoring.Weights())
     return (df.select("application_id", F.inline_outer(F.arrays_zip("jd", "cands")))
             .select("application_id", F.col("jd").alias("jd_skill"), F.inline_outer("cands")).where("skill is not null")
             .select("application_id", "jd_skill", F.col("skill").alias("resume_skill"), F.round("sim", 6).alias("similarity"),
@@ -212,15 +212,27 @@ def _(s):
     return scoring.match_readiness(s.applications, s.resumes, s.jobs, s.jd_skills.where("job_id % 7 <> 0")).drop("resume_id")
 
 
-@query("score_and_rank", "WITH " + _ROUTE.replace("WHERE job_id % 7 <> 0", "") + ", " + _SCORE[5:] + """,
+# raw and aliased job skills, and resumes with a flat list only
+_ALIASED = _SCORE.replace("""src AS (SELECT resume_id, lower(trim(skill)) AS skill, source, pos,""", """al0 AS (SELECT alias, min(canonical) AS canonical FROM v_alias GROUP BY 1),
+rs0 AS (SELECT resume_id, coalesce(al0.canonical, lower(trim(skill))) AS skill, CASE WHEN resume_id % 5 = 0 THEN 'skills_section' ELSE source END AS source, pos
+        FROM v_resume_skills LEFT JOIN al0 ON al0.alias = lower(trim(skill))),
+jd0 AS (SELECT job_id, coalesce(al0.canonical, sk) AS skill, pos FROM (SELECT job_id, pos, lower(trim(CASE WHEN pos % 2 = 0 THEN replace(skill, ' ', '-') ELSE skill END)) AS sk FROM v_jd_skills)
+        LEFT JOIN al0 ON al0.alias = sk),
+src AS (SELECT resume_id, lower(trim(skill)) AS skill, source, pos,""").replace("FROM v_resume_skills WHERE trim(skill)", "FROM rs0 WHERE trim(skill)").replace("FROM v_jd_skills GROUP BY", "FROM jd0 GROUP BY")
+
+
+@query("score_and_rank", "WITH " + _ROUTE.replace("WHERE job_id % 7 <> 0", "") + ", " + _ALIASED[5:] + """,
 st AS (SELECT r.application_id, r.reason, CASE WHEN r.reason IS NOT NULL THEN 'failed' WHEN r.js IS NULL THEN 'gone' WHEN r.rs <> 'done' OR r.js <> 'done' THEN 'pending' ELSE 'score' END AS route FROM route r),
-al AS (SELECT a.application_id, a.job_id, a.applied_at, st.route, CASE WHEN st.route = 'score' THEN round(round(f.score, 6), 1) END AS score,
+al AS (SELECT a.application_id, a.job_id, a.applied_at, st.route, CASE WHEN st.route = 'score' THEN round(f.score, 1) END AS score,
   lower(coalesce(u.full_name, u.email, v.candidate_name, v.original_filename)) AS sort_name FROM v_applications a JOIN st ON st.application_id = a.application_id
   LEFT JOIN final f ON f.application_id = a.application_id LEFT JOIN v_users u ON u.user_id = a.user_id LEFT JOIN v_resumes v ON v.resume_id = a.resume_id)
 SELECT application_id, job_id, route, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC NULLS LAST, applied_at, sort_name NULLS LAST, application_id) AS rank FROM al""")
 def _(s):
     from ..plans.composed import score_and_rank
-    out = score_and_rank(s.applications, s.jobs, s.resumes, s.users, s.jd_skills, s.resume_skills, s.vectors)
+    flat = s.resume_skills.select("resume_id", "skill", "pos")  # every fifth resume has only this list
+    by_source = s.resume_skills.where("resume_id % 5 <> 0")
+    jd = s.jd_skills.withColumn("skill", F.when(F.col("pos") % 2 == 0, F.replace("skill", F.lit(" "), F.lit("-"))).otherwise(F.col("skill")))
+    out = score_and_rank(s.applications, s.jobs, s.resumes, s.users, jd, by_source, s.vectors, alias=s.alias, flat=flat)
     return out.select("application_id", "job_id", "route", "score", "rank")
 
 

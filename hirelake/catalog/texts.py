@@ -283,7 +283,7 @@ def _(s):
 
 
 @query("collect_sections", _SECT + f"""SELECT d.doc_id, k.kind, count(s.doc_id) > 0 AS found, arg_min(s.heading, s.line_no) AS heading,
- md5(substr(coalesce(string_agg(s.line, {NL} ORDER BY s.line_no) FILTER (s.kind IS NULL), ''), 1, 20000)) AS hash
+ md5(coalesce(string_agg(s.line, {NL} ORDER BY s.line_no) FILTER (s.kind IS NULL), '')) AS hash
 FROM v_resume_docs d CROSS JOIN (VALUES ('experience'), ('projects')) k(kind) LEFT JOIN s ON s.doc_id = d.doc_id AND s.section = k.kind GROUP BY 1, 2""")
 def _(s):
     df = sec.partition_sections(s.resume_docs)

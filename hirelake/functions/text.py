@@ -122,18 +122,25 @@ def _expand_once(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("(")), F.array_join(F.transform(parts, rewrite), "")).otherwise(text)
 
 
-def expand_parens(text: Column, depth: int = 4) -> Column:
+def _nesting(text: Column) -> Column:
+    """Deepest nesting of parentheses."""
+    def step(s: Column, p: Column) -> Column:
+        now = F.greatest(F.lit(0), s["now"] + F.when(p == "(", 1).otherwise(-1))
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit("([()])"), F.lit(1)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
+
+
+def expand_parens(text: Column) -> Column:
     """Lower-case and turn ``x (a, b)`` into ``x, x a, x b``; long or prose bases stay.
 
-    Each round removes one nesting level, so ``depth`` rounds reach the fixed
-    point of text nested up to ``depth`` levels; deeper text keeps its outer
-    parentheses.
+    Each round removes one nesting level; the text's own depth gives the number
+    of rounds, so the fixed point is reached whatever the depth.
     """
     plain = F.translate(F.lower(text), "\u0001\u0002", "  ")
     out = F.replace(F.regexp_replace(plain, r"\(\s*cid:127\s*\)", ", "), F.lit("\u2022"), F.lit(", "))
-    for _ in range(depth):
-        out = let(out, _expand_once)
-    return out
+    rounds = lambda x: F.when(_nesting(x) > 0, F.sequence(F.lit(1), _nesting(x))).otherwise(F.array().cast("array<int>"))
+    return let(out, lambda x: F.aggregate(rounds(x), x, lambda s, _: _expand_once(s)))
 
 
 def strip_labels(text: Column) -> Column:
@@ -183,7 +190,7 @@ def eval_normalize(text: Column) -> Column:
 def format_label(value: Column) -> Column:
     """'full_time' -> 'Full time'."""
     t = F.replace(value, F.lit("_"), F.lit(" "))
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))
 
 
 # Stored extension per verified content type.

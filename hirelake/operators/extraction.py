@@ -16,21 +16,24 @@ from ..functions.text import let
 SOURCE_KEYS = ("skills_section", "work_experience", "projects")
 
 
-def tag_skills(docs: DataFrame, key: list[str], text: str, lexicon: DataFrame, max_words: int = 3) -> DataFrame:
+def tag_skills(docs: DataFrame, key: list[str], text: str, lexicon: DataFrame) -> DataFrame:
     """(key, skill, pos): lexicon terms found in the text as word runs, at their first place.
 
-    Runs of up to ``max_words`` words are made in the row, distinct first, and
-    matched by equality; the text is never compared with every term.
+    Runs of as many words as the longest term has are made in the row, distinct
+    first, and matched by equality; the text is never compared with every term.
     ``lexicon(alias, canonical)``.
     """
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}+#]+(?:[.-][\p{L}\p{N}+#]+)*)"), F.lit(1))
 
+    longest = lexicon.agg(F.coalesce(F.max(F.size(F.split("alias", " "))), F.lit(1))).scalar()
+
     def runs(tok: Column) -> Column:
         starts = F.when(F.size(tok) > 0, F.sequence(F.lit(1), F.size(tok))).otherwise(F.array().cast("array<int>"))
         return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max_words), F.size(tok) - i + 1)),
+            F.sequence(F.lit(1), F.least(F.col("_longest"), F.size(tok) - i + 1)),
             lambda n: F.array_join(F.slice(tok, i, n), " ")))))
 
+    docs = docs.withColumn("_longest", longest)
     grams = docs.select(*key, F.posexplode_outer(let(tokens, runs)).alias("pos", "alias"))
     return (
         grams.join(lexicon.select("alias", "canonical"), "alias")

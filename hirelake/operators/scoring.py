@@ -99,29 +99,29 @@ def clean_jd(jd: DataFrame, alias: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("job_id", "jd_skill").agg(F.min("pos").alias("pos"))
 
 
-def _vectorised(df: DataFrame, skill: str, vectors: DataFrame, dim: int) -> DataFrame:
+def _vectorised(df: DataFrame, skill: str, vectors: DataFrame) -> DataFrame:
+    """Add ``vec``; a skill without one gets zeros of the width that the vectors have."""
     v = vectors.select(F.col("skill").alias(skill), F.col("embedding").alias("vec"))
-    return df.join(v, skill, "left").withColumn(
-        "vec", F.coalesce("vec", F.array_repeat(F.lit(0.0).cast("float"), dim))
-    )
+    width = vectors.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).scalar()
+    return df.join(v, skill, "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0).cast("float"), width)))
 
 
-def job_arrays(jd: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+def job_arrays(jd: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row per job: ``jd`` skills in list order and their vectors.  A job lists at most 100 skills."""
     return (
-        _vectorised(jd, "jd_skill", vectors, dim)
+        _vectorised(jd, "jd_skill", vectors)
         .groupBy("job_id")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "jd_skill", "vec"))).alias("_jd"))
         .select("job_id", F.col("_jd.jd_skill").alias("jd"), F.flatten("_jd.vec").alias("jd_vec"))
     )
 
 
-def resume_arrays(index: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+def resume_arrays(index: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row per resume: indexed skills in insertion order.  Length is bounded by the distinct skills."""
     if "basis" not in index.columns:
         index = index.withColumn("basis", F.lit("by_source"))
     return (
-        _vectorised(index, "skill", vectors, dim)
+        _vectorised(index, "skill", vectors)
         .groupBy("resume_id")
         .agg(
             F.sort_array(F.collect_list(F.struct("place", "skill", "weight", "source", "vec"))).alias("_rs"),
@@ -224,9 +224,9 @@ def with_skills_score(df: DataFrame, w: Weights) -> DataFrame:
 
 def score_applications(
     apps: DataFrame, jd: DataFrame, index: DataFrame, vectors: DataFrame,
-    resumes: DataFrame, jobs: DataFrame, w: Weights = Weights(), dim: int = 64,
+    resumes: DataFrame, jobs: DataFrame, w: Weights = Weights(),
 ) -> DataFrame:
-    """Score every application with its full explanation, unrounded.
+    """Score every application; the parts are unrounded, the explanation per skill has three decimals.
 
     ``apps(application_id, job_id, resume_id)``, ``jd`` from :func:`clean_jd`,
     ``index`` from :func:`best_tier` or :func:`tier_fallback`,
@@ -234,8 +234,8 @@ def score_applications(
     """
     df = with_candidates(
         apps.select("application_id", "job_id", "resume_id"),
-        jobs.select("job_id", "min_experience_months").join(job_arrays(jd, vectors, dim), "job_id", "left"),
-        resumes.select("resume_id", "experience_months").join(resume_arrays(index, vectors, dim), "resume_id", "left"),
+        jobs.select("job_id", "min_experience_months").join(job_arrays(jd, vectors), "job_id", "left"),
+        resumes.select("resume_id", "experience_months").join(resume_arrays(index, vectors), "resume_id", "left"),
         w,
     )
     df = with_skills_score(with_evidence(df, w), w)
@@ -247,12 +247,14 @@ def score_applications(
         if ws + we > 0 else F.create_map().cast("map<string,double>")
     meets = F.when(F.col("min_experience_months") > 0, F.col("experience_months") >= F.col("min_experience_months"))
 
+    r3 = lambda c: F.round(c, 3)
+
     def explain(x: Column) -> Column:
         return F.struct(
             x["jd_skill"].alias("jd_skill"), x["resume_skill"].alias("resume_skill"),
-            x["similarity"].alias("similarity"), x["credit"].alias("credit"), x["source"].alias("source"),
-            x["tier_weight"].alias("tier_weight"),
-            F.when(x["proven"], "proven").otherwise("mentioned").alias("status"), x["u"].alias("evidence"),
+            r3(x["similarity"]).alias("similarity"), r3(x["credit"]).alias("credit"), x["source"].alias("source"),
+            r3(x["tier_weight"]).alias("tier_weight"),
+            F.when(x["proven"], "proven").otherwise("mentioned").alias("status"), r3(x["u"]).alias("evidence"),
         )
 
     return df.select(
@@ -265,7 +267,7 @@ def score_applications(
         meets.alias("meets_min_experience"),
         F.when(usable, used).otherwise(F.create_map().cast("map<string,double>")).alias("weights_used"),
         F.lit(w.experience_scale_months).alias("experience_scale_months"),
-        F.coalesce("skills_basis", F.lit("flat_fallback")).alias("skills_basis"),
+        F.when(F.size("jd") == 0, "by_source").otherwise(F.coalesce("skills_basis", F.lit("flat_fallback"))).alias("skills_basis"),
         "per_skill",
     )
 

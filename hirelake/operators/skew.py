@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-PIECES = 256
-
-
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: computed once, and it survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)
@@ -22,45 +19,24 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rank_rows(df: DataFrame, group: list[str], order: Column, out: str = "rank", pieces: int = PIECES,
-              small: int = 100_000) -> DataFrame:
+def rank_rows(df: DataFrame, group: list[str], order: Column, out: str = "rank") -> DataFrame:
     """``row_number`` over ``group`` by the struct ``order`` without one task per group.
 
     ``order`` must be a struct whose ascending order is the wanted one and
-    whose values are unique in a group.  For every group above ``small`` rows,
-    a hash sample of order values (the ``pieces`` smallest hashes, pruned on
-    the map side) gives the cut points; a row's piece is the number of cut
-    points at or below it.  Rank = rank in the piece + rows in earlier pieces.
-    The input is read several times: pass a table, or a costly frame through
-    :func:`written`.  Without ``group`` the whole frame is one ranking.
+    whose values are unique in a group.  Spark deals the rows by range of
+    (group, order); the placed rows are written once, each with the number of its
+    range.  Rank = rank among the group's rows of that range + the group's rows
+    in earlier ranges.  Without ``group`` the whole frame is one ranking.
     """
-    keyed = df.withColumn("_o", order)
-    if group:
-        big = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select(*group)
-        by_hash = Window.partitionBy(*group).orderBy(F.xxhash64("_o"), "_o")
-        cuts = (
-            keyed.select(*group, "_o").join(big, group, "left_semi")
-            .withColumn("_h", F.row_number().over(by_hash)).where(F.col("_h") < pieces)
-            .groupBy(*group).agg(F.collect_list("_o").alias("_cuts"))
-        )
-        cut_df = keyed.join(cuts, group, "left")
-        earlier = Window.partitionBy(*group).orderBy("_piece")
-    else:
-        sample = keyed.select("_o").orderBy(F.xxhash64("_o"), "_o").limit(pieces - 1).agg(F.collect_list("_o"))
-        cut_df = keyed.withColumn("_cuts", sample.scalar())
-        earlier = Window.orderBy("_piece")  # one row per piece
-    cut_df = cut_df.withColumn(
-        "_piece", F.greatest(F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_o"))), F.lit(0)), F.lit(0))).drop("_cuts")
-    offsets = (
-        cut_df.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_off", F.coalesce(F.sum("_c").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    )
-    return (
-        cut_df.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_piece").orderBy("_o")))
-        .join(offsets, [*group, "_piece"])
-        .withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint"))
-        .drop("_rn", "_off", "_piece", "_o")
-    )
+    ranged = df.withColumn("_o", order).repartitionByRange(*group, "_o").withColumn("_piece", F.spark_partition_id())
+    placed = written(ranged, "ranked")
+    earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = placed.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_c")).withColumn("_off", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).drop("_c")
+    local = Window.partitionBy(*group, "_piece").orderBy("_o")
+    ranked = placed.withColumn("_rn", F.row_number().over(local)).alias("r").join(
+        offsets.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_piece").alias("_p"), "_off"),
+        F.expr(" AND ".join(["_piece = _p", *[f"`{g}` <=> _g{i}" for i, g in enumerate(group)]])))
+    return ranked.withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint")).drop("_rn", "_off", "_piece", "_p", "_o", *[f"_g{i}" for i in range(len(group))])
 
 
 def lag_rows(df: DataFrame, key: list[str], order: list[str], piece: Column, cols: dict[str, str]) -> DataFrame:

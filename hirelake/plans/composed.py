@@ -13,25 +13,26 @@ from ..operators import filters as flt
 from ..operators import history as hist
 from ..operators import listing, operations, scoring
 from ..operators import sections as sec
-from ..operators.skew import written
 
 
 def score_and_rank(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, users: DataFrame, jd: DataFrame, skills: DataFrame,
-                   vectors: DataFrame, weights: scoring.Weights = scoring.Weights(), dim: int = 64) -> DataFrame:
+                   vectors: DataFrame, weights: scoring.Weights = scoring.Weights(), alias: DataFrame | None = None, flat: DataFrame | None = None) -> DataFrame:
     """Route, score and rank all applications; those not ready keep a null score and rank last.
 
-    Ranking uses the stored score, which has one decimal; the narrow score
-    table is written once and ranked from there.
+    ``alias`` maps the skills of both sides to canonical names; ``flat`` holds the
+    lists used for resumes without any list by source.  Ranking uses the stored
+    score, which has one decimal.
     """
-    clean = scoring.clean_jd(jd)
+    clean = scoring.clean_jd(jd, alias)
+    index = scoring.best_tier(skills, weights, alias) if flat is None else scoring.tier_fallback(skills, flat, weights, alias)
     route = scoring.match_readiness(apps, resumes, jobs, clean)
     ready = route.where("route = 'score'").select("application_id", "job_id", "resume_id")
-    scored = scoring.score_applications(ready, clean, scoring.best_tier(skills, weights), vectors, resumes, jobs, weights, dim)
-    stored = scored.select("application_id", F.round(F.round("score", 6), 1).alias("score"), "skills_score", "experience_score",
+    scored = scoring.score_applications(ready, clean, index, vectors, resumes, jobs, weights)
+    stored = scored.select("application_id", F.round("score", 1).alias("score"), "skills_score", "experience_score",
                            F.size("matched").alias("n_matched"), F.size("missing").alias("n_missing"))
     people = listing.display_identity(listing.with_people(apps, users, resumes)).select("application_id", "job_id", "applied_at", "sort_name")
     df = people.join(route.select("application_id", "route", "reason"), "application_id").join(stored, "application_id", "left")
-    return listing.rank_applicants(written(df, "scores"), "score")
+    return listing.rank_applicants(df, "score")
 
 
 def extract_resume_skills(docs: DataFrame, lexicon: DataFrame, today: Column) -> DataFrame:

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_text
 from ..operators.filters import first_reason
 
-# Extensions taken, usable characters needed, character cap of word documents, upload size cap.
+# Extensions taken, usable characters needed, upload size cap.
 ALLOWED = (".txt", ".pdf", ".docx")
 MIN_CHARS = 50
-CHAR_CAP = 20_000
 MAX_BYTES = 10 * 1024 * 1024
 PDF, DOCX = "application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 
@@ -32,15 +31,13 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
                       decode_bytes(F.col("content")).alias("text"))
 
 
-def ingest_text(df: DataFrame, cap: int = CHAR_CAP, min_len: int = MIN_CHARS) -> DataFrame:
+def ingest_text(df: DataFrame, min_len: int = MIN_CHARS) -> DataFrame:
     """Add ``clean`` and ``reason`` (null = accepted) to (file_name, text) rows.
 
-    Both outputs of an intake are filters on ``reason``.  The cap is the
-    documented limit of word documents; other texts are read whole.
+    Both outputs of an intake are filters on ``reason``; texts are read whole.
     """
     ext = extension(F.col("file_name"))
-    body = F.when(ext == ".docx", F.substring("text", 1, cap)).otherwise(F.col("text"))
-    return df.withColumn("clean", clean_text(body)).withColumn("reason", first_reason(
+    return df.withColumn("clean", clean_text(F.col("text"))).withColumn("reason", first_reason(
         (F.coalesce(F.length("text"), F.lit(0)) == 0, "empty"),
         (~ext.isin(*ALLOWED), "unsupported type"),
         (F.length("clean") < min_len, "too little text"),

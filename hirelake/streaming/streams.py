@@ -111,7 +111,7 @@ def stream_changes(audit: DataFrame) -> DataFrame:
     return with_changes(audit)
 
 
-def stream_readiness(resume_done: DataFrame, job_done: DataFrame, apps: DataFrame, within: str = "30 days") -> DataFrame:
+def stream_readiness(resume_done: DataFrame, job_done: DataFrame, apps: DataFrame, within: str) -> DataFrame:
     """An application is due when both its sides are done, at the later of the two moments.
 
     Stream-stream join: each side is first tied to its applications (a static

@@ -82,8 +82,8 @@ def test_readiness_stream(spark, tmp_path):
     for name, df in (("r", r), ("j", j)):
         df.coalesce(1).write.parquet(str(tmp_path / name))
     read = lambda n, df: streams.event_time(spark.readStream.schema(df.schema).parquet(str(tmp_path / n)), lateness="2 days")
-    live = streams.run_to_table(streams.stream_readiness(read("r", r), read("j", j), apps), "append")
-    want = streams.stream_readiness(r, j, apps)
+    live = streams.run_to_table(streams.stream_readiness(read("r", r), read("j", j), apps, "30 days"), "append")
+    want = streams.stream_readiness(r, j, apps, "30 days")
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, want.collect())) and want.count() > 0
 
 

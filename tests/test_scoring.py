@@ -12,7 +12,6 @@ ALONE = {f"s{i}": [1.0 if i == j else 0.0 for j in range(6)] for i in range(6)}
 
 def run(spark, jd, work=(), projects=(), mention=(), months=None, need=None, vec=ALONE, w=sc.Weights(), flat=None):
     S = spark.createDataFrame
-    dim = len(next(iter(vec.values())))
     rows = [(1, src, s, i) for src, l in (("work_experience", work), ("projects", projects), ("skills_section", mention)) for i, s in enumerate(l)]
     skills = S(rows, "resume_id long, source string, skill string, pos long")
     index = sc.best_tier(skills, w) if flat is None else sc.tier_fallback(skills, S([(1, s, i) for i, s in enumerate(flat)], "resume_id long, skill string, pos long"), w)
@@ -20,7 +19,7 @@ def run(spark, jd, work=(), projects=(), mention=(), months=None, need=None, vec
         S([(1, 1, 1)], "application_id long, job_id long, resume_id long"),
         sc.clean_jd(S([(1, s, i) for i, s in enumerate(jd)], "job_id long, skill string, pos long")), index,
         S([(k, v) for k, v in vec.items()], "skill string, embedding array<float>"),
-        S([(1, months)], "resume_id long, experience_months long"), S([(1, need)], "job_id long, min_experience_months long"), w, dim)
+        S([(1, months)], "resume_id long, experience_months long"), S([(1, need)], "job_id long, min_experience_months long"), w)
     return out.first()
 
 
@@ -76,3 +75,10 @@ def test_score_range(stage):
     from hirelake.catalog.scoring import scored
     r = scored(stage).agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("n")).first()
     assert 0 <= r.lo <= r.hi <= 100 and r.n == 1500
+
+
+def test_wide_vectors(spark):
+    wide = {f"s{i}": [1.0 if i == j else 0.0 for j in range(128)] for i in range(6)}
+    r = run(spark, ["s0", "unknown"], work=["s0"], months=24, vec=wide)
+    assert r.coverage == pytest.approx(0.5) and r.missing == ["unknown"]
+    assert run(spark, [], work=["s0"], months=24).skills_basis == "by_source"

@@ -15,7 +15,7 @@ def hot(spark, n=3000):
 def test_rank_rows(spark):
     df = hot(spark)
     for group in (["g"], []):
-        got = skew.rank_rows(df, group, F.struct("v", "id"), "rank", pieces=16, small=50)
+        got = skew.rank_rows(df, group, F.struct("v", "id"), "rank")
         w = (Window.partitionBy(*group) if group else Window).orderBy("v", "id")
         assert got.where("rank is null").isEmpty() and got.count() == df.count()
         assert got.withColumn("want", F.row_number().over(w)).where("rank <> want").isEmpty()
@@ -23,7 +23,7 @@ def test_rank_rows(spark):
 
 def test_rank_rows_ties_and_nulls(spark):
     df = hot(spark).withColumn("v", F.when(F.col("id") % 2 == 0, F.lit(5)).when(F.col("id") % 5 == 0, None).otherwise(F.col("v")))
-    got = skew.rank_rows(df, ["g"], F.struct(F.col("v").isNull().alias("a"), (-F.col("v")).alias("b"), F.col("id").alias("c")), pieces=8, small=10)
+    got = skew.rank_rows(df, ["g"], F.struct(F.col("v").isNull().alias("a"), (-F.col("v")).alias("b"), F.col("id").alias("c")))
     w = Window.partitionBy("g").orderBy(F.desc_nulls_last("v"), "id")
     assert got.withColumn("want", F.row_number().over(w)).where("rank <> want").isEmpty()
 

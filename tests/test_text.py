@@ -176,3 +176,19 @@ def test_resume_and_job_plans(spark):
     job = "About us\nWe like go\nRequirements:\n- 3+ years of experience with Python\n- AWS\n  (S3)\nBenefits\nsql training"
     j = extract_job_requirements(spark.createDataFrame([(1, job)], "doc_id long, text string"), lex).first()
     assert j.found and j.min_months == 36 and j.min_source == "requirements_section" and set(j.skills) >= {"python", "aws"} and "sql" not in j.skills
+
+
+def test_deep_parentheses_reach_the_fixed_point(spark):
+    text = "a (b (c (d (e (f (g))))))"
+    got = one(spark, text, t.expand_parens)
+    assert "(" not in got and got.endswith("g") and got == one(spark, got, t.expand_parens)
+
+
+def test_long_sections_and_long_terms_are_whole(spark):
+    body = "\n".join(f"line {i} " + "x" * 50 for i in range(1000))
+    df = spark.createDataFrame([("Work Experience\n" + body,)], "text string")
+    got = sec.partition_sections(df).select(sec.collect_section("sections", "experience")["section_text"].alias("s")).first().s
+    assert got == body and len(got) > 55_000
+    lex = spark.createDataFrame([("large scale data base design", "dbd"), ("data", "data")], "alias string, canonical string")
+    docs = spark.createDataFrame([(1, "We do large scale data base design daily")], "doc_id long, text string")
+    assert {r.skill for r in ex.tag_skills(docs, ["doc_id"], "text", lex).collect()} == {"dbd", "data"}

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skills import cosine_grid, credit, experience_score
+from ..functions.text import let
 from .lexicon import normalize_skill
 
 # Source names in scoring order, and the credit that counts as "has it".
@@ -153,14 +154,15 @@ def with_candidates(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, w: Wei
     )
 
     def per_jd(j: Column, i: Column) -> Column:
-        def one(r: Column, k: Column) -> Column:
-            same = r["skill"] == j
-            sim = F.when(same, F.lit(1.0)).otherwise(F.col("grid")[i * F.col("n_rs") + k])
-            c = F.when(same, F.lit(1.0)).otherwise(credit(F.col("grid")[i * F.col("n_rs") + k], w.sim_low, w.sim_high))
-            return F.struct(
+        def judged(r: Column, k: Column, sim: Column) -> Column:
+            c = credit(sim, w.sim_low, w.sim_high) if w.sim_high <= 1.0 else F.when(r["skill"] == j, 1.0).otherwise(credit(sim, w.sim_low, w.sim_high))
+            return let(c, lambda c: F.struct(
                 (c * r["weight"]).alias("e"), (-k).alias("neg"), r["skill"].alias("skill"), c.alias("c"),
-                sim.alias("sim"), r["source"].alias("source"), r["weight"].alias("weight"),
-            )
+                sim.alias("sim"), r["source"].alias("source"), r["weight"].alias("weight")))
+
+        def one(r: Column, k: Column) -> Column:
+            sim = F.when(r["skill"] == j, F.lit(1.0)).otherwise(F.get(F.col("grid"), i * F.col("n_rs") + k))
+            return let(sim, lambda sim: judged(r, k, sim))
 
         return F.sort_array(F.filter(F.transform(F.col("rs"), one), lambda x: x["c"] > 0), asc=False)
 
@@ -173,30 +175,34 @@ def with_evidence(df: DataFrame, w: Weights) -> DataFrame:
     def proven(source: Column) -> Column:
         return source.isin(*PROVEN_SOURCES)
 
-    def one(j: Column, i: Column) -> Column:
-        cands = F.col("cands")[i]
-        own = F.filter(F.col("rs"), lambda r: (r["skill"] == j) & (r["weight"] >= 1.0))
-        settled = F.size(own) > 0
-        e1 = F.coalesce(F.try_element_at(cands, F.lit(1))["e"], F.lit(0.0))
-        e2 = F.coalesce(F.try_element_at(cands, F.lit(2))["e"], F.lit(0.0))
-        real = F.filter(cands, lambda x: x["c"] >= MATCHED_CREDIT)
-        shown = F.array_max(F.transform(real, lambda x: F.struct(
-            proven(x["source"]).alias("p"), x["e"].alias("e"), x["neg"].alias("neg"), x["skill"].alias("skill"),
-            x["c"].alias("c"), x["sim"].alias("sim"), x["source"].alias("source"), x["weight"].alias("weight"))))
-        mine = F.try_element_at(own, F.lit(1))
+    def found(j: Column, i: Column) -> Column:
+        """What the rest reads several times: evaluated once per skill."""
+        cands = F.get(F.col("cands"), i)
+        return F.struct(
+            F.get(F.filter(F.col("rs"), lambda r: (r["skill"] == j) & (r["weight"] >= 1.0)), F.lit(0)).alias("mine"),
+            F.coalesce(F.get(cands, F.lit(0))["e"], F.lit(0.0)).alias("e1"), F.coalesce(F.get(cands, F.lit(1))["e"], F.lit(0.0)).alias("e2"),
+            F.array_max(F.transform(F.filter(cands, lambda x: x["c"] >= MATCHED_CREDIT), lambda x: F.struct(
+                proven(x["source"]).alias("p"), x["e"].alias("e"), x["neg"].alias("neg"), x["skill"].alias("skill"),
+                x["c"].alias("c"), x["sim"].alias("sim"), x["source"].alias("source"), x["weight"].alias("weight")))).alias("shown"))
+
+    def told(j: Column, v: Column) -> Column:
+        mine, shown, settled = v["mine"], v["shown"], v["mine"].isNotNull()
         return F.struct(
             j.alias("jd_skill"),
-            F.when(settled, 1.0).otherwise(F.least(F.lit(1.0), e1 + w.support_rho * (1 - e1) * e2)).alias("u"),
-            F.when(settled, proven(mine["source"])).otherwise(
-                F.exists(real, lambda x: proven(x["source"]))).alias("proven"),
+            F.when(settled, 1.0).otherwise(F.least(F.lit(1.0), v["e1"] + w.support_rho * (1 - v["e1"]) * v["e2"])).alias("u"),
+            # the match to show is a proven one wherever there is any
+            F.when(settled, proven(mine["source"])).otherwise(F.coalesce(shown["p"], F.lit(False))).alias("proven"),
             F.when(settled, j).otherwise(shown["skill"]).alias("resume_skill"),
             F.when(settled, 1.0).otherwise(shown["sim"]).alias("similarity"),
             F.when(settled, 1.0).otherwise(shown["c"]).alias("credit"),
             F.when(settled, mine["source"]).otherwise(shown["source"]).alias("source"),
             F.when(settled, mine["weight"]).otherwise(shown["weight"]).alias("tier_weight"),
-            e1.alias("e1"), e2.alias("e2"),
+            v["e1"].alias("e1"), v["e2"].alias("e2"),
         )
 
+    def one(j: Column, i: Column) -> Column:
+        return let(found(j, i), lambda v: told(j, v))
+
     return df.withColumn("per_skill", F.transform("jd", one))
 
 

@@ -84,9 +84,9 @@ def _(s):
 
 
 @query("audit_snapshot", """SELECT application_id AS resource_id, 'delete' AS action, CAST(job_id AS STRING) || '/' || status AS held, after_json IS NULL AS empty_after
-FROM (SELECT *, NULL AS after_json FROM v_applications) WHERE status = 'rejected'""")
+FROM (SELECT *, NULL AS after_json FROM v_applications)""")
 def _(s):
-    rows = sinks.audit_rows(s.applications.where("status = 'rejected'"), "application", "application_id", "delete", 5, dt.datetime(2024, 1, 1))
+    rows = sinks.audit_rows(s.applications, "application", "application_id", "delete", 5, dt.datetime(2024, 1, 1))
     return rows.select("resource_id", "action", F.concat_ws("/", F.get_json_object("before_json", "$.job_id"), F.get_json_object("before_json", "$.status")).alias("held"),
                        F.col("after_json").isNull().alias("empty_after"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import functions as F
 
@@ -18,9 +19,13 @@ _NOW = "TIMESTAMP '1999-01-01 00:00:00'"
 _VIEWERS = "(SELECT user_id, role, company FROM v_users WHERE user_id IN (0, 1, 5))"
 
 
-def viewers(s):
-    """The accounts that ask: the superuser, an admin and a recruiter."""
-    return s.users.where("user_id IN (0, 1, 5)")
+#: The accounts that ask: the superuser, an admin and a recruiter.
+ASKING = [0, 1, 5]
+
+
+def for_each_viewer(s, scope):
+    """A one-account scope for each asking account."""
+    return functools.reduce(lambda a, b: a.unionByName(b), [scope(s.jobs, s.users, v) for v in ASKING])
 
 
 def recruiter(s):
@@ -51,25 +56,25 @@ _WRITE = f"SELECT * FROM ({_READ}) WHERE viewer_role <> 'recruiter' OR created_b
 
 @query("scope_read_jobs", f"SELECT job_id, viewer_id FROM ({_READ})")
 def _(s):
-    return scopes.read_scope(s.jobs, viewers(s)).select("job_id", "viewer_id")
+    return for_each_viewer(s, scopes.read_scope).select("job_id", "viewer_id")
 
 
 @query("scope_write_jobs", f"SELECT job_id, viewer_id FROM ({_WRITE})")
 def _(s):
-    return scopes.write_scope(s.jobs, viewers(s)).select("job_id", "viewer_id")
+    return for_each_viewer(s, scopes.write_scope).select("job_id", "viewer_id")
 
 
 @query("scope_applicant_docs", f"""SELECT resume_id FROM v_resumes WHERE owner_id = 5 OR uploaded_by = 5 OR resume_id IN
  (SELECT resume_id FROM v_applications WHERE job_id IN (SELECT job_id FROM ({_WRITE}) WHERE viewer_id = 5))""")
 def _(s):
-    w = scopes.write_scope(s.jobs, viewers(s))
+    w = scopes.write_scope(s.jobs, s.users, recruiter(s))
     return scopes.resume_scope(s.resumes, s.applications, w, recruiter(s)).select("resume_id")
 
 
 @query("can_withdraw", f"""SELECT application_id, user_id AS viewer_id FROM v_applications WHERE user_id IS NOT NULL
 UNION ALL SELECT a.application_id, w.viewer_id FROM v_applications a JOIN ({_WRITE}) w ON a.job_id = w.job_id WHERE a.user_id IS NULL""")
 def _(s):
-    return scopes.can_withdraw(s.applications, s.jobs, viewers(s))
+    return scopes.can_withdraw(s.applications, s.jobs, s.users, ASKING)
 
 
 @query("library_scope", "SELECT resume_id FROM v_resumes WHERE uploaded_by = 5 AND NOT is_archived")

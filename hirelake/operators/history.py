@@ -59,22 +59,22 @@ def audit_filter(resource_type=None, resource_id=None, action=None, actor_id=Non
 
 def label_audit(audit: DataFrame, jobs: DataFrame, users: DataFrame, resumes: DataFrame) -> DataFrame:
     """Add ``label``: title, e-mail or file name of the row or its job, else what the snapshot holds."""
-    names = (
-        jobs.select(F.lit("job").alias("kind"), F.col("job_id").cast("string").alias("ref"), F.col("title").alias("name"))
-        .union(users.select(F.lit("user"), F.col("user_id").cast("string"), "email"))
-        .union(resumes.select(F.lit("resume"), F.col("resume_id").cast("string"), "original_filename"))
-    )
     child = F.col("resource_type").isin(*JOB_SCOPED_TYPES)
     snap = F.coalesce("before_json", "after_json")
     field = None
     for kind, key in LABEL_FIELDS.items():
         value = F.get_json_object(snap, f"$.{key}")
         field = F.when(F.col("resource_type") == kind, value) if field is None else field.when(F.col("resource_type") == kind, value)
-    return (
-        audit.withColumn("kind", F.when(child, "job").otherwise(F.col("resource_type")))
-        .withColumn("ref", F.when(child, _snap("job_id")).otherwise(F.col("resource_id").cast("string")))
-        .join(names, ["kind", "ref"], "left").withColumn("label", F.coalesce("name", field)).drop("kind", "ref", "name")
-    )
+    keyed = audit.withColumn("kind", F.when(child, "job").otherwise(F.col("resource_type"))).withColumn(
+        "ref", F.when(child, _snap("job_id")).otherwise(F.col("resource_id").cast("string")))
+
+    def named(kind: str, table: DataFrame, key: str, name: str) -> DataFrame:
+        """Names of the rows that the history mentions; the keys are few, and typed like the table's."""
+        asked = keyed.where(F.col("kind") == kind).select(F.col("ref").try_cast("bigint").alias(key)).distinct()
+        return table.select(key, name).join(asked, key).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("ref"), F.col(name).alias("name"))
+
+    names = named("job", jobs, "job_id", "title").union(named("user", users, "user_id", "email")).union(named("resume", resumes, "resume_id", "original_filename"))
+    return keyed.join(names, ["kind", "ref"], "left").withColumn("label", F.coalesce("name", field)).drop("kind", "ref", "name")
 
 
 def with_changes(audit: DataFrame) -> DataFrame:

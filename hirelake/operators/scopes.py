@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Audit rows of these types belong to a job named in their snapshot.
 JOB_SCOPED_TYPES = ("application", "application_note")
-SPREAD = 256
 
 
 def read_clause(role: str, company: int | None) -> Column:
@@ -19,36 +18,22 @@ def read_clause(role: str, company: int | None) -> Column:
     return F.lit(False)
 
 
-def _viewers(viewers: DataFrame) -> DataFrame:
-    return viewers.select(F.col("user_id").alias("viewer_id"), F.col("role").alias("viewer_role"),
-                          F.col("company").alias("viewer_company"))
+def read_scope(jobs: DataFrame, users: DataFrame, viewer_id: int) -> DataFrame:
+    """Jobs one account may read, with ``viewer_id`` and ``viewer_role``; its role and company are looked up as scalars."""
+    me = users.where(F.col("user_id") == viewer_id)
+    role, company = me.select("role").scalar(), me.select("company").scalar()
+    seen = (role == "superuser") | (role.isin("admin", "recruiter") & (F.col("company") == company))
+    return jobs.where(seen).withColumns({"viewer_id": F.lit(viewer_id).cast("bigint"), "viewer_role": role})
 
 
-def read_scope(jobs: DataFrame, viewers: DataFrame) -> DataFrame:
-    """(viewer, job) pairs for reading: superusers see all, admins and recruiters their company.
-
-    Two equality joins instead of one theta join: staff join on the company,
-    and superusers on a hash of the job spread over ``SPREAD`` keys.
-    """
-    v = _viewers(viewers)
-    staff = v.where(F.col("viewer_role").isin("admin", "recruiter") & F.col("viewer_company").isNotNull())
-    same = jobs.join(staff, jobs["company"] == staff["viewer_company"])
-    everyone = v.where("viewer_role = 'superuser'").withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    every = jobs.withColumn("_k", F.pmod(F.xxhash64("job_id"), F.lit(SPREAD)).cast("int")).join(everyone, "_k")
-    cols = [*jobs.columns, "viewer_id", "viewer_role"]
-    return same.select(*cols).unionByName(every.select(*cols))
-
-
-def write_scope(jobs: DataFrame, viewers: DataFrame) -> DataFrame:
-    """(viewer, job) pairs for writing: a recruiter only their own jobs in their company."""
-    return read_scope(jobs, viewers).where(
-        (F.col("viewer_role") != "recruiter") | (F.col("created_by") == F.col("viewer_id")))
+def write_scope(jobs: DataFrame, users: DataFrame, viewer_id: int) -> DataFrame:
+    """Jobs one account may write: a recruiter only their own jobs in their company."""
+    return read_scope(jobs, users, viewer_id).where((F.col("viewer_role") != "recruiter") | (F.col("created_by") == F.col("viewer_id")))
 
 
 def resume_scope(resumes: DataFrame, apps: DataFrame, writable: DataFrame, viewer_id: int) -> DataFrame:
     """Documents a viewer may open: own, uploaded, or of an applicant to a job they may write."""
-    mine = writable.where(F.col("viewer_id") == viewer_id).select("job_id")
-    reach = apps.join(mine, "job_id", "left_semi").where("resume_id is not null").select("resume_id").distinct()
+    reach = apps.join(writable.select("job_id"), "job_id", "left_semi").where("resume_id is not null").select("resume_id").distinct()
     return (
         resumes.join(reach.withColumn("_r", F.lit(True)), "resume_id", "left")
         .where(F.col("_r").isNotNull() | (F.col("owner_id") == viewer_id) | (F.col("uploaded_by") == viewer_id))
@@ -56,12 +41,13 @@ def resume_scope(resumes: DataFrame, apps: DataFrame, writable: DataFrame, viewe
     )
 
 
-def can_withdraw(apps: DataFrame, jobs: DataFrame, viewers: DataFrame) -> DataFrame:
-    """(application, viewer) pairs: the owner of an account row, the job's writers of an unowned row."""
-    owned = apps.where("user_id is not null").select("application_id", F.col("user_id").alias("viewer_id"))
-    writers = write_scope(jobs.select("job_id", "company", "created_by"), viewers).select("job_id", "viewer_id")
-    unowned = apps.where("user_id is null").join(writers, "job_id").select("application_id", "viewer_id")
-    return owned.unionByName(unowned)
+def can_withdraw(apps: DataFrame, jobs: DataFrame, users: DataFrame, viewer_ids: list[int]) -> DataFrame:
+    """(application, viewer) pairs: the owner of an account row; of an unowned row those of the asking accounts that may write its job."""
+    out = apps.where("user_id is not null").select("application_id", F.col("user_id").alias("viewer_id"))
+    for viewer_id in viewer_ids:
+        writable = write_scope(jobs.select("job_id", "company", "created_by"), users, viewer_id).select("job_id", "viewer_id")
+        out = out.unionByName(apps.where("user_id is null").join(writable, "job_id").select("application_id", "viewer_id"))
+    return out
 
 
 def library(resumes: DataFrame, viewer_id: int, role: str) -> DataFrame:

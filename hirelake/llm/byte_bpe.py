@@ -362,8 +362,8 @@ def decoded(ids: Column, raw: bytes) -> Column:
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` and ``offsets``."""
-    out = docs.withColumn("_encoded", encoded(whole(text_col), read_ranks(path)))
-    return out.select(*[column(c) for c in docs.columns if c not in ("ids", "offsets")], "_encoded.ids", "_encoded.offsets")
+    out = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), encoded(whole(text_col), read_ranks(path)).alias("new"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("ids", "offsets")], "new.ids", "new.offsets")
 
 
 def round_trip(text: Column, raw: bytes) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, fingerprints, licence_texts, licences, mixing, near_dups, ngram_lm, toxicity, url_reputation, warc
-from .shared import read_entity, remainder, whole
+from .shared import LOWER, UPPER, read_entity, remainder, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +37,37 @@ def _(spark, sf_dir):
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 
-@register("op2_url_reputation")
+def _reputation_sql() -> str:
+    """The three levels and their priors once more, for DuckDB."""
+    u = url_reputation
+    host = f"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
+    ruled = [(f"(host = '{r.split('/')[0]}' OR host LIKE '%.{r.split('/')[0]}') AND starts_with(path, '/{r.split('/', 1)[1]}')", r, v)
+             for r, v in sorted(RULES, key=lambda x: -len(x[0]))]
+    rule, verdict = ("CASE " + " ".join(f"WHEN {fits} THEN '{out[k]}'" for fits, *out in ruled) for k in (0, 1))
+    two = f"regexp_extract(host, '[^.]*([.][^.]*)?$') IN ({', '.join(repr(x) for x in u.SUFFIXES)})"
+    low, high = u.STRENGTH
+
+    def strength(level: str) -> str:
+        return f"""(SELECT coalesce(CASE WHEN b <= 0 THEN {high} ELSE greatest({low}, least({high}, spread / b - 1)) END, {high}) FROM
+ (SELECT (sum(n * (bad / n - up) ** 2) - sum(up * (1 - up))) / greatest(sum(n) - sum(n * n) / sum(n), 1e-9) AS b, avg(up * (1 - up)) AS spread FROM {level} WHERE n > 0))"""
+
+    rate = "(bad + m * up) / (n + m)"
+    return f"""WITH p AS (SELECT page_id, {host} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+  TRY_CAST(regexp_extract(url, '://[^/?#]*/[a-z]{{2}}/([0-9]{{1,18}})', 1) AS BIGINT) AS doc_id FROM pages),
+o AS (SELECT host, NULL AS bad FROM p UNION ALL SELECT host, quality = 0 OR toxic = 1 FROM p JOIN labels USING (doc_id)),
+h AS (SELECT host, count(bad)::DOUBLE AS n, (count(*) FILTER (bad))::DOUBLE AS bad, regexp_extract(host, CASE WHEN {two} THEN '[^.]*([.][^.]*)?$' ELSE '[^.]*$' END) AS suffix,
+  regexp_extract(host, CASE WHEN {two} THEN '[^.]*([.][^.]*){{0,2}}$' ELSE '[^.]*([.][^.]*)?$' END) AS domain FROM o GROUP BY host),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM h) AS up FROM h GROUP BY 1),
+s1 AS (SELECT suffix, {rate} AS rate FROM (SELECT *, {strength('s0')} AS m FROM s0)),
+d0 AS (SELECT domain, d.n, d.bad, s1.rate AS up FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2) d JOIN s1 USING (suffix)),
+d1 AS (SELECT domain, {rate} AS rate FROM (SELECT *, {strength('d0')} AS m FROM d0)),
+h0 AS (SELECT host, n, bad, d1.rate AS up FROM h JOIN d1 USING (domain)),
+h1 AS (SELECT host, bad + m * up AS a, n - bad + m * (1 - up) AS b FROM (SELECT *, {strength('h0')} AS m FROM h0))
+SELECT page_id, host, path, {rule} END AS rule, {verdict} WHEN a / (a + b) - {u.Z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) > {u.BLOCK_ABOVE} THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN h1 USING (host)"""
+
+
+@register("op2_url_reputation", _reputation_sql())
 def _(spark, sf_dir):
     """A page is made from the document whose id is the number in its path; a label of that document is the page's outcome."""
     pages = read_entity(spark, sf_dir, "pages")

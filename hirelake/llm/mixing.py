@@ -34,7 +34,7 @@ MAX_REPEAT = 3
 #: Largest block, in words; smaller where a unit of weight has under a thousand such blocks.
 BLOCK_WORDS = 1024
 #: Mean words of a piece of a source's stream.
-PIECE_WORDS = 4_000_000
+PIECE_WORDS = 1_000_000
 SHARDS, SEED, GRID, ROUNDS = 4, 42, 32, 3
 #: Multipliers of the seeded order of blocks; one that has no factor in common with the number of blocks is taken.
 PRIMES = (104729, 104723, 104717, 104711, 104707, 104701, 104693, 104683, 104681, 104677, 104659, 104651, 104639)

@@ -147,7 +147,7 @@ def edit_and_compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     rows = _chained(docs, id_col, text_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(n, "piece").sortWithinPartitions("piece", "tail", F.desc_nulls_last("id"), F.xxhash64("text"))
+    ordered = rows.repartitionById(n, (F.col("piece") % n).cast("int")).sortWithinPartitions("piece", "tail", F.desc_nulls_last("id"), F.xxhash64("text"))
     return ordered.mapInArrow(compare, RESULT).withColumnRenamed("id", id_col)
 
 

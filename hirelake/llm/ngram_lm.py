@@ -201,7 +201,8 @@ def _merged_row(kind: str, shard: int, file: str, n: int, wide: int = 0, counts:
 
 
 def _dealt(df: DataFrame, shards: int) -> DataFrame:
-    return df.repartition(shards, "shard").sortWithinPartitions("shard")
+    """A task per shard: the shard's number is its partition."""
+    return df.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
 
 
 def _count_tokens(texts: DataFrame, folder: str, shards: int) -> DataFrame:

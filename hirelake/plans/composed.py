@@ -41,6 +41,7 @@ def extract_resume_skills(docs: DataFrame, lexicon: DataFrame, today: Column) ->
     Everything but the dictionary match happens inside the document row.  A
     skill is kept as the text spells it; scoring maps it to its canonical name.
     """
+    docs = docs.withColumn("text", t.clean_text(F.col("text")))
     d = sec.best_skills_heading(sec.partition_sections(docs)).withColumns({
         "work": sec.collect_section("sections", "experience"), "proj": sec.collect_section("sections", "projects")})
     d = xp.resume_experience(d, today).select(

@@ -192,3 +192,25 @@ def test_long_sections_and_long_terms_are_whole(spark):
     lex = spark.createDataFrame([("large scale data base design", "dbd"), ("data", "data")], "alias string, canonical string")
     docs = spark.createDataFrame([(1, "We do large scale data base design daily")], "doc_id long, text string")
     assert {r.skill for r in ex.tag_skills(docs, ["doc_id"], "text", lex).collect()} == {"dbd", "data"}
+
+
+def test_headings_seen(spark):
+    df = spark.createDataFrame([("Projects\na\nEducation\nb\nPROJECTS:\nc",)], "text string")
+    got = sec.partition_sections(df).select(sec.collect_section("sections", "projects").alias("s")).first().s
+    assert list(got.headings) == ["Projects", "PROJECTS:"] and got.section_text == "a\nc"
+
+
+@pytest.mark.parametrize("line,caps,fuzzy", [
+    ("REQUIRED SKILLS", True, True), ("SQL", False, False), ("- REQUIRED SKILLS", False, False), ("TOP 5 SKILLS", False, False),
+    ("Minimum Degree Qualifications", False, True), ("minimum degree qualifications", False, False), ("Required: SQL, Java", False, False), ("", False, False)])
+def test_caps_and_fuzzy_headings(spark, line, caps, fuzzy):
+    r = spark.createDataFrame([(line,)], "x string").select(sec.caps_heading(F.col("x")).alias("c"), sec.fuzzy_heading(F.col("x")).alias("f")).first()
+    assert (r.c, r.f) == (caps, fuzzy)
+
+
+def test_resume_text_is_cleaned_before_extraction(spark):
+    from hirelake.plans.composed import extract_resume_skills
+    lex = spark.createDataFrame([("python", "python")], "alias string, canonical string")
+    resume = "Skills\nPython\u00a0\n\n\n\nWork Experience\nJan 2020 â€“ Jan 2022 Acme"
+    r = extract_resume_skills(spark.createDataFrame([(1, resume)], "doc_id long, text string"), lex, F.lit(TODAY)).first()
+    assert list(r.skills) == ["python"] and r.experience_months == 24

@@ -193,6 +193,19 @@ def _(s):
     return intake.bulk_ingest(_uploads(s)).select("item_no", "chunk", "reason", "accepted")
 
 
+@query("batch_extract", """SELECT doc_id, CASE WHEN length(text) >= 400 THEN md5(text) END AS hash,
+ CASE WHEN length(text) < 400 THEN 'ValueError: only ' || CAST(length(text) AS STRING) || ' characters' END AS error FROM documents""")
+def _(s):
+    def extract(content: bytes) -> str:
+        text = content.decode()
+        if len(text) < 400:
+            raise ValueError(f"only {len(text)} characters")
+        return text
+
+    files = s.table("documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    return intake.extract_each(files, extract).select("doc_id", F.md5("text").alias("hash"), "error")
+
+
 _CELLS = """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '=' || role WHEN 1 THEN ' +1,"' || role || '"' ELSE role END AS a, CASE WHEN turn % 2 = 0 THEN NULL ELSE text END AS b FROM conversations"""
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,27 @@ def ingest_text(df: DataFrame, min_len: int = MIN_CHARS) -> DataFrame:
     ))
 
 
+def extract_each(files: DataFrame, extract: Callable[[bytes], str], content: str = "content") -> DataFrame:
+    """Add ``text`` and ``error``: a file on which ``extract`` fails becomes an error row, the batch goes on.
+
+    ``error`` is the exception's name and message; a null content is an error as well.
+    """
+
+    @F.pandas_udf("text string, error string")
+    def run(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in values:
+            try:
+                if v is None:
+                    raise ValueError("no content")
+                out.append((extract(bytes(v)), None))
+            except Exception as e:  # the row tells what failed
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["text", "error"], dtype=object)
+
+    return files.withColumn("_got", run(F.col(content))).withColumns({"text": F.col("_got.text"), "error": F.col("_got.error")}).drop("_got")
+
+
 def sniff_type(content: Column, declared: Column) -> Column:
     """True when the leading bytes agree with the declared type; unknown types never do."""
     lead = lambda n: F.hex(F.substring(content, 1, n))

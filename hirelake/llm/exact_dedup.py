@@ -7,7 +7,9 @@ digest, so equal digests of different texts never meet.  A group that holds a
 third of all rows sends one row per task.
 
 Only texts whose 64-bit hash occurs twice can have a copy; no other text is
-moved.  That filter is a join with the list of such hashes.
+compared.  That filter is a join with the list of such hashes: Spark broadcasts
+the list while it is below the session's threshold, so texts stay where they
+are; beyond, texts are dealt by hash once, and the skew join splits a hot one.
 
 Defined cases: null texts are empty; texts that differ in blanks only are
 equal; ties go to the smallest id, null ids last; of repeated rows with the id

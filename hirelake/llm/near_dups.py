@@ -15,6 +15,15 @@ a dense group does not give all its pairs.  Components grow by large-star and
 small-star steps, as joins and map-side combined minima; every step is cut by
 a checkpoint.
 
+``keep_one_of_alike`` goes by the texts themselves: word sets of ``WORDS``-word
+shingles with a Jaccard similarity of ``ALIKE`` or more.  Such pairs differ in
+about 10 bits of 64 and often in 15, where chains of segments prune nothing, so
+candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which a
+pair at 0.8 shares none with chance 5e-6.  In a bucket, pairs whose sketches of
+``LANES`` half bytes agree in ``NEAR`` or more are searched for a spanning forest;
+its components hold every candidate above.  The shingle sets of a component
+meet once and links are decided by their exact similarity.
+
 Defined cases: null and blank texts have fingerprint zero and are linked like
 others; repeated rows share their component; null ids are no candidates for the
 smallest id; an empty table gives an empty result; other columns are carried
@@ -23,7 +32,8 @@ smallest id; an empty table gives an empty result; other columns are carried
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +45,12 @@ from pyspark.sql import functions as F
 from .shared import column, fold, shared_dir, whole, written
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
+#: Words of a shingle and least Jaccard similarity of ``keep_one_of_alike``.
+WORDS, ALIKE = 5, 0.8
+#: Minima of a key, keys of a text, half bytes of a sketch and how many of them candidates share (five deviations below 0.8).
+ROWS, BANDS, LANES, NEAR = 6, 40, 64, 36
+#: Bytes of shingle sets that are held in memory, the rest is mapped; elements compared at once.
+HELD, AT_ONCE = 1 << 27, 1 << 20
 #: Hashes counted at once; keeps the bit table of a long text small.
 BLOCK = 8192
 #: Runs of a bucket up to this length are compared by shifting, longer ones by search.
@@ -184,10 +200,13 @@ def components(pairs: DataFrame) -> DataFrame:
         e = _cut(small.distinct())
 
 
-def groups_of(rows: DataFrame, least: Column, radius: int = RADIUS) -> DataFrame:
-    """(fp, root, best): each distinct fingerprint of ``rows`` (fp, ...) with its component and the least ``least`` in it."""
+def groups_of(rows: DataFrame, least: Column, radius: int = RADIUS, link: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(fp, root, best): each distinct fingerprint of ``rows`` (fp, ...) with its component and the least ``least`` in it.
+
+    ``link`` makes the links of the nodes (fp, best) in place of the Hamming radius.
+    """
     nodes = written(rows.groupBy("fp").agg(F.min(least).alias("best")), "near-nodes")
-    roots = _cut(components(links(nodes.select("fp"), radius)))
+    roots = _cut(components(link(nodes) if link else links(nodes.select("fp"), radius)))
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     best = joined.groupBy("root").agg(F.min("best").alias("best"))
     linked = joined.select("fp", "root").join(best, "root").select("fp", "root", F.col("best").alias("least"))
@@ -211,3 +230,179 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     groups = groups_of(thin, F.col("rank"), radius).select("fp", "best")
     dropped = thin.join(groups, "fp").where(F.col("best.at") != F.col("at")).select("at")
     return marked.join(written(dropped, "near-dropped"), "at", "left_anti").select("row.*")
+
+
+def shingles(text: str, size: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 values of the word shingles, distinct and in order; a shorter text is one shingle, a blank one none."""
+    words = text.encode("utf-8", "replace").translate(fold).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    ends = ends.tolist()[min(size, len(words)) - 1:]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(ends)))
+
+
+def _minima(h: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Least value of the set under each of the multipliers, the high half of a product counting."""
+    least = np.full(len(by), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), BLOCK // 8):
+        x = (h[at:at + BLOCK // 8, None] ^ by[None, :]) * np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, ((x ^ x >> np.uint64(32)) * (by | np.uint64(1))[None, :]).min(0))
+    return least
+
+
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(1, 1 << 64, ROWS * BANDS, np.uint64, endpoint=False)
+
+
+def _marks(text: Column) -> Column:
+    """(fp, keys, sketch): digest of the shingle set, its bands' keys, and half bytes of its first minima."""
+
+    @F.pandas_udf("fp bigint, keys array<bigint>, sketch binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        by, band = _multipliers(), np.arange(BANDS, dtype=np.uint64)
+        fps, keys, sketches = [], [], []
+        for t in texts:
+            h = shingles(t)
+            fps.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+            least = _minima(h, by)
+            keys.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in zip(band.tolist(), least.reshape(BANDS, ROWS))], np.uint64).view(np.int64))
+            half = (least[:LANES] >> np.uint64(20)).astype(np.uint8) & 15
+            sketches.append((half[::2] | half[1::2] << 4).tobytes())
+        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "keys": keys, "sketch": sketches})
+
+    return of(text)
+
+
+def _search(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
+    """Spanning forest over places 0 to n - 1; ``near`` (place, places) tells which are linked. Every place is visited once."""
+    a, b, left = [], [], np.arange(n)
+    while len(left) > 1:
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            head = queue.pop()
+            hit = near(head, left)
+            found = left[hit].tolist()
+            a += [head] * len(found)
+            b += found
+            queue += found
+            left = left[~hit]
+    return a, b
+
+
+def _candidates(marks: DataFrame) -> DataFrame:
+    """Links (a, b) of ``marks`` (fp, keys, sketch; distinct fp) whose components hold all pairs with a common key and near sketches."""
+    width = LANES // 2
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint8)]
+
+        def forests(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            length = np.diff(np.r_[first, len(keys)])
+            out = [[], []]
+            for at, n in zip(first[length > 1].tolist(), length[length > 1].tolist()):
+                s = sketches[at:at + n]
+
+                def near(head: int, left: np.ndarray) -> np.ndarray:
+                    x = s[left] ^ s[head]
+                    return ((x & 15) == 0).sum(1) + ((x >> 4) == 0).sum(1) >= NEAR
+
+                for side, places in zip(out, _search(n, near)):
+                    side += fps[at:at + n][places].tolist()
+            return pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+        for batch in batches:
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, width)]
+            held = [np.concatenate(x) for x in zip(held, new)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut:
+                yield forests(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield forests(*held)
+
+    keys = marks.select(F.explode("keys").alias("key"), "fp", "sketch")
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(find, "a bigint, b bigint")
+
+
+def _confirmed(sets: DataFrame, alike: float) -> DataFrame:
+    """Links (a, b) between the sets of each ``root`` in ``sets`` (root, fp, hashes) that connect what pairs of that similarity connect."""
+
+    def forest(fps: list[int], sizes: list[int], data: np.ndarray) -> pa.RecordBatch:
+        size, start = np.array(sizes), np.r_[0, np.cumsum(sizes)]
+
+        def near(head: int, left: np.ndarray) -> np.ndarray:
+            own, hit = np.array(data[start[head]:start[head + 1]]), np.zeros(len(left), bool)
+            likely = np.flatnonzero(np.minimum(size[left], len(own)) >= alike * np.maximum(size[left], len(own)) - 1e-9)
+            step = np.r_[0, np.cumsum(size[left[likely]])] // AT_ONCE
+            for block in np.split(likely, np.flatnonzero(np.diff(step[:-1])) + 1) if len(likely) else []:
+                rows = left[block]
+                flat = np.concatenate([data[start[i]:start[i + 1]] for i in rows])
+                same = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                common = np.add.reduceat(same.astype(np.int64), np.r_[0, np.cumsum(size[rows])[:-1]])
+                hit[block] = common >= alike * (size[rows] + len(own) - common) - 1e-9
+            return hit
+
+        a, b = _search(len(fps), near)
+        return pa.record_batch([pa.array([fps[i] for i in x], pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fps, sizes = None, [], []
+        with tempfile.SpooledTemporaryFile(HELD) as file:
+
+            def done() -> pa.RecordBatch:
+                file.seek(0)
+                data = np.memmap(file, np.uint64, "r") if getattr(file, "_rolled", True) else np.frombuffer(file.read(), np.uint64)
+                return forest(fps, sizes, data)
+
+            for batch in batches:
+                for root, fp, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    if now is not None and root != now:
+                        yield done()
+                        fps, sizes = [], []
+                        file.seek(0)
+                        file.truncate()
+                    now = root
+                    fps.append(fp)
+                    sizes.append(len(raw) // 8)
+                    file.write(raw)
+            if fps:
+                yield done()
+
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.repartition(n, "root").sortWithinPartitions("root").mapInArrow(confirm, "a bigint, b bigint")
+
+
+def _alike_groups(marked: DataFrame, thin: DataFrame, alike: float) -> DataFrame:
+    """(fp, root, best) of the rows of ``marked`` (at, fp, keys, sketch, text); ``thin`` has their (fp, at, rank)."""
+
+    @F.pandas_udf("binary")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+
+    def link(nodes: DataFrame) -> DataFrame:
+        ones = nodes.select("fp", F.col("best.at").alias("at"))
+        marks = marked.select("at", "keys", "sketch").join(ones, "at")
+        coarse = components(_candidates(marks.select("fp", "keys", "sketch")))
+        chosen = ones.join(coarse.withColumnRenamed("node", "fp"), "fp")
+        sets = marked.select("at", "text").join(chosen, "at").select("root", "fp", hashes(F.col("text")).alias("hashes"))
+        return _confirmed(sets, alike)
+
+    return groups_of(thin, F.col("rank"), link=link)
+
+
+def keep_one_of_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE) -> DataFrame:
+    """The rows of ``docs``, all columns, with one of each group joined by pairs whose shingle sets are ``alike`` (0.8 at least): smallest id, null ids last."""
+    assert ALIKE <= alike <= 1
+    marks = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), _marks(whole(text_col)).alias("marks"), F.monotonically_increasing_id().alias("at"))
+    marked = written(marks.select("row", "at", "marks.*"), "alike-docs")
+    rank = F.struct(F.col("row")[id_col].isNull().alias("no_id"), F.col("row")[id_col].alias("id"), F.col("at"))
+    thin = marked.select("fp", "at", rank.alias("rank"))
+    groups = _alike_groups(marked.withColumn("text", whole(F.col("row")[text_col])), thin, alike).select("fp", "best")
+    dropped = thin.join(groups, "fp").where(F.col("best.at") != F.col("at")).select("at")
+    return marked.join(written(dropped, "alike-dropped"), "at", "left_anti").select("row.*")

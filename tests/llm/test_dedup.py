@@ -123,3 +123,47 @@ def test_links_connect_what_pairs_within_the_radius_connect(spark):
 def test_long_text_fingerprint_is_exact():
     text = " ".join(str(i % 977) for i in range(20_000))
     assert near_dups.simhash(text) == plain_simhash(text)
+
+
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_alike(rows, share=0.8):
+    """Rows joined by pairs of that Jaccard similarity, as the least place of each row's group."""
+    sets, root = [five_words(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) * 10 >= share * 10 * len(sets[i] | sets[j]) > 0:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_alike_texts_match_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(7, None), (3, ""), (None, " \n"), (11, "one"), (11, "One"), (12, "a b")]
+    for k in range(25):
+        v = rng.choices(words, k=rng.randint(20, 300))
+        for j in range(8):
+            rows.append((1000 - 10 * k - j, " ".join(v)))
+            v = list(v)
+            for _ in range(1 + len(v) * (k % 4) // 100):
+                v[rng.randrange(len(v))] = rng.choice(words)
+    root = brute_alike(rows)
+    best = {}
+    for (i, _), r in zip(rows, root):
+        best[r] = min(best.get(r, (True, 0)), (i is None, i or 0))
+    kept = near_dups.keep_one_of_alike(frame(spark, rows))
+    assert kept.columns == ["doc_id", "text", "size", "row"]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for _, i in best.values())
+    assert len(best) < near_dups.keep_one(frame(spark, rows)).count()  # op10's radius joins fewer
+    assert near_dups.keep_one_of_alike(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_alike_sets_beyond_memory_are_mapped(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "HELD", 100)
+    rows = [(i, " ".join(f"w{j}" for j in range(100)) + f" end{i}") for i in range(30)] + [(99, "another text of some words")]
+    assert sorted(r.doc_id for r in near_dups.keep_one_of_alike(frame(spark, rows)).collect()) == [0, 99]

@@ -95,3 +95,14 @@ def test_stages_pass_empty_tables(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
     assert near_dups.keep_one(empty).columns == docs.columns
+
+
+def test_near_stage_drops_texts_that_share_four_fifths_of_their_five_word_shingles(spark, docs):
+    words = [f"own{i}" for i in range(200)]
+    changed = list(words)
+    for at in (40, 90, 150):
+        changed[at] = "other"
+    apart = [w if i % 9 else "other" for i, w in enumerate(words)]
+    rows = spark.createDataFrame([(i, " ".join(w), "en", "src1", 0) for i, w in ((20_000, words), (20_001, changed), (20_002, apart))], SCHEMAS["documents"])
+    assert (plain_simhash(" ".join(words)) ^ plain_simhash(" ".join(changed))).bit_count() > near_dups.RADIUS
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, rows, SF).collect()) == [20_000, 20_002]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fingerprints, licence_texts, licences, mixing, near_dups, ngram_lm, toxicity, url_reputation, warc
+from . import byte_bpe, dialogue, exact_dedup, fingerprints, licence_texts, licences, mixing, near_dups, ngram_lm, toxicity, url_reputation, warc
 from .shared import LOWER, UPPER, read_entity, remainder, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,62 @@ def _(spark, sf_dir):
     model = ngram_lm.train(docs.where(~ngram_lm.is_held_out(docs)))
     out = ngram_lm.score(docs, model)
     return out.select("doc_id", ngram_lm.is_held_out(out).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+#: crc32 of a string as DuckDB expressions: its bytes, and a table of 256 entries made by the rule.
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+
+
+def _crc32_sql(text: str, table: str) -> str:
+    raw = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {raw}), lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])))"
+
+
+def _dialogue_sql() -> str:
+    """Forward search over four states (nothing, system, user, assistant last) that keeps the cheapest, least audit and its text of each."""
+    def step(frm: str, letter: str, cost: str, line: str = "''") -> str:
+        return f"{{'c': {frm}.c + {cost}, 'a': {frm}.a || '{letter}', 't': {frm}.t || {line}}}"
+
+    def kept(frm: str, role: str) -> str:
+        own = step(frm, "K", "late", "chr(10) || role || ':' || text") if role == "system" else f"CASE WHEN ini = '{role[0]}' THEN {step(frm, 'K', 'late', 'chr(10) || role || chr(58) || text')} END"
+        return own if role == "system" else f"{own}, {step(frm, 'R', '3 + late', f'chr(10) || {chr(39)}{role}:{chr(39)} || text')}"
+
+    filled = f"""list_min([x.u, {step('x.n', 'I', '3', "chr(10) || 'user:'")}, {step('x.s', 'I', '3', "chr(10) || 'user:'")}, {step('x.v', 'I', '3', "chr(10) || 'user:'")}])"""
+    both = f"""list_min([x.v, {step('y', 'I', '3', "chr(10) || 'assistant:'")}])"""
+
+    def keeps(options: str) -> str:
+        return f"CASE WHEN NOT must_go THEN list_min(list_filter([{options}], lambda o: o IS NOT NULL)) END"
+
+    def least(stay: str, kept_options: str) -> str:
+        return f"list_min(list_filter([{step(stay, 'D', '4')}, {keeps(kept_options)}], lambda o: o IS NOT NULL))"
+
+    never = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+    return f"""WITH RECURSIVE k AS (SELECT {_CRC_TABLE} AS tab),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT d.*, {_crc32_sql('key', 'k.tab')} % 20 AS fault FROM d, k),
+r AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM h, range(CASE WHEN fault = 3 THEN 2 ELSE 1 END) WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  left(role, 1) AS ini, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS fin FROM r),
+f AS (SELECT *, CASE WHEN fin = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN fin NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+  ini || lead(ini) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM o),
+g AS (SELECT conv_id, i, role, text, ini, fault IN ('b', 'd') AS must_go, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS late FROM f),
+v AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'n': {{'c': 0::BIGINT, 'a': '', 't': ''}}, 's': {never}, 'u': {never}, 'v': {never}}} AS x FROM f
+ UNION ALL
+ SELECT conv_id, i, {{'n': {step('x.n', 'D', '4')}, 's': list_min(list_filter([{step('x.s', 'D', '4')}, CASE WHEN ini = 's' AND NOT must_go THEN {kept('x.n', 'system')} END], lambda o: o IS NOT NULL)),
+  'u': {least('y', ', '.join(kept(q, 'user') for q in ('x.n', 'x.s', 'z')))}, 'v': {least('z', kept('y', 'assistant'))}}}
+ FROM (SELECT *, {both} AS z FROM (SELECT v.conv_id, g.i, role, text, ini, must_go, late, x, {filled} AS y FROM v JOIN g ON v.conv_id IS NOT DISTINCT FROM g.conv_id AND g.i = v.i + 1))),
+e AS (SELECT conv_id, list_min([x.n, {both}]) AS best FROM (SELECT conv_id, x, {filled} AS y FROM v
+  WHERE i = (SELECT max(i) FROM f WHERE f.conv_id IS NOT DISTINCT FROM v.conv_id))),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+@register("op11_conversation_repair", _dialogue_sql())
+def _(spark, sf_dir):
+    """Conversations with planted faults, repaired."""
+    rows = read_entity(spark, sf_dir, "conversations")
+    return dialogue.repair_report(dialogue.damage_rows(rows), rows)

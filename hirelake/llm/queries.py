@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, dialogue, exact_dedup, fingerprints, licence_texts, licences, mixing, near_dups, ngram_lm, toxicity, url_reputation, warc
+from . import byte_bpe, dialogue, exact_dedup, fingerprints, licence_texts, licences, mixing, near_dups, ngram_lm, pii, toxicity, url_reputation, variants, warc
 from .shared import LOWER, UPPER, read_entity, remainder, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,35 @@ def _(spark, sf_dir):
     """Conversations with planted faults, repaired."""
     rows = read_entity(spark, sf_dir, "conversations")
     return dialogue.repair_report(dialogue.damage_rows(rows), rows)
+
+
+def _variants_sql() -> str:
+    """Words one edit apart by their deletions: one is the other without a character, or both lose one at the same place."""
+    v = variants
+    runs = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{v.RUN}')"
+    return f"""WITH RECURSIVE k AS (SELECT {_CRC_TABLE} AS tab),
+t AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest({runs}) AS run FROM documents) WHERE length(run) >= {v.LEAST_LENGTH} GROUP BY 1, 2),
+h AS (SELECT run, c, {_crc32_sql("(coalesce(doc_id::VARCHAR, '') || ':' || run)", 'k.tab')} AS h FROM t, k),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h)
+ WHERE length(word) >= {v.LEAST_LENGTH} GROUP BY 1 HAVING sum(c) >= {v.LEAST_COUNT}),
+x AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word, b.word AS other, b.n AS other_n FROM x a JOIN x b ON a.short = b.short AND a.i = b.i AND a.word <> b.word
+ UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.short = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.short = w.word),
+b AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS top, max(other_n) AS top_n FROM e GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= {v.RATIO} * n THEN top END AS form, CASE WHEN top_n >= {v.RATIO} * n THEN top_n END AS form_n FROM w LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM r JOIN f ON f.form = r.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN r USING (word)"""
+
+
+@register("op13_spelling_variants", _variants_sql())
+def _(spark, sf_dir):
+    return variants.group_variants(variants.count_words(read_entity(spark, sf_dir, "documents")))
+
+
+@register("op12_personal_data")
+def _(spark, sf_dir):
+    found = pii.find_spans(read_entity(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    names = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(names, lambda s: s == F.lit(k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))

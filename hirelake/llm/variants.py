@@ -40,6 +40,8 @@ RUN = "[A-Za-zÀ-ÿ]+"
 LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 300_000
+#: Counts of grams are broadcast up to so many rows, beyond they are joined; the letters of RUN have 90 ** 2 pairs.
+GRAMS = 50_000
 #: One edit spoils two bigrams at most, so three are a prefix and two of them are disjoint.
 PREFIX = 3
 
@@ -99,7 +101,9 @@ def _pivots(prefix: Column) -> Column:
 def gram_prefixes(words: DataFrame) -> DataFrame:
     """``words`` with ``length``, ``last`` (order of the last gram of the prefix), ``places`` (positions of its grams) and ``pivots`` (two of them), from 0."""
     grams = words.select("word", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("p", "g"))
-    counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    counts = written(grams.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "variant-counts")
+    if counts.count() <= GRAMS:
+        counts = F.broadcast(counts)
     by_word = grams.join(counts, "g").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("c", "g", "p"))).alias("grams"))
     ordered = by_word.withColumn("last", F.struct(F.get("grams", F.lit(PREFIX - 1))["c"].alias("c"), F.get("grams", F.lit(PREFIX - 1))["g"].alias("g")))
     prefix = F.filter("grams", lambda x: F.struct(x["c"].alias("c"), x["g"].alias("g")) <= F.col("last"))

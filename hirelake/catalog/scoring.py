@@ -146,12 +146,11 @@ def _(s):
 def _(s):
     df = scoring.with_candidates(
         s.applications.select("application_id", "job_id", "resume_id"),
-        scoring.job_arrays(scoring.clean_jd(s.jd_skills), s.vectors),
-        scoring.resume_arrays(scoring.best_tier(s.resume_skills), s.vectors), scoring.Weights())
-    return (df.select("application_id", F.inline_outer(F.arrays_zip("jd", "cands")))
-            .select("application_id", F.col("jd").alias("jd_skill"), F.inline_outer("cands")).where("skill is not null")
-            .select("application_id", "jd_skill", F.col("skill").alias("resume_skill"), F.round("sim", 6).alias("similarity"),
-                    F.round("c", 6).alias("credit"), "weight"))
+        scoring.job_arrays(scoring.clean_jd(s.jd_skills)), scoring.resume_arrays(scoring.best_tier(s.resume_skills)), s.vectors, scoring.Weights())
+    return (df.select("application_id", "rs", F.inline_outer(F.arrays_zip("jd", "cands")))
+            .select("application_id", "rs", F.col("jd").alias("jd_skill"), F.inline_outer("cands")).where("k is not null")
+            .select("application_id", "jd_skill", F.get("rs", F.col("k"))["skill"].alias("resume_skill"), F.round("sim", 6).alias("similarity"),
+                    F.round("c", 6).alias("credit"), F.get("rs", F.col("k"))["weight"].alias("weight")))
 
 
 @query("top2_evidence", _PAIRS + "SELECT application_id, jd_skill, round(e1, 6) AS e1, round(e2, 6) AS e2, round(u, 6) AS u FROM per")

@@ -407,9 +407,10 @@ _WORD = "regexp_matches(' ' || b.txt || ' ', '[^a-z0-9+#]' || regexp_replace(k.n
 
 @query("whole_word_skills", f"SELECT DISTINCT k.doc_id, k.norm AS skill, b.source FROM ({_NSK}) k JOIN ({_NTXT}) b ON b.doc_id = k.doc_id WHERE {_WORD}")
 def _(s):
-    df = blocks(s).select("doc_id", "blocks", F.explode_outer(ex.merge(F.col("skills"))).alias("skill")).where("skill is not null").withColumn("skill", normalize_ws(F.col("skill")))
-    return (df.select("doc_id", "skill", F.explode_outer("blocks").alias("source", "text"))
-            .where(ex.contains_word(ex.block_text(F.col("text")), F.col("skill"))).select("doc_id", "skill", "source"))
+    norms = F.array_distinct(F.transform(ex.merge(F.col("skills")), normalize_ws))
+    df = blocks(s).withColumn("norms", norms).select("doc_id", "norms", F.explode_outer("blocks").alias("source", "text"))
+    df = df.withColumn("held", ex.held_words(ex.block_text(F.col("text")), ex.skill_parts(F.col("norms")))).select("doc_id", "source", F.arrays_zip("norms", "held").alias("k"))
+    return df.select("doc_id", "source", F.explode_outer("k").alias("k")).where("k.held").select("doc_id", F.col("k.norms").alias("skill"), "source")
 
 
 _SRCRANK = "CASE {} WHEN 'skills_section' THEN 0 WHEN 'work_experience' THEN 1 ELSE 2 END"

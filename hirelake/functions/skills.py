@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def normalize_ws(c: Column) -> Column:
@@ -40,23 +37,3 @@ def experience_score(months: Column, scale: float) -> Column:
     if scale <= 0:
         return F.lit(0.0)
     return F.when(months > 0, 1 - F.exp(-months / F.lit(float(scale)))).otherwise(0.0)
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def cosine_grid(left: pd.Series, right: pd.Series, n_left: pd.Series) -> pd.Series:
-    """Per row: every left vector against every right vector, row-major.
-
-    Both sides arrive flattened.  The grid lives only inside the row of one
-    application; no pair becomes a row of its own.
-    """
-    out = []
-    for a, b, n in zip(left, right, n_left):
-        if n == 0 or len(a) == 0 or len(b) == 0:
-            out.append(np.empty(0))
-            continue
-        x = np.asarray(a, dtype=np.float64).reshape(int(n), -1)
-        y = np.asarray(b, dtype=np.float64).reshape(-1, x.shape[1])
-        norms = np.outer(np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1)))
-        grid = np.divide(x @ y.T, norms, out=np.zeros_like(norms), where=norms > 0)
-        out.append(grid.ravel())
-    return pd.Series(out)

@@ -19,24 +19,23 @@ SOURCE_KEYS = ("skills_section", "work_experience", "projects")
 def tag_skills(docs: DataFrame, key: list[str], text: str, lexicon: DataFrame) -> DataFrame:
     """(key, skill, pos): lexicon terms found in the text as word runs, at their first place.
 
-    Runs of as many words as the longest term has are made in the row, distinct
-    first, and matched by equality; the text is never compared with every term.
+    A word of the text goes on only where a term begins with it, and then only
+    runs of the lengths of such terms are made and matched by equality.  While
+    Spark broadcasts the first words and the terms, only matches are shuffled.
     ``lexicon(alias, canonical)``.
     """
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}+#]+(?:[.-][\p{L}\p{N}+#]+)*)"), F.lit(1))
-
-    longest = lexicon.agg(F.coalesce(F.max(F.size(F.split("alias", " "))), F.lit(1))).scalar()
-
-    def runs(tok: Column) -> Column:
-        starts = F.when(F.size(tok) > 0, F.sequence(F.lit(1), F.size(tok))).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.col("_longest"), F.size(tok) - i + 1)),
-            lambda n: F.array_join(F.slice(tok, i, n), " ")))))
-
-    docs = docs.withColumn("_longest", longest)
-    grams = docs.select(*key, F.posexplode_outer(let(tokens, runs)).alias("pos", "alias"))
+    words = F.split("alias", " ")
+    longest = lexicon.agg(F.coalesce(F.max(F.size(words)), F.lit(1))).scalar()
+    firsts = lexicon.groupBy(F.get(words, F.lit(0)).alias("_first")).agg(F.collect_set(F.size(words)).alias("_sizes"))
+    windows = let(tokens, lambda tok: F.transform(tok, lambda _, i: F.slice(tok, i + 1, F.col("_longest"))))
+    rows = docs.withColumn("_longest", longest).select(*key, "_longest", F.posexplode_outer(windows).alias("_at", "_window"))
+    runs = rows.join(firsts, F.get("_window", F.lit(0)) == F.col("_first")).select(
+        *key, "_at", "_longest", "_window", F.explode(F.filter("_sizes", lambda n: n <= F.size("_window"))).alias("_n"))
+    runs = runs.select(*key, F.array_join(F.slice("_window", F.lit(1), F.col("_n")), " ").alias("alias"),
+                       (F.col("_at").cast("bigint") * (F.col("_longest") + 1) + F.col("_n")).alias("pos"))
     return (
-        grams.join(lexicon.select("alias", "canonical"), "alias")
+        runs.join(lexicon.select("alias", "canonical"), "alias")
         .groupBy(*key, F.col("canonical").alias("skill")).agg(F.min("pos").alias("pos"))
     )
 
@@ -59,10 +58,80 @@ def ground(skills: Column, text: Column) -> Column:
         F.transform(F.filter(m, lambda x: ~x["held"]), lambda x: x["s"]).alias("dropped")))
 
 
+#: Characters of a word; one skill stands in a text where no such character touches it.
+ATOM = "[a-z0-9+#]+"
+
+
+def skill_parts(norms: Column) -> Column:
+    """Normalised skills as structs: ``n``, its ``core`` from the first to the last atom, what stands before (``lead``) and after (``tail``), ``size`` in atoms, ``first`` atom."""
+
+    def parts(n: Column) -> Column:
+        atom = n.rlike(f"^{ATOM}$")
+        lead, tail = F.regexp_extract(n, "^[^a-z0-9+#]*", 0), F.regexp_extract(n, "[^a-z0-9+#]*$", 0)
+        core = F.substring(n, F.length(lead) + 1, F.greatest(F.lit(0), F.length(n) - F.length(lead) - F.length(tail)))
+        atoms = F.regexp_extract_all(n, F.lit(f"({ATOM})"), F.lit(1))
+        return F.struct(n.alias("n"), F.when(atom, n).otherwise(core).alias("core"), F.when(atom, "").otherwise(lead).alias("lead"), F.when(atom, "").otherwise(tail).alias("tail"),
+                        F.when(atom, 1).otherwise(F.size(atoms)).alias("size"), F.when(atom, n).otherwise(F.coalesce(F.get(atoms, F.lit(0)), F.lit(""))).alias("first"))
+
+    return F.transform(norms, parts)
+
+
+def held_words(text_norm: Column, skills: Column) -> Column:
+    """For each of the skills (:func:`skill_parts`) whether the text holds it as a whole word; keeps ``c++``, ``c#`` and ``node.js`` apart.
+
+    The text is cut once into atoms and the gaps between them.  Skills of one
+    atom are found among the atoms; for others runs of atoms, gaps included, are
+    made where some skill's first atom stands and in the lengths that skills
+    have, and compared by equality.  What a skill has before or after its atoms
+    is compared with the gaps around the run, less the character that touches
+    the next atom.
+    """
+    empty = F.array().cast("array<struct<raw:string,i:int,j:int>>")
+
+    def runs_of(v: Column) -> Column:
+        n = F.size(v["atoms"])
+        asked = F.filter(v["skills"], lambda s: (s["size"] > 1) | ((s["size"] == 1) & ((s["lead"] != "") | (s["tail"] != ""))))
+        wanted = F.struct(F.array_distinct(F.transform(asked, lambda s: s["size"])).alias("sizes"),
+                          F.array_intersect(F.transform(asked, lambda s: s["first"]), v["atoms"]).alias("firsts"))
+
+        def raw(i: Column, k: Column) -> Column:
+            inner = F.zip_with(F.slice(v["atoms"], i + 1, k - 1), F.slice(v["gaps"], i + 2, k - 1), lambda a, g: F.concat(a, g))
+            return F.concat(F.array_join(inner, ""), F.get(v["atoms"], i + k - 1))
+
+        def made(w: Column) -> Column:
+            starts = F.filter(F.transform(v["atoms"], lambda a, i: F.when(F.array_contains(w["firsts"], a), i)), lambda i: i.isNotNull())
+            runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(w["sizes"], lambda k: i + k <= n), lambda k: F.struct(
+                raw(i, k).alias("raw"), i.alias("i"), (i + k).alias("j")))))
+            return F.when(F.size(w["firsts"]) > 0, runs).otherwise(empty)
+
+        return let(wanted, made)
+
+    def judged(v: Column, runs: Column) -> Column:
+        last = F.size(v["atoms"])
+        cores = F.transform(v["skills"], lambda s: s["core"])
+        plain = F.concat(F.array_intersect(cores, v["atoms"]), F.array_intersect(cores, F.transform(runs, lambda r: r["raw"])))
+
+        def before(i: Column) -> Column:
+            return let(F.get(v["gaps"], i), lambda gap: F.when(i > 0, F.substring(gap, 2, F.length(gap))).otherwise(gap))
+
+        def after(j: Column, gap: Column) -> Column:
+            return F.when(j < last, F.left(gap, F.greatest(F.lit(0), F.length(gap) - 1))).otherwise(gap)
+
+        def one(found: Column, s: Column) -> Column:
+            around = F.exists(runs, lambda r: (r["raw"] == s["core"]) & F.endswith(before(r["i"]), s["lead"]) & F.startswith(after(r["j"], F.get(v["gaps"], r["j"])), s["tail"]))
+            between = F.exists(F.sequence(F.lit(0), last), lambda i: F.contains(after(i, before(i)), s["n"]))
+            return F.when(s["n"] == "", False).when(s["size"] == 0, between).when(~F.array_contains(found, s["core"]), False).when(
+                (s["lead"] == "") & (s["tail"] == ""), True).otherwise(around)
+
+        return let(plain, lambda found: F.transform(v["skills"], lambda s: one(found, s)))
+
+    index = F.struct(F.regexp_extract_all(text_norm, F.lit(f"({ATOM})"), F.lit(1)).alias("atoms"), F.split(text_norm, ATOM).alias("gaps"), skills.alias("skills"))
+    return let(index, lambda v: let(runs_of(v), lambda runs: judged(v, runs)))
+
+
 def contains_word(text_norm: Column, skill_norm: Column) -> Column:
-    """Whole-word containment that keeps ``c++``, ``c#`` and ``node.js`` apart."""
-    escaped = F.regexp_replace(skill_norm, r"([\\.\[\]{}()*+?^$|#&\-])", r"\\$1")
-    return (skill_norm != "") & F.rlike(text_norm, F.concat(F.lit("(?<![a-z0-9+#])"), escaped, F.lit("(?![a-z0-9+#])")))
+    """Whole-word containment of one skill; see :func:`held_words` for a list."""
+    return F.get(held_words(text_norm, skill_parts(F.array(skill_norm))), F.lit(0))
 
 
 def reroute(skills: Column, blocks: Column, keys: tuple[str, ...] = SOURCE_KEYS) -> Column:
@@ -96,15 +165,13 @@ def fill_occurrences(skills: Column, blocks: Column, keys: tuple[str, ...] = SOU
     """map<source, skills>: add to every source the listed skills its text holds as whole words."""
     get = lambda k: F.coalesce(F.try_element_at(skills, F.lit(k)), F.array().cast("array<string>"))
 
-    def full(k: str, everything: Column) -> Column:
-        known = F.struct(F.transform(get(k), normalize_ws).alias("have"),
-                         block_text(F.try_element_at(blocks, F.lit(k))).alias("text"))
-        extra = let(known, lambda v: F.filter(everything, lambda s: ~F.array_contains(v["have"], normalize_ws(s))
-                                              & contains_word(v["text"], normalize_ws(s))))
+    def full(k: str, v: Column) -> Column:
+        known = F.struct(F.transform(get(k), normalize_ws).alias("have"), held_words(block_text(F.try_element_at(blocks, F.lit(k))), v["parts"]).alias("held"))
+        extra = let(known, lambda w: F.filter(v["all"], lambda s, i: F.get(w["held"], i) & ~F.array_contains(w["have"], F.get(v["parts"], i)["n"])))
         return F.concat(get(k), extra)
 
-    return let(merge(skills, keys), lambda everything: F.map_from_arrays(
-        F.array(*[F.lit(k) for k in keys]), F.array(*[full(k, everything) for k in keys])))
+    listed = let(merge(skills, keys), lambda a: F.struct(a.alias("all"), skill_parts(F.transform(a, normalize_ws)).alias("parts")))
+    return let(listed, lambda v: F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*[full(k, v) for k in keys])))
 
 
 def merge(skills: Column, keys: tuple[str, ...] = SOURCE_KEYS) -> Column:

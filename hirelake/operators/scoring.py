@@ -1,24 +1,29 @@
 """Applicant-to-job scoring.
 
-Plan: both skill lists are reduced to one array per job and one per resume
-(grouped with map-side combine and already distinct, so a hot resume shrinks
-before the shuffle), then joined to the applications.  Everything after that
-happens inside the row of one application: a small numpy helper yields the
-similarity grid and Spark higher-order functions do the rest.  No pair of
-skills is ever emitted as a row.  A job with very many applicants is on the
-large side of a join with one row per job, which AQE splits.
+Plan: both skill lists are reduced to one array of names per job and one per
+resume (grouped with map-side combine and already distinct, so a hot resume
+shrinks before the shuffle), then joined to the applications.  Vectors never
+enter an application's row: blocks of applications get the vectors of their
+distinct skills once (``similarity.py``), numpy finds the strongest evidence
+per skill, and Spark's functions make the scores.  No pair of skills is ever
+emitted as a row.  A job with very many applicants is on the large side of a
+join with one row per job, which AQE splits, and is spread over all blocks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.skills import cosine_grid, credit, experience_score
-from ..functions.text import let
+from ..functions.skills import experience_score
 from .lexicon import normalize_skill
+from .similarity import Cells, Vectors, map_blocks
 
 # Source names in scoring order, and the credit that counts as "has it".
 SOURCES = ("work_experience", "projects", "skills_section")
@@ -100,73 +105,93 @@ def clean_jd(jd: DataFrame, alias: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("job_id", "jd_skill").agg(F.min("pos").alias("pos"))
 
 
-def _vectorised(df: DataFrame, skill: str, vectors: DataFrame) -> DataFrame:
-    """Add ``vec``; a skill without one gets zeros of the width that the vectors have."""
-    v = vectors.select(F.col("skill").alias(skill), F.col("embedding").alias("vec"))
-    width = vectors.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).scalar()
-    return df.join(v, skill, "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0).cast("float"), width)))
+def job_arrays(jd: DataFrame) -> DataFrame:
+    """One row per job: ``jd`` skills in list order.  A job lists at most 100 skills."""
+    return jd.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("pos", "jd_skill"))).alias("_jd")).select("job_id", F.col("_jd.jd_skill").alias("jd"))
 
 
-def job_arrays(jd: DataFrame, vectors: DataFrame) -> DataFrame:
-    """One row per job: ``jd`` skills in list order and their vectors.  A job lists at most 100 skills."""
-    return (
-        _vectorised(jd, "jd_skill", vectors)
-        .groupBy("job_id")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "jd_skill", "vec"))).alias("_jd"))
-        .select("job_id", F.col("_jd.jd_skill").alias("jd"), F.flatten("_jd.vec").alias("jd_vec"))
-    )
-
-
-def resume_arrays(index: DataFrame, vectors: DataFrame) -> DataFrame:
+def resume_arrays(index: DataFrame) -> DataFrame:
     """One row per resume: indexed skills in insertion order.  Length is bounded by the distinct skills."""
     if "basis" not in index.columns:
         index = index.withColumn("basis", F.lit("by_source"))
     return (
-        _vectorised(index, "skill", vectors)
-        .groupBy("resume_id")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("place", "skill", "weight", "source", "vec"))).alias("_rs"),
-            F.first("basis").alias("skills_basis"),
-        )
-        .select(
-            "resume_id", "skills_basis",
-            F.transform("_rs", lambda x: F.struct(x["skill"].alias("skill"), x["weight"].alias("weight"),
-                                                  x["source"].alias("source"))).alias("rs"),
-            F.flatten("_rs.vec").alias("rs_vec"),
-        )
+        index.groupBy("resume_id")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "skill", "weight", "source"))).alias("_rs"), F.first("basis").alias("skills_basis"))
+        .select("resume_id", "skills_basis", F.transform("_rs", lambda x: F.struct(
+            x["skill"].alias("skill"), x["weight"].alias("weight"), x["source"].alias("source"))).alias("rs"))
     )
 
 
-def with_candidates(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, w: Weights) -> DataFrame:
-    """Add ``cands``: for each JD skill its supporting resume skills, strongest evidence first.
-
-    A candidate is (evidence, -place, skill, credit, similarity, source, weight);
-    those without credit are left out.  Equal evidence keeps index order.
-    """
-    df = (
+def with_lists(apps: DataFrame, jobs: DataFrame, resumes: DataFrame) -> DataFrame:
+    """Applications with the lists of their job (``jd``) and resume (``rs``), empty where there is none."""
+    return (
         apps.join(jobs, "job_id", "left").join(resumes, "resume_id", "left")
         .withColumn("jd", F.coalesce("jd", F.array().cast("array<string>")))
         .withColumn("rs", F.coalesce("rs", F.array().cast("array<struct<skill:string,weight:double,source:string>>")))
-        .withColumn("n_rs", F.size("rs"))
-        .withColumn("grid", cosine_grid(F.coalesce("jd_vec", F.array().cast("array<float>")),
-                                        F.coalesce("rs_vec", F.array().cast("array<float>")), F.size("jd")))
-        .drop("jd_vec", "rs_vec")
     )
 
-    def per_jd(j: Column, i: Column) -> Column:
-        def judged(r: Column, k: Column, sim: Column) -> Column:
-            c = credit(sim, w.sim_low, w.sim_high) if w.sim_high <= 1.0 else F.when(r["skill"] == j, 1.0).otherwise(credit(sim, w.sim_low, w.sim_high))
-            return let(c, lambda c: F.struct(
-                (c * r["weight"]).alias("e"), (-k).alias("neg"), r["skill"].alias("skill"), c.alias("c"),
-                sim.alias("sim"), r["source"].alias("source"), r["weight"].alias("weight")))
 
-        def one(r: Column, k: Column) -> Column:
-            sim = F.when(r["skill"] == j, F.lit(1.0)).otherwise(F.get(F.col("grid"), i * F.col("n_rs") + k))
-            return let(sim, lambda sim: judged(r, k, sim))
+def _credits(cells: Cells, w: Weights) -> np.ndarray:
+    if w.sim_high <= w.sim_low:
+        c = (cells.sim >= w.sim_high).astype(float)
+    else:
+        c = np.clip((cells.sim - w.sim_low) / (w.sim_high - w.sim_low), 0.0, 1.0)
+    return c if w.sim_high <= 1.0 else np.where(cells.same, 1.0, c)
+
 
-        return F.sort_array(F.filter(F.transform(F.col("rs"), one), lambda x: x["c"] > 0), asc=False)
+CANDIDATES = "array<array<struct<e:double,k:int,c:double,sim:double>>>"
+FOUND = "array<struct<mine:int,e1:double,e2:double,shown:int,sim:double,c:double>>"
 
-    return df.withColumn("cands", F.transform("jd", per_jd)).drop("grid", "n_rs")
+
+def _struct(names: str, *arrays: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(a) for a in arrays], names=names.split())
+
+
+def with_candidates(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, vectors: DataFrame, w: Weights) -> DataFrame:
+    """Add ``cands``: for each JD skill its supporting resume skills, strongest evidence first.
+
+    A candidate is (evidence, place in ``rs``, credit, similarity); those without
+    credit are left out.  Equal evidence keeps index order.
+    """
+
+    def judge(b: pa.RecordBatch, v: Vectors) -> pa.Array:
+        x = Cells(b.column("jd"), b.column("rs"), v)
+        c = _credits(x, w)
+        e = c * b.column("rs").flatten().field("weight").to_numpy(zero_copy_only=False)[x.own]
+        at, _ = x.firsts(c > 0, -e, x.k)
+        counts = np.bincount(x.group[at], minlength=x.offsets[-1])
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), _struct("e k c sim", e[at], x.k[at].astype(np.int32), c[at], x.sim[at]))
+        return pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), inner)
+
+    return map_blocks(with_lists(apps, jobs, resumes), "application_id", "jd", "rs", vectors, judge, "cands", T.DataType.fromDDL(CANDIDATES))
+
+
+def with_found(df: DataFrame, vectors: DataFrame, w: Weights) -> DataFrame:
+    """Add ``found``: per JD skill its own entry of weight 1, the two strongest evidences, and the match to show with similarity and credit.
+
+    Entries are places in ``rs``, -1 for none.  The match to show has a credit of one half at least; a proven one comes first.
+    """
+
+    def judge(b: pa.RecordBatch, v: Vectors) -> pa.Array:
+        rs = b.column("rs").flatten()
+        x, weight = Cells(b.column("jd"), b.column("rs"), v), rs.field("weight").to_numpy(zero_copy_only=False)
+        proven = pc.is_in(rs.field("source"), value_set=pa.array(PROVEN_SOURCES)).to_numpy(zero_copy_only=False)
+        c, n = _credits(x, w), x.offsets[-1]
+        e = c * weight[x.own]
+        e1, e2, sim, credit = (np.zeros(n) for _ in range(4))
+        mine, shown = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        at, first = x.firsts(c > 0, -e, x.k)
+        e1[x.group[at[first]]] = e[at[first]]
+        second = np.setdiff1d(first + 1, np.r_[first, len(at)])
+        e2[x.group[at[second]]] = e[at[second]]
+        at, first = x.firsts(x.same & (weight[x.own] >= 1.0), x.k)
+        mine[x.group[at[first]]] = x.k[at[first]]
+        at, first = x.firsts(c >= MATCHED_CREDIT, ~proven[x.own], -e, x.k)
+        best = at[first]
+        shown[x.group[best]], sim[x.group[best]], credit[x.group[best]] = x.k[best], x.sim[best], c[best]
+        return pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), _struct("mine e1 e2 shown sim c", mine, e1, e2, shown, sim, credit))
+
+    return map_blocks(df, "application_id", "jd", "rs", vectors, judge, "found", T.DataType.fromDDL(FOUND))
 
 
 def with_evidence(df: DataFrame, w: Weights) -> DataFrame:
@@ -175,35 +200,23 @@ def with_evidence(df: DataFrame, w: Weights) -> DataFrame:
     def proven(source: Column) -> Column:
         return source.isin(*PROVEN_SOURCES)
 
-    def found(j: Column, i: Column) -> Column:
-        """What the rest reads several times: evaluated once per skill."""
-        cands = F.get(F.col("cands"), i)
-        return F.struct(
-            F.get(F.filter(F.col("rs"), lambda r: (r["skill"] == j) & (r["weight"] >= 1.0)), F.lit(0)).alias("mine"),
-            F.coalesce(F.get(cands, F.lit(0))["e"], F.lit(0.0)).alias("e1"), F.coalesce(F.get(cands, F.lit(1))["e"], F.lit(0.0)).alias("e2"),
-            F.array_max(F.transform(F.filter(cands, lambda x: x["c"] >= MATCHED_CREDIT), lambda x: F.struct(
-                proven(x["source"]).alias("p"), x["e"].alias("e"), x["neg"].alias("neg"), x["skill"].alias("skill"),
-                x["c"].alias("c"), x["sim"].alias("sim"), x["source"].alias("source"), x["weight"].alias("weight")))).alias("shown"))
-
     def told(j: Column, v: Column) -> Column:
-        mine, shown, settled = v["mine"], v["shown"], v["mine"].isNotNull()
+        entry = lambda k: F.when(v[k] >= 0, F.get(F.col("rs"), v[k]))
+        mine, shown, settled, seen = entry("mine"), entry("shown"), v["mine"] >= 0, v["shown"] >= 0
         return F.struct(
             j.alias("jd_skill"),
             F.when(settled, 1.0).otherwise(F.least(F.lit(1.0), v["e1"] + w.support_rho * (1 - v["e1"]) * v["e2"])).alias("u"),
             # the match to show is a proven one wherever there is any
-            F.when(settled, proven(mine["source"])).otherwise(F.coalesce(shown["p"], F.lit(False))).alias("proven"),
+            F.when(settled, proven(mine["source"])).otherwise(F.coalesce(proven(shown["source"]), F.lit(False))).alias("proven"),
             F.when(settled, j).otherwise(shown["skill"]).alias("resume_skill"),
-            F.when(settled, 1.0).otherwise(shown["sim"]).alias("similarity"),
-            F.when(settled, 1.0).otherwise(shown["c"]).alias("credit"),
+            F.when(settled, 1.0).when(seen, v["sim"]).alias("similarity"),
+            F.when(settled, 1.0).when(seen, v["c"]).alias("credit"),
             F.when(settled, mine["source"]).otherwise(shown["source"]).alias("source"),
             F.when(settled, mine["weight"]).otherwise(shown["weight"]).alias("tier_weight"),
             v["e1"].alias("e1"), v["e2"].alias("e2"),
         )
 
-    def one(j: Column, i: Column) -> Column:
-        return let(found(j, i), lambda v: told(j, v))
-
-    return df.withColumn("per_skill", F.transform("jd", one))
+    return df.withColumn("per_skill", F.transform("jd", lambda j, i: told(j, F.get(F.col("found"), i)))).drop("found")
 
 
 def _mean(arr: str, field: str) -> Column:
@@ -238,13 +251,12 @@ def score_applications(
     ``index`` from :func:`best_tier` or :func:`tier_fallback`,
     ``resumes(resume_id, experience_months)``, ``jobs(job_id, min_experience_months)``.
     """
-    df = with_candidates(
+    df = with_lists(
         apps.select("application_id", "job_id", "resume_id"),
-        jobs.select("job_id", "min_experience_months").join(job_arrays(jd, vectors), "job_id", "left"),
-        resumes.select("resume_id", "experience_months").join(resume_arrays(index, vectors), "resume_id", "left"),
-        w,
+        jobs.select("job_id", "min_experience_months").join(job_arrays(jd), "job_id", "left"),
+        resumes.select("resume_id", "experience_months").join(resume_arrays(index), "resume_id", "left"),
     )
-    df = with_skills_score(with_evidence(df, w), w)
+    df = with_skills_score(with_evidence(with_found(df, vectors, w), w), w)
     ws, we = max(0.0, w.skills), max(0.0, w.experience)
     df = df.withColumn("experience_score", experience_score(F.col("experience_months"), w.experience_scale_months))
     usable = F.col("skills_score").isNotNull() if ws + we > 0 else F.lit(False)

@@ -13,6 +13,7 @@ from ..operators import filters as flt
 from ..operators import history as hist
 from ..operators import listing, operations, scoring
 from ..operators import sections as sec
+from ..operators.skew import written
 
 
 def score_and_rank(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, users: DataFrame, jd: DataFrame, skills: DataFrame,
@@ -30,6 +31,7 @@ def score_and_rank(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, users:
     scored = scoring.score_applications(ready, clean, index, vectors, resumes, jobs, weights)
     stored = scored.select("application_id", F.round("score", 1).alias("score"), "skills_score", "experience_score",
                            F.size("matched").alias("n_matched"), F.size("missing").alias("n_missing"))
+    stored = written(stored, "scores")  # ranking deals rows by ranges, which would run the scorer once more to sample it
     people = listing.display_identity(listing.with_people(apps, users, resumes)).select("application_id", "job_id", "applied_at", "sort_name")
     df = people.join(route.select("application_id", "route", "reason"), "application_id").join(stored, "application_id", "left")
     return listing.rank_applicants(df, "score")

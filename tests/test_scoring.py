@@ -82,3 +82,43 @@ def test_wide_vectors(spark):
     r = run(spark, ["s0", "unknown"], work=["s0"], months=24, vec=wide)
     assert r.coverage == pytest.approx(0.5) and r.missing == ["unknown"]
     assert run(spark, [], work=["s0"], months=24).skills_basis == "by_source"
+
+
+def test_blocks_send_each_vector_once_and_match_pairwise_cosines(spark):
+    """Every application against its lists by plain numpy; one job has half of the applications, some skills have no vector."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    names = [f"n{i}" for i in range(30)]
+    vec = {n: rng.normal(size=8).tolist() for n in names[:25]} | {"n24": [0.0] * 8}
+    jd = {j: rng.choice(names, rng.integers(0, 5), replace=False).tolist() for j in range(12)}
+    rs = {r: [(s, float(rng.choice([1.0, 0.7, 0.35])), "projects") for s in rng.choice(names, rng.integers(0, 6), replace=False).tolist()] for r in range(20)}
+    apps = [(i, 0 if i % 2 else i % 13, i % 21) for i in range(300)]
+    S = spark.createDataFrame
+    df = sc.with_candidates(
+        S(apps, "application_id long, job_id long, resume_id long"), S(list(jd.items()), "job_id long, jd array<string>"),
+        S([(r, "by_source", v) for r, v in rs.items()], "resume_id long, skills_basis string, rs array<struct<skill:string,weight:double,source:string>>"),
+        S([(n, v) for n, v in vec.items()], "skill string, embedding array<float>"), sc.Weights())
+
+    def cosine(a, b):
+        if a == b:
+            return 1.0
+        x, y = (np.float32(vec.get(n, [0.0] * 8)).astype(float) for n in (a, b))
+        n = np.linalg.norm(x) * np.linalg.norm(y)
+        return float(x @ y / n) if n else 0.0
+
+    rows = df.collect()
+    assert len(rows) == len(apps)
+    for r in rows:
+        assert list(r.jd) == jd.get(r.job_id, []) and len(r.cands) == len(r.jd)
+        for wanted, cands in zip(r.jd, r.cands):
+            want = []
+            for k, (s, weight, _) in enumerate(rs.get(r.resume_id, [])):
+                c = min(1.0, max(0.0, (cosine(wanted, s) - 0.4) / 0.45))
+                if c > 0:
+                    want.append((-c * weight, k, c))
+            assert [(x.k, pytest.approx(x.c)) for x in cands] == [(k, c) for _, k, c in sorted(want)]
+
+
+def test_no_vector_column_in_the_application_row(spark, stage):
+    lists = sc.with_lists(stage.applications.select("application_id", "job_id", "resume_id"), sc.job_arrays(sc.clean_jd(stage.jd_skills)), sc.resume_arrays(sc.best_tier(stage.resume_skills)))
+    assert "float" not in lists.schema.simpleString()

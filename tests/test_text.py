@@ -214,3 +214,50 @@ def test_resume_text_is_cleaned_before_extraction(spark):
     resume = "Skills\nPython\u00a0\n\n\n\nWork Experience\nJan 2020 â€“ Jan 2022 Acme"
     r = extract_resume_skills(spark.createDataFrame([(1, resume)], "doc_id long, text string"), lex, F.lit(TODAY)).first()
     assert list(r.skills) == ["python"] and r.experience_months == 24
+
+
+def brute_held(text, skill):
+    return skill != "" and re.search("(?<![a-z0-9+#])" + re.escape(skill) + "(?![a-z0-9+#])", text) is not None
+
+
+def test_held_words_match_the_word_rule(spark):
+    import random
+    rng = random.Random(2)
+    bits = ["c", "c++", "c#", "node", ".", "js", " ", "-", "é", "a", "ab", "(", "+", "/", "日"]
+    rows = []
+    for _ in range(300):
+        text = " ".join("".join(rng.choice(bits) for _ in range(rng.randint(0, 30))).split())
+        skills = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 4))).strip() for _ in range(8)]
+        cut = sorted(rng.sample(range(len(text) + 1), 2)) if text else (0, 0)
+        rows.append((text, [*skills, "", text, text[slice(*cut)].strip()]))
+    rows += [("", ["c", "."]), ("word " * 30_000 + "node.js .net", ["node.js", ".net", "net", "js .", "word word", "ord"])]
+    df = spark.createDataFrame(rows, "text string, skills array<string>")
+    for r in df.withColumn("held", ex.held_words(F.col("text"), ex.skill_parts(F.col("skills")))).collect():
+        assert list(r.held) == [brute_held(r.text, s) for s in r.skills], (r.text[:80], r.skills)
+
+
+def test_tagging_shuffles_only_runs_that_may_match(spark):
+    docs = spark.createDataFrame([(1, "we like red widget and red hats, c++ too " * 50)], "doc_id int, text string")
+    lex = spark.createDataFrame([("red widget", "red widget"), ("c++", "c++"), ("red", "red")], "alias string, canonical string")
+    out = ex.tag_skills(docs, ["doc_id"], "text", lex)
+    assert {(r.skill, r.pos) for r in out.collect()} == {("red", 7), ("red widget", 8), ("c++", 22)}
+
+
+def test_ranges_cost_one_row_each_and_hot_people_are_bounded(spark):
+    """A third of a million ranges of one person, long ones among them, against months counted one by one."""
+    import random
+    rng = random.Random(1)
+    spans = [(1, rng.randint(1950 * 12, 2023 * 12), rng.choice([0, 1, 5, 600])) for _ in range(2000)]
+    spans += [(2, 1970 * 12, 600), (2, 2021 * 12, 3), (2, 2021 * 12 + 3, 2), (3, 2030 * 12, 4), (4, 2000 * 12, 0)]
+    rows = [(k, dt.date(m // 12, m % 12 + 1, 9), dt.date((m + n) // 12, (m + n) % 12 + 1, 20)) for k, m, n in spans]
+    df = spark.createDataFrame(rows, "k int, start_date date, end_date date")
+    today, limit = F.lit(TODAY), TODAY.year * 12 + TODAY.month - 1
+    covered = {k: {x for kk, m, n in spans if kk == k and m <= limit for x in range(m, min(m + n, limit))} for k in range(1, 5)}
+    hot = df.union(df.where("k = 1").crossJoin(spark.range(150)).drop("id"))
+    got = {r.k: r.months for r in xp.experience_months(hot, "k", today).collect()}
+    assert got == {1: len(covered[1]), 2: len(covered[2]), 3: None, 4: 0}
+    assert sum(r.months for r in xp.merge_ranges(hot, "k", today).collect()) == sum(map(len, covered.values()))
+    assert xp._swept(hot, "k", today).groupBy("k").count().agg(F.max("count")).first()[0] <= 12 * 80
+    packed = df.groupBy("k").agg(F.collect_list(F.struct("start_date", "end_date")).alias("r"))
+    inside = {r.k: r.m for r in packed.where("k <> 3").select("k", xp.covered_months(F.col("r"), today).alias("m")).collect()}
+    assert {k: inside[k] for k in (1, 2, 4)} == {k: got[k] for k in (1, 2, 4)}

@@ -1,7 +1,7 @@
 import base64
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +14,7 @@ from hirelake.llm.queries import VOCABULARY
 from hirelake.llm.shared import written
 from hirelake.sources.entities import SCHEMAS, read_entity
 
-from .test_dedup import brute_components, plain_simhash
+from .test_dedup import brute_alike, plain_simhash
 
 SF = "/root/testdata/sf0.001"
 BLANK, WORD = re.compile(r"[\x20\x09-\x0D]"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -32,7 +32,7 @@ def docs(spark):
 
 def test_stages_are_registered_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mix_sources", "byte_bpe"]
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
 
 
 def test_toxicity_stage_follows_the_score(spark, docs):
@@ -53,11 +53,9 @@ def test_dedup_stages(spark, docs):
     assert Counter(BLANK.sub("", r.text or "") for r in kept) == Counter(dict.fromkeys(forms, 1))
     assert 10_001 in {r.doc_id for r in kept} and 10_000 not in {r.doc_id for r in kept}
     near = corpus_pipeline.drop_near_copies(spark, exact, SF)
-    fps = {r.doc_id: plain_simhash(r.text) for r in kept}
-    parts = brute_components(set(fps.values()))
-    least = defaultdict(lambda: 10**9)
-    for i, f in fps.items():
-        least[parts[f]] = min(least[parts[f]], i)
+    least = {}
+    for r, root in zip(kept, brute_alike([(r.doc_id, r.text) for r in kept])):
+        least[root] = min(least.get(root, 10**9), r.doc_id)
     assert near.columns == docs.columns and sorted(r.doc_id for r in near.collect()) == sorted(least.values())
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stateful as st
 from ..operators.alerts import alert_eval
+from ..operators.sessions import sessionize
 from ..operators.skew import rank_rows
 from ..streaming import streams
 from .registry import query
@@ -67,7 +68,7 @@ def _(s):
 
 @query("sessionize", _walk("hit_id, start AS session_start", "tm AS start", """CASE WHEN o.tm > r.tm + 28800000000 OR o.tm >= r.start + 86400000000 THEN o.tm ELSE r.start END"""))
 def _(s):
-    return st.replay_quiet(hits(s), "key", "ts", "hit_id", st.SessionLife(28800, 86400)).select("hit_id", "session_start")
+    return sessionize(hits(s), "key", "ts", "hit_id", 28800, 86400).select("hit_id", "session_start")
 
 
 @query("token_reuse", _walk("hit_id, verdict", """CASE WHEN tokens % 2 = 0 THEN 'ok' ELSE 'unknown' END AS verdict, CASE WHEN tokens % 2 = 0 THEN 1 ELSE 0 END AS cur, CASE WHEN tokens % 2 = 0 THEN tm END AS rot, false AS rev""",

@@ -74,7 +74,7 @@ def _(s):
 @query("can_withdraw", f"""SELECT application_id, user_id AS viewer_id FROM v_applications WHERE user_id IS NOT NULL
 UNION ALL SELECT a.application_id, w.viewer_id FROM v_applications a JOIN ({_WRITE}) w ON a.job_id = w.job_id WHERE a.user_id IS NULL""")
 def _(s):
-    return scopes.can_withdraw(s.applications, s.jobs, s.users, ASKING)
+    return scopes.can_withdraw(s.applications, s.jobs, s.users.where(F.col("user_id").isin(ASKING)).select("user_id", "role", "company"))
 
 
 @query("library_scope", "SELECT resume_id FROM v_resumes WHERE uploaded_by = 5 AND NOT is_archived")

@@ -224,7 +224,10 @@ r AS (SELECT doc_id, line, count(DISTINCT page) AS n FROM l WHERE line <> '' AND
 SELECT doc_id, line_no, md5(line) AS hash FROM l WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM r JOIN p ON r.doc_id = p.doc_id WHERE r.doc_id = l.doc_id AND r.line = l.line
  AND r.n >= greatest(2, round_even(p.pages * 0.5E0, 0)))""")
 def _(s):
-    return sec.strip_boilerplate(s.doc_lines).select("doc_id", "line_no", F.md5("line").alias("hash"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(
+        F.floor(i / 10).alias("page"), i.cast("bigint").alias("line_no"), F.when(i % 10 == 0, F.concat(F.lit("Header "), F.col("doc_id").cast("string"))).otherwise(F.trim(x)).alias("line")))
+    df = spread(s.table("documents")).withColumn("lines", lines).withColumn("kept", sec.strip_boilerplate(F.col("lines")))
+    return df.select("doc_id", F.explode_outer("kept").alias("k")).where("k is not null").select("doc_id", "k.line_no", F.md5("k.line").alias("hash"))
 
 
 # ---- headings and sections ------------------------------------------------------
@@ -243,7 +246,7 @@ _RS = f"""CASE WHEN {_trim('line')} = '' OR length({_trim('line')}) > 60 OR rege
  WHEN regexp_matches({_FORM2}, {_q(sec.FUZZY_JOB_HEADING)}) THEN 1 ELSE 0 END"""
 
 
-@query("classify_headings", f"""SELECT doc_id, line_no, CAST({_RS} AS INT) AS requirement, {_trim('line')} IN ('About the Company', 'Nice to have', 'Benefits') AS boundary,
+@query("classify_headings", f"""SELECT doc_id, line_no, CAST({_RS} AS INT) AS requirement, {_trim('line')} IN ('About the Company', 'Optional Skills', 'Rewards') AS boundary,
  regexp_matches({_trim('line')}, '[.;!?,]$') OR regexp_matches(regexp_extract({_trim('line')}, '(\\pL)', 1), '^\\p{{Ll}}$') AS fragment FROM v_job_lines""")
 def _(s):
     lines = s.job_lines
@@ -259,7 +262,7 @@ def _(s):
     return lines.select("doc_id", "line_no", got["heading"].alias("heading"), got["rest"].alias("rest")).where("rest is not null")
 
 
-@query("split_embedded", "SELECT doc_id, line_no, CASE WHEN line = 'own the deploy line Company & Culture' THEN 'own the deploy line' END AS head, CASE WHEN line = 'own the deploy line Company & Culture' THEN 'Company & Culture' END AS tail FROM v_job_lines")
+@query("split_embedded", "SELECT doc_id, line_no, CASE WHEN line = 'own the deploy line Our Office' THEN 'own the deploy line' END AS head, CASE WHEN line = 'own the deploy line Our Office' THEN 'Our Office' END AS tail FROM v_job_lines")
 def _(s):
     lines = s.job_lines
     got = sec.split_embedded(F.col("line"))
@@ -310,9 +313,9 @@ def _(s):
 
 
 # the only boundary headings in the job texts are the ones set in by rule, and one glued heading
-_GLUED = "own the deploy line Company & Culture"
+_GLUED = "own the deploy line Our Office"
 _JL = f"""l AS (SELECT doc_id, line_no, line, {_trim('line')} AS t, {_RS} AS score FROM v_job_lines),
-bound AS (SELECT *, t IN ('About the Company', 'Nice to have', 'Benefits') AS stop, line = '{_GLUED}' AS glued FROM l)"""
+bound AS (SELECT *, t IN ('About the Company', 'Optional Skills', 'Rewards') AS stop, line = '{_GLUED}' AS glued FROM l)"""
 
 
 def _read_sql(start: str, skip: str, lower: bool) -> str:

@@ -91,37 +91,49 @@ def find_mentions(text: Column) -> Column:
     """array<struct<min_months, max_months, text, preferred>> of the experience a job text asks for.
 
     Matches are marked by two control characters and the text is split there,
-    so every match sits at an odd place with its context on both sides.
+    so every match sits at an odd place with its context on both sides.  The
+    context comes from the ends of the neighbouring parts, and whether a line
+    speaks of a preference is found once per line, so the work is linear in
+    the text, however many matches it has.
     """
 
-    def context(parts: Column, i: Column) -> Column:
-        head = F.array_join(F.slice(parts, 1, i), "")
-        tail = F.array_join(F.slice(parts, i + 2, F.size(parts)), "")
-        return let(F.struct(head.alias("h"), tail.alias("t")), lambda v: F.struct(
-            F.get(parts, i).alias("m"), F.right(v["h"], F.lit(50)).alias("before"),
-            F.get(F.split(F.substring(v["t"], 1, 80), "\n\n"), F.lit(0)).alias("after"),
-            F.slice(F.concat(F.array(F.lit("")), F.split(v["h"], "\n")), -2, 2).alias("lines"),
-            F.substring_index(v["t"], "\n", 1).alias("rest"),
-        ))
+    def views(marked: Column) -> Column:
+        lines, parts = F.split(marked, "\n"), F.split(marked, "[\u0001\u0002]")
+        line_of = lambda mark: F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, F.regexp_count(x, F.lit(mark)))))
+        return F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.right(p, F.lit(50))).alias("ends"), F.transform(parts, lambda p: F.left(p, F.lit(80))).alias("starts"),
+                        F.transform(lines, lambda x: F.translate(x, "\u0001\u0002", "")).alias("lines"), line_of("\u0001").alias("first"), line_of("\u0002").alias("last"))
+
+    def led(v: Column, i: Column, line: Column) -> Column:
+        """The line behind a short line before it."""
+        return let(F.trim(F.get(v["lines"], i - 1)), lambda prev: F.concat(F.when(F.length(prev).between(1, 40), F.concat(prev, F.lit(" "))).otherwise(""), line))
+
+    def context(v: Column, preferred: Column, k: Column) -> Column:
+        i = 2 * k + 1
+        # a match has three characters at least, so 36 parts hold 50 and 56 hold 80
+        low = F.greatest(F.lit(0), i - 36)
+        after = F.left(F.array_join(F.slice(v["starts"], i + 2, F.lit(56)), ""), F.lit(80))
+        a, b = F.get(v["first"], k), F.get(v["last"], k)
+        across = led(v, a, F.array_join(F.slice(v["lines"], a + 1, b - a + 1), "\n")).rlike(PREFERRED)
+        return F.struct(F.get(v["parts"], i).alias("m"), F.right(F.array_join(F.slice(v["ends"], low + 1, i - low), ""), F.lit(50)).alias("before"),
+                        F.get(F.split(after, "\n\n"), F.lit(0)).alias("after"), F.when(a == b, F.get(preferred, a)).otherwise(across).alias("preferred"))
 
     def read(c: Column) -> Column:
         g = lambda k: F.nullif(F.regexp_extract(c["m"], MENTION, k), F.lit(""))
         lo = quantity_months(quantity(g(1)), F.coalesce(g(2), g(4)))
         hi = quantity_months(quantity(g(3)), g(4))
-        prev = F.trim(F.get(c["lines"], F.lit(0)))
-        line = F.concat(F.when(F.length(prev).between(1, 40), F.concat(prev, F.lit(" "))).otherwise(""),
-                        F.get(c["lines"], F.lit(1)), c["m"], c["rest"])
-        return F.struct(lo.alias("min_months"), F.when(hi >= lo, hi).alias("max_months"),
-                        F.trim(c["m"]).alias("text"), line.rlike(PREFERRED).alias("preferred"))
+        return F.struct(lo.alias("min_months"), F.when(hi >= lo, hi).alias("max_months"), F.trim(c["m"]).alias("text"), c["preferred"].alias("preferred"))
 
     def real(c: Column) -> Column:
         window = F.regexp_replace(F.concat_ws(" ", c["before"], c["m"], c["after"]), "\n", " ")
         return window.rlike(CUE) & ~c["before"].rlike(NOT_BEFORE) & ~c["after"].rlike(NOT_AFTER)
 
-    def all_of(parts: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i % 2 == 1)
-        return F.transform(F.filter(F.transform(places, lambda i: context(parts, i)), real), read)
+    def all_of(v: Column) -> Column:
+        n = F.size(v["first"])
+        preferred = F.transform(v["lines"], lambda x, i: led(v, i, x).rlike(PREFERRED))
+        found = let(preferred, lambda flags: F.transform(F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda k: context(v, flags, k)), real), read))
+        none = F.array().cast("array<struct<min_months:int,max_months:int,text:string,preferred:boolean>>")
+        return F.when(n > 0, found).otherwise(none)
 
     plain = F.translate(text, "\u0001\u0002", "  ")
-    found = let(F.split(F.regexp_replace(plain, MENTION, "\u0001$0\u0002"), "[\u0001\u0002]"), all_of)
+    found = let(let(F.regexp_replace(plain, MENTION, "\u0001$0\u0002"), views), all_of)
     return F.filter(found, lambda x: x["min_months"] <= MAX_MONTHS)

@@ -57,6 +57,14 @@ def words(c: Column) -> Column:
     return F.filter(F.split(squeeze(c), " "), lambda w: w != "")
 
 
+def in_sorted(known: Column, value: Column) -> Column:
+    """Whether an ascending array holds the value, by halving."""
+    n = F.size(known)
+    halves = F.transform(F.sequence(F.ceil(F.log2(n + 1)).cast("int") - 1, F.lit(0), F.lit(-1)), lambda b: F.pow(F.lit(2.0), b).cast("int"))
+    at = F.aggregate(halves, F.lit(0), lambda low, h: F.when((low + h <= n) & (F.get(known, low + h - 1) <= value), low + h).otherwise(low))
+    return F.when(n > 0, F.coalesce(F.get(known, at - 1) == value, F.lit(False))).otherwise(False)
+
+
 def clean_text(text: Column) -> Column:
     """Repair encoding artefacts, collapse blanks, keep at most one blank line in a row."""
     for old, new in ARTEFACTS:

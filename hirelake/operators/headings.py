@@ -25,8 +25,9 @@ MAJOR = tuple(h for h in RESUME if h not in SKILLS)
 ASKED = phrases(("requirements", "qualifications", "skills"), ("required", "minimum", "compulsory")) + ("must have",)
 FIRST = phrases(("skills", "requirements"), ("compulsory",))
 FIRST = tuple(h for h in FIRST if " " in h)
-BOUNDARIES = (
-    tuple(f"about {x}" for x in ("us", "the company", "the position"))
-    + phrases(("skills", "qualifications", "experience"), ("preferred", "desirable"))
-    + ("benefits", "perks", "salary", "location", "responsibilities", "duties", "education", "nice to have", "company & culture", "how to apply", "why join us"))
-BOUNDARIES = tuple(b for b in BOUNDARIES if b not in ASKED and b != "experience")
+#: Parts of a job text that are not asked for, named by what an employer offers or describes; EXTENDABLE ones may have more words behind them.
+BOUNDARIES = tuple(dict.fromkeys(
+    phrases(("team", "office", "offer", "product"), ("our", "about our")) + phrases(("tasks", "goals", "rewards", "hours"), ("daily", "your"))
+    + phrases(("skills", "qualifications"), ("optional", "extra")) + tuple(f"about {x}" for x in ("the company", "the team", "the work"))))
+BOUNDARIES = tuple(b for b in BOUNDARIES if b not in ASKED)
+EXTENDABLE = tuple(b for b in BOUNDARIES if " " in b or b.endswith("s"))

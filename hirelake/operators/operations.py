@@ -99,7 +99,7 @@ def counter_rate(series: DataFrame, keys: list[str], order: list[str], window: i
     A fall counts as restart from zero.  Increases are summed per step first,
     so the window runs over a time grid.  No extrapolation at the edges.
     """
-    d = lag_rows(series, keys, order, F.date_trunc("hour", F.col("ts").cast("timestamp")), {"value": "prev"})
+    d = lag_rows(series, keys, order, {"value": "prev"})
     inc = F.when(F.col("prev").isNull(), 0.0).when(F.col("value") < F.col("prev"), F.col("value")).otherwise(F.col("value") - F.col("prev"))
     grid = (
         d.withColumn("step", (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / step) * step).cast("bigint"))
@@ -119,7 +119,7 @@ def alert_hold(series: DataFrame, keys: list[str], cond: Column, hold: int | Col
     starts = F.col("_c") != F.col("_pc")
     if max_gap is not None:
         starts = starts | (micros("ts") - micros("_pt") > max_gap * 1_000_000)
-    runs = islands(d, keys, order, F.date_trunc("hour", F.col("ts").cast("timestamp")), starts, {"_c": "_pc", "ts": "_pt"}, "_run").where("_c")
+    runs = islands(d, keys, order, starts, {"_c": "_pc", "ts": "_pt"}, "_run").where("_c")
     start = runs.groupBy(*keys, "_run").agg(F.min("ts").alias("since"))
     held = micros("ts") - micros("since")
     return runs.join(start, [*keys, "_run"]).where(held >= F.lit(hold).cast("bigint") * 1_000_000).drop("_c", "_pc", "_pt", "_run")

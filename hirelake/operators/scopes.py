@@ -41,13 +41,24 @@ def resume_scope(resumes: DataFrame, apps: DataFrame, writable: DataFrame, viewe
     )
 
 
-def can_withdraw(apps: DataFrame, jobs: DataFrame, users: DataFrame, viewer_ids: list[int]) -> DataFrame:
-    """(application, viewer) pairs: the owner of an account row; of an unowned row those of the asking accounts that may write its job."""
-    out = apps.where("user_id is not null").select("application_id", F.col("user_id").alias("viewer_id"))
-    for viewer_id in viewer_ids:
-        writable = write_scope(jobs.select("job_id", "company", "created_by"), users, viewer_id).select("job_id", "viewer_id")
-        out = out.unionByName(apps.where("user_id is null").join(writable, "job_id").select("application_id", "viewer_id"))
-    return out
+def can_withdraw(apps: DataFrame, jobs: DataFrame, viewers: DataFrame) -> DataFrame:
+    """(application, viewer) pairs: the owner of an account row; of an unowned row those of the asking accounts that may write its job.
+
+    ``viewers(user_id, role, company)``, any number of them.  A viewer and a job
+    meet in one equi-join on the scope that gives the right: everything, a
+    company, or a creator in a company.  Applications are read once.
+    """
+    part = lambda kind, *cols: F.concat_ws(":", F.lit(kind), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    role, placed = F.col("role"), F.col("company").isNotNull()
+    scope = (F.when(role == "superuser", F.lit("all")).when((role == "admin") & placed, part("company", "company"))
+             .when((role == "recruiter") & placed, part("creator", "company", "user_id")))
+    asking = viewers.select(F.col("user_id").alias("viewer_id"), scope.alias("scope")).where("scope IS NOT NULL")
+    rights = F.array(F.lit("all"), part("company", "company"), part("creator", "company", "created_by"))
+    open_jobs = jobs.select("job_id", F.explode(rights).alias("scope")).join(asking, "scope").select("job_id", "viewer_id")
+    own = apps.select("application_id", "job_id", "user_id")
+    writers = F.when(F.col("user_id").isNull(), F.col("job_id"))  # owned rows meet no job
+    both = own.withColumn("_job", writers).join(open_jobs.withColumnRenamed("job_id", "_job"), "_job", "left")
+    return both.select("application_id", F.coalesce("user_id", "viewer_id").alias("viewer_id")).where("viewer_id IS NOT NULL")
 
 
 def library(resumes: DataFrame, viewer_id: int, role: str) -> DataFrame:

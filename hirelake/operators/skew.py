@@ -39,13 +39,22 @@ def rank_rows(df: DataFrame, group: list[str], order: Column, out: str = "rank")
     return ranked.withColumn(out, (F.col("_rn") + F.col("_off")).cast("bigint")).drop("_rn", "_off", "_piece", "_p", "_o", *[f"_g{i}" for i in range(len(group))])
 
 
-def lag_rows(df: DataFrame, key: list[str], order: list[str], piece: Column, cols: dict[str, str]) -> DataFrame:
-    """``lag(col)`` over ``key`` by ``order``; ``piece`` (for example the day) must grow with the order.
+def in_pieces(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Rows dealt by Spark's ranges of (key, order), each with the number of its range in ``_piece``; written once.
+
+    The ranges follow the rows, so a key with most of the rows, all within one
+    hour even, is cut into as many pieces as its share of the partitions.
+    """
+    return written(df.repartitionByRange(*key, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
+
+
+def lag_rows(df: DataFrame, key: list[str], order: list[str], cols: dict[str, str]) -> DataFrame:
+    """``lag(col)`` over ``key`` by ``order``.
 
     ``cols`` maps the column to read to the name of the lagged one.  Only the
     first row of a piece looks outside, at the last row of the piece before.
     """
-    p = df.withColumn("_piece", piece)
+    p = in_pieces(df, key, order)
     local = Window.partitionBy(*key, "_piece").orderBy(*order)
     names = list(cols)
     last = (
@@ -64,9 +73,9 @@ def lag_rows(df: DataFrame, key: list[str], order: list[str], piece: Column, col
     return out.drop("_prev", "_before", "_piece")
 
 
-def running_sum(df: DataFrame, key: list[str], order: list[str], piece: Column, col: str, out: str) -> DataFrame:
-    """Inclusive running sum of ``col`` over ``key`` by ``order``, cut by ``piece`` in the same way."""
-    p = df.withColumn("_piece", piece)
+def running_sum(df: DataFrame, key: list[str], order: list[str], col: str, out: str) -> DataFrame:
+    """Inclusive running sum of ``col`` over ``key`` by ``order``, cut in the same way."""
+    p = in_pieces(df, key, order)
     local = Window.partitionBy(*key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -79,7 +88,7 @@ def running_sum(df: DataFrame, key: list[str], order: list[str], piece: Column,
     )
 
 
-def islands(df: DataFrame, key: list[str], order: list[str], piece: Column, starts: Column, lagged: dict[str, str],
+def islands(df: DataFrame, key: list[str], order: list[str], starts: Column, lagged: dict[str, str],
             out: str = "island") -> DataFrame:
     """Name the runs of each key: a row starts a new run where ``starts`` holds.
 
@@ -90,7 +99,7 @@ def islands(df: DataFrame, key: list[str], order: list[str], piece: Column, star
     """
     names, at = list(lagged), F.struct(*order)
     w = Window.partitionBy(*key, "_piece").orderBy(*order)
-    local = df.withColumn("_piece", piece).withColumn("_isl_prev", F.lag(F.struct(*names)).over(w))
+    local = in_pieces(df, key, order).withColumn("_isl_prev", F.lag(F.struct(*names)).over(w))
     local = local.withColumns({a: F.col("_isl_prev")[n] for n, a in lagged.items()})
     local = local.withColumn("_isl_s", F.when(F.col("_isl_prev").isNotNull() & F.coalesce(starts, F.lit(True)), at))
     pieces = local.groupBy(*key, "_piece").agg(
@@ -107,6 +116,23 @@ def islands(df: DataFrame, key: list[str], order: list[str], piece: Column, star
         out, F.concat_ws("|", *[F.col("_isl_run")[c].cast("string") for c in order])).select(*df.columns, *lagged.values(), out)
 
 
+def next_of(df: DataFrame, key: list[str], at: str, probe: Column, out: str) -> DataFrame:
+    """Add the least ``at`` of the key's rows that is not below the row's ``probe``, null where there is none.
+
+    Probes and rows are put into one order and each probe reads what follows it;
+    pieces hand the first row they hold to the pieces before.
+    """
+    src = written(df.withColumn("_probe", probe), "probes")
+    both = src.select(*key, F.col(at).alias("_at"), F.lit(1).alias("_kind")).unionByName(src.select(*key, F.col("_probe").alias("_at"), F.lit(0).alias("_kind"))).distinct()
+    p = in_pieces(both, key, ["_at", "_kind"]).withColumn("_event", F.when(F.col("_kind") == 1, F.col("_at")))
+    ahead = Window.partitionBy(*key, "_piece").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy(*key).orderBy("_piece").rowsBetween(1, Window.unboundedFollowing)
+    firsts = p.groupBy(*key, "_piece").agg(F.min("_event").alias("_first")).withColumn("_later", F.first("_first", ignorenulls=True).over(later)).drop("_first")
+    found = p.withColumn("_next", F.first("_event", ignorenulls=True).over(ahead)).where("_kind = 0").join(firsts, [*key, "_piece"])
+    found = found.select(*key, F.col("_at").alias("_probe"), F.coalesce("_next", "_later").alias(out))
+    return src.join(found, [*key, "_probe"], "left").drop("_probe")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the greatest by ``order``; ``max_by`` combines on the map side."""
     rest = [c for c in df.columns if c not in keys]

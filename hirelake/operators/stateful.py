@@ -1,4 +1,4 @@
-"""Order-dependent verdicts: limits, budgets, locks, lockouts, sessions, token rotation.
+"""Order-dependent verdicts: limits, budgets, locks, lockouts, token rotation.
 
 Each verdict depends on the verdicts before it, so a key is read in time order
 with a small state.  A rule is that state and one step; the batch form below
@@ -111,28 +111,6 @@ class Lockout:
         return [n, at, at + span if n >= self.limit else None], (False, n)
 
 
-@dataclass(frozen=True)
-class SessionLife:
-    """A session ends after ``idle`` seconds without use or ``longest`` seconds in all; numbers them per key."""
-
-    idle: int = 1800
-    longest: int = 43_200
-    inputs = ()
-    outputs = "session_start bigint"
-
-    @property
-    def seconds(self):
-        return self.idle
-
-    def start(self):
-        return None
-
-    def step(self, state, at):
-        if state is None or at > state[1] + self.idle * SECOND or at >= state[0] + self.longest * SECOND:
-            return [at, at], (at,)
-        return [state[0], at], (state[0],)
-
-
 @dataclass(frozen=True)
 class Rotation:
     """Refresh-token use: current rotates, the previous one passes within ``grace`` seconds, later it is a replay."""
@@ -204,5 +182,5 @@ def replay_quiet(df: DataFrame, key: str, ts: str, tie: str, rule, quiet: int |
     gap = (quiet or rule.seconds) * SECOND
     moment: Column = F.unix_micros(F.col(ts).cast("timestamp"))
     d = df.withColumn("at", moment)
-    runs = islands(d, [key], ["at", tie], F.date_trunc("hour", F.col(ts).cast("timestamp")), F.col("at") - F.col("_prev_at") > gap, {"at": "_prev_at"}, "run")
+    runs = islands(d, [key], ["at", tie], F.col("at") - F.col("_prev_at") > gap, {"at": "_prev_at"}, "run")
     return replay(runs.drop("_prev_at"), [key, "run"], ["at", tie], rule).drop("run", "at")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.snapshots import to_snapshot
@@ -27,20 +27,24 @@ def csv_line(cols: list[Column]) -> Column:
     return F.concat_ws(",", *[cell(c) for c in cols])
 
 
-def export_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> bool:
-    """Write guarded CSV parts (UTF-8 mark and header on each, CRLF lines); an empty input writes nothing.
+def export_csv(df: DataFrame, path: str, columns: list[str] | None = None, order: list[str] | None = None) -> bool:
+    """Write one guarded CSV as ordered parts: joined by name they are a valid file (UTF-8 mark, one header, CRLF lines).
 
-    Lines are built here because the CSV writer would also rewrite line breaks
-    inside cells.  The first row of each part carries the header.
+    The header is the least row of the order, so it leads the first part, and
+    only there.  ``order`` is that of the rows, the exported columns by default.
+    An empty input writes nothing.  Lines are built here because the CSV writer
+    would also rewrite line breaks inside cells.
     """
     if df.isEmpty():
         return False
     names = columns or df.columns
+    order = order or names
     quoted = ['"' + n.replace('"', '""') + '"' if set(n) & set(',"\r\n') else n for n in names]
-    head = "\ufeff" + ",".join(quoted)
-    first = F.monotonically_increasing_id() % (1 << 33) == 0
-    line = F.concat(F.when(first, head + "\r\n").otherwise(""), csv_line([F.col(c) for c in names]))
-    df.select(line.alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    keys = [f"_k{i}" for i in range(len(order))]
+    rows = df.select(F.lit(1).alias("_body"), *[F.col(c).alias(k) for c, k in zip(order, keys)], csv_line([F.col(c) for c in names]).alias("value"))
+    head = df.sparkSession.range(1).select(F.lit(0).alias("_body"), *[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys], F.lit("\ufeff" + ",".join(quoted)).alias("value"))
+    placed = head.unionByName(rows).repartitionByRange("_body", *keys).sortWithinPartitions("_body", *keys)
+    placed.select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
     return True
 
 
@@ -72,6 +76,47 @@ def upsert(df: DataFrame, updates: DataFrame, keys: list[str], version: list[str
     return latest(df.unionByName(updates), keys, version)
 
 
+def create_table(df: DataFrame, table: str, part: str) -> None:
+    """A catalog table partitioned by ``part``, for the changes below."""
+    df.write.partitionBy(part).format("parquet").saveAsTable(table)
+
+
+def overwrite_parts(df: DataFrame, table: str) -> None:
+    """Replace the partitions that ``df`` has rows of; the files of all others stay as they are."""
+    conf, name = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(name)
+    conf.set(name, "dynamic")
+    try:
+        df.select(*df.sparkSession.table(table).columns).write.mode("overwrite").insertInto(table)
+    finally:
+        conf.set(name, before)
+
+
+def upsert_table(updates: DataFrame, table: str, keys: list[str], version: list[str], part: str) -> None:
+    """:func:`upsert` into a partitioned table; only partitions that updates fall into are read and rewritten.
+
+    A key's partition must not change: ``part`` follows from the keys.
+    """
+    old = updates.sparkSession.table(table)
+    touched = old.join(updates.select(part).distinct(), part, "left_semi").select(*old.columns)
+    overwrite_parts(upsert(touched, updates.select(*old.columns), keys, version), table)
+
+
+def purge_table(spark: SparkSession, table: str, gone: Column, part: str) -> int:
+    """:func:`purge` on a partitioned table: partitions without such rows are not touched, those with nothing else are dropped; gives the count removed."""
+    drop = F.coalesce(gone, F.lit(False))
+    rows = spark.table(table)
+    found = rows.groupBy(part).agg(F.count_if(drop).alias("removed"), F.count_if(~drop).alias("kept")).where("removed > 0").collect()  # a row per partition
+    mixed = [r[0] for r in found if r.kept]
+    if mixed:
+        overwrite_parts(rows.where(F.col(part).isin(mixed) & ~drop), table)
+    for r in found:
+        if not r.kept:
+            value = str(r[0]).replace("'", "\\'")
+            spark.sql(f"ALTER TABLE {table} DROP PARTITION (`{part}` = '{value}')")
+    return sum(r.removed for r in found)
+
+
 def expired_sessions(now) -> Column:
     """Sessions that can never be used again: past their end, or revoked more than a day ago."""
     return (F.col("expires_at") < F.lit(now)) | F.coalesce(F.col("revoked_at") < F.lit(now) - F.make_dt_interval(days=F.lit(1)), F.lit(False))

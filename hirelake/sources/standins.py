@@ -209,9 +209,9 @@ SELECT doc_id, lang, source, {lines_map(d, 'text', '''CASE
    WHEN i % 13 = 3 THEN 'Key Technical Requirements'
    WHEN i % 13 = 4 THEN '- At least ' || CAST(1 + doc_id % 9 AS STRING) || '+ years of experience with red widget'
    WHEN i % 13 = 5 THEN '* blue bolt, small ring and' WHEN i % 13 = 6 THEN 'large gear tooling'
-   WHEN i % 13 = 7 AND doc_id % 3 = 0 THEN 'own the deploy line Company & Culture'
-   WHEN i % 13 = 8 AND doc_id % 5 <> 0 THEN 'Nice to have' WHEN i % 13 = 9 THEN 'Ideally ' || CAST(12 + doc_id % 6 AS STRING) || ' years background'
-   WHEN i % 13 = 11 THEN 'Benefits' ELSE x END''')} AS text
+   WHEN i % 13 = 7 AND doc_id % 3 = 0 THEN 'own the deploy line Our Office'
+   WHEN i % 13 = 8 AND doc_id % 5 <> 0 THEN 'Optional Skills' WHEN i % 13 = 9 THEN 'Ideally ' || CAST(12 + doc_id % 6 AS STRING) || ' years background'
+   WHEN i % 13 = 11 THEN 'Rewards' ELSE x END''')} AS text
 FROM documents""",
         # page-structured documents: ten lines a page, a running header on every page
         "v_doc_lines": (f"""

@@ -23,3 +23,13 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def stage(spark):
     return Stage(spark, SF)
+
+
+@pytest.fixture
+def in_parts(spark):
+    """Small shuffles keep their partitions, so that code for many pieces meets many."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, before)

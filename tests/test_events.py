@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from hirelake.operators import stateful as st
 from hirelake.operators.alerts import alert_eval
+from hirelake.operators.sessions import sessionize
 from hirelake.streaming import streams
 
-RULES = [st.SlidingLog(3, 60), st.RollingBudget(4, 100, 60), st.FirstSeen(30), st.Lockout(3, 60), st.SessionLife(40, 100)]
+RULES = [st.SlidingLog(3, 60), st.RollingBudget(4, 100, 60), st.FirstSeen(30), st.Lockout(3, 60)]
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,36 @@ def test_batch_and_stream_agree(spark, hits, rule, tmp_path):
     assert live.keys() == want.keys() and all(same(live[k], want[k]) for k in want)
 
 
+def brute_sessions(rows, idle, longest):
+    out, state = {}, {}
+    for i, key, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        start, last = state.get(key, (None, None))
+        if start is None or at > last + idle or at >= start + longest:
+            start = at
+        state[key] = start, at
+        out[i] = start
+    return out
+
+
+@pytest.mark.parametrize("pause", [(1, 3, 10, 25, 70), (1, 2, 3)], ids=["some pauses", "never quiet"])
+def test_sessions(spark, pause, in_parts):
+    """Keys with pauses, and a key that is never quiet and so has long chains of sessions."""
+    rnd, rows, at = random.Random(3), [], 0
+    for i in range(1500):
+        at += rnd.choice(pause)
+        rows.append((i, rnd.choice([1, 1, 1, 1, 2, None]), at if rnd.random() < 0.9 else max(0, at - 3)))
+    df = spark.createDataFrame([(i, k, dt.datetime(1970, 1, 1) + dt.timedelta(seconds=a)) for i, k, a in rows], "hit_id long, key long, ts timestamp_ntz")
+    out = sessionize(df, "key", "ts", "hit_id", 40, 100)
+    assert {r.hit_id: r.session_start // st.SECOND for r in out.collect()} == brute_sessions(rows, 40, 100)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sessions_without_time_or_rows(spark):
+    df = spark.createDataFrame([(1, 1, None)], "hit_id long, key long, ts timestamp_ntz")
+    assert [tuple(r) for r in sessionize(df, "key", "ts", "hit_id", 40, 100).collect()] == [(1, 1, None, None)]
+    assert sessionize(df.limit(0), "key", "ts", "hit_id", 40, 100).count() == 0
+
+
 def test_rotation():
     rule, s, out = st.Rotation(10), [0, None, False], []
     for at, v in ((0, 0), (5, 0), (30, 1), (35, 3), (60, 1), (61, 2)):

@@ -1,10 +1,13 @@
 """The piecewise helpers equal plain windows, with one group holding most rows."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hirelake.operators import skew
 
+pytestmark = pytest.mark.usefixtures("in_parts")
+
 
 def hot(spark, n=3000):
     return spark.range(n).select(
@@ -31,8 +34,8 @@ def test_rank_rows_ties_and_nulls(spark):
 def test_lag_and_running_sum(spark):
     df = hot(spark)
     w = Window.partitionBy("g").orderBy("ts", "id")
-    got = skew.lag_rows(df, ["g"], ["ts", "id"], F.to_date("ts"), {"v": "p"})
-    got = skew.running_sum(got, ["g"], ["ts", "id"], F.to_date("ts"), "v", "s")
+    got = skew.lag_rows(df, ["g"], ["ts", "id"], {"v": "p"})
+    got = skew.running_sum(got, ["g"], ["ts", "id"], "v", "s")
     bad = got.withColumn("wp", F.lag("v").over(w)).withColumn("ws", F.sum("v").over(w)).where("not (p <=> wp) or s <> ws")
     assert bad.isEmpty() and got.count() == df.count()
 
@@ -43,3 +46,29 @@ def test_latest_and_earliest(spark):
     a = skew.earliest(df, ["g"], ["v", "id"]).where("g = 1").first()
     b = df.where("g = 1").orderBy("v", "id").first()
     assert (a.v, a.id) == (b.v, b.id)
+
+
+def one_hour(spark, n=3000):
+    """Nearly all rows are of one key and in one hour."""
+    return spark.range(n).select(F.when(F.col("id") % 50 > 0, F.lit(1)).otherwise(2).alias("g"), "id", (F.col("id") * 31 % 17).cast("double").alias("value"),
+                                 F.timestamp_seconds(1_700_000_000 + F.floor(F.col("id") * 3599 / n) * (F.col("id") % 50 > 0).cast("int") + F.col("id") % 3).alias("ts"))
+
+
+def test_one_hour_of_one_key_is_cut_into_pieces(spark):
+    df = one_hour(spark)
+    sizes = [r["count"] for r in skew.in_pieces(df, ["g"], ["ts", "id"]).groupBy("g", "_piece").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 0.4 * 3000
+    w = Window.partitionBy("g").orderBy("ts", "id")
+    got = skew.lag_rows(df, ["g"], ["ts", "id"], {"value": "p"}).withColumn("want", F.lag("value").over(w))
+    assert got.where("not (p <=> want)").isEmpty() and got.count() == 3000
+    runs = skew.islands(df.withColumn("c", F.col("value") > 4), ["g"], ["ts", "id"], F.col("c") != F.col("pc"), {"c": "pc"})
+    want = df.withColumn("c", F.col("value") > 4).withColumn("s", F.coalesce(F.col("c") != F.lag("c").over(w), F.lit(True)).cast("int"))
+    want = want.withColumn("n", F.sum("s").over(w)).groupBy("g", "n").count()
+    assert sorted((r.g, r["count"]) for r in runs.groupBy("g", "island").count().collect()) == sorted((r.g, r["count"]) for r in want.collect())
+
+
+def test_next_of(spark):
+    df = one_hour(spark).select("g", F.unix_seconds("ts").alias("at"))
+    rows = [tuple(r) for r in df.collect()]
+    got = skew.next_of(df, ["g"], "at", F.col("at") + 100, "nxt").distinct().collect()
+    assert {(r.g, r["at"], r.nxt) for r in got} == {(g, a, min((b for h, b in rows if h == g and b >= a + 100), default=None)) for g, a in set(rows)}

@@ -85,3 +85,41 @@ def test_no_cross_joins(spark):
     for name in ("score_applications", "scope_read_jobs", "tag_skills", "fuzzy_set_match", "quick_actions", "page_rows", "rank_applicants", "audit_labels"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan, name
+
+
+def test_export_parts_join_into_one_csv(spark, tmp_path, in_parts):
+    import csv
+    import io
+    rows = [(i, f"=x{i}" if i % 7 == 0 else f"a,{i}\n\"b\"", None if i % 5 == 0 else i * 0.5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, t string, v double").repartition(7)
+    assert sinks.export_csv(df, str(tmp_path / "out"), ["id", "t", "v"], ["v", "id"])
+    parts = sorted(glob.glob(str(tmp_path / "out" / "part-*")))
+    assert len(parts) > 2
+    raw = b"".join(open(p, "rb").read() for p in parts)
+    got = list(csv.reader(io.StringIO(raw.decode("utf-8-sig"), newline="")))
+    assert raw.startswith(b"\xef\xbb\xbf") and raw.count(b"\xef\xbb\xbf") == 1 and got[0] == ["id", "t", "v"]
+    want = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+    assert got[1:] == [[str(i), "'" + t if t.startswith("=") else t, "" if v is None else str(v)] for i, t, v in want]
+
+
+def test_upsert_and_purge_rewrite_touched_partitions_only(spark):
+    name = f"parts_{dt.datetime.now():%H%M%S%f}"
+    rows = [(k, 1, k % 5, dt.date(2024, 1, 1 + k % 5)) for k in range(50)]
+    sinks.create_table(spark.createDataFrame(rows, "k int, v int, p int, d date"), name, "p")
+    files = lambda: {r[0].split("/p=")[1] for r in spark.read.table(name).select(F.input_file_name()).distinct().collect()}
+    try:
+        before = files()
+        sinks.upsert_table(spark.createDataFrame([(3, 2, 3, dt.date(2024, 1, 4)), (53, 1, 3, dt.date(2024, 1, 4)), (8, 0, 3, dt.date(2024, 1, 4))], "k int, v int, p int, d date"), name, ["k"], ["v"], "p")
+        spark.catalog.refreshTable(name)
+        after = files()
+        assert {f for f in before if not f.startswith("3/")} == {f for f in after if not f.startswith("3/")} and before != after
+        got = {r.k: r.v for r in spark.table(name).collect()}
+        assert len(got) == 51 and got[3] == 2 and got[8] == 1 and got[53] == 1
+        removed = sinks.purge_table(spark, name, (F.col("p") == 1) | (F.col("k") == 2), "p")
+        spark.catalog.refreshTable(name)
+        last = files()
+        assert removed == 11 and {f for f in last if f[0] in "034"} == {f for f in after if f[0] in "034"} and not any(f[0] == "1" for f in last)
+        assert spark.table(name).count() == 40 and spark.table(name).where("k = 2").isEmpty()
+        assert sinks.purge_table(spark, name, F.lit(False), "p") == 0 and files() == last
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

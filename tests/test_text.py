@@ -143,7 +143,7 @@ def test_resume_experience(spark):
 
 
 def test_requirements_section(spark):
-    text = "About us\nWe build\nRequired Technical Skills\nx\nRequirements:\n- Python\nSQL\nRequired Skills\n- own the line Company & Culture\nrest"
+    text = "About us\nWe build\nRequired Technical Skills\nx\nRequirements:\n- Python\nSQL\nRequired Skills\n- own the line Our Office\nrest"
     r = sec.requirements_section(spark.createDataFrame([(text,)], "text string")).first().requirements
     assert r.found and r.heading == "Requirements:" and r.section_text == "- Python\nSQL\n- own the line"
     r = sec.requirements_section(spark.createDataFrame([("just prose here.",)], "text string")).first().requirements
@@ -151,15 +151,15 @@ def test_requirements_section(spark):
 
 
 @pytest.mark.parametrize("line,want", [
-    ("Benefits", True), ("BENEFITS:", True), ("- Benefits", False), ("SQL", False), ("AWS", False), ("Requirements", False), ("About our team", True),
-    ("our benefits platform", False), ("Location: Pune", True), ("Preferred Skills & Broad Expertise", True), ("Why join us", True), ("", False)])
+    ("Rewards", True), ("REWARDS:", True), ("- Rewards", False), ("SQL", False), ("AWS", False), ("Requirements", False), ("About our team", True),
+    ("our rewards platform", False), ("Office: Pune", True), ("Office Space Plans", False), ("Rewards & Leave", True), ("Optional Skills & Broad Expertise", True), ("Why join us", True), ("", False)])
 def test_job_boundary(spark, line, want):
     assert one(spark, line, sec.is_job_boundary) is want
 
 
 def test_collect_until_boundary(spark):
-    lines = ["Compulsory Skills", "Python", "Qualifications", "degree", "Benefits", "x"]
-    df = spark.createDataFrame([(lines, 0, 1), (lines, 0, 0), (["Must have: a, b", "c", "Benefits"], 0, 0)], "l array<string>, c int, p int")
+    lines = ["Compulsory Skills", "Python", "Qualifications", "degree", "Rewards", "x"]
+    df = spark.createDataFrame([(lines, 0, 1), (lines, 0, 0), (["Must have: a, b", "c", "Rewards"], 0, 0)], "l array<string>, c int, p int")
     got = [r.section_text for r in sec.collect_until_boundary(df, "l", "c", "p").collect()]
     assert got == ["python", "python\ndegree", "a, b\nc"]
 
@@ -173,7 +173,7 @@ def test_resume_and_job_plans(spark):
     assert r.experience_months == 24
     assert {k: set(v) for k, v in r.skills_by_source.items()} == {
         "skills_section": {"python", "c++", "aws", "aws s3"}, "work_experience": {"sql", "python"}, "projects": {"go"}}
-    job = "About us\nWe like go\nRequirements:\n- 3+ years of experience with Python\n- AWS\n  (S3)\nBenefits\nsql training"
+    job = "About us\nWe like go\nRequirements:\n- 3+ years of experience with Python\n- AWS\n  (S3)\nRewards\nsql training"
     j = extract_job_requirements(spark.createDataFrame([(1, job)], "doc_id long, text string"), lex).first()
     assert j.found and j.min_months == 36 and j.min_source == "requirements_section" and set(j.skills) >= {"python", "aws"} and "sql" not in j.skills
 
@@ -261,3 +261,77 @@ def test_ranges_cost_one_row_each_and_hot_people_are_bounded(spark):
     packed = df.groupBy("k").agg(F.collect_list(F.struct("start_date", "end_date")).alias("r"))
     inside = {r.k: r.m for r in packed.where("k <> 3").select("k", xp.covered_months(F.col("r"), today).alias("m")).collect()}
     assert {k: inside[k] for k in (1, 2, 4)} == {k: got[k] for k in (1, 2, 4)}
+
+
+def test_many_mentions_take_linear_time(spark):
+    """Ten thousand matches in one text, on one line and on lines of their own, cross-line matches among them."""
+    import time
+
+    def frame(n, sep):
+        return spark.createDataFrame([(sep.join(f"{i % 9 + 1} years of experience" if i % 3 else f"nice to have: {i % 7 + 1}\nyears experience" for i in range(n)),)], "x string").select(
+            F.size(d.find_mentions(F.col("x"))).alias("n"))
+
+    for sep in (" and then ", "\n"):
+        assert frame(200, sep).first().n == 200
+        took = {}
+        for n in (2500, 10_000):
+            t0 = time.time()
+            assert frame(n, sep).first().n == n
+            took[n] = time.time() - t0
+        assert took[10_000] < 8 * took[2500] + 2
+
+
+def brute_mentions(text):
+    """The contexts as they are defined, from the whole text before and after each match."""
+    out = []
+    for m in re.finditer(d.MENTION.replace("(?i)", ""), text, re.I):
+        head, tail = text[:m.start()], text[m.end():]
+        before, after = head[-50:], tail[:80].split("\n\n")[0]
+        window = " ".join([before, m[0], after]).replace("\n", " ")
+        if not re.search(d.CUE, window) or re.search(d.NOT_BEFORE, before) or re.search(d.NOT_AFTER, after):
+            continue
+        lines = [""] + head.split("\n")
+        prev = lines[-2].strip(" ")
+        line = (prev + " " if 1 <= len(prev) <= 40 else "") + lines[-1] + m[0] + tail.split("\n")[0]
+        out.append((m[0].strip(" "), bool(re.search(d.PREFERRED, line))))
+    return out
+
+
+def test_mentions_have_the_context_of_the_whole_text(spark):
+    import random
+    rng = random.Random(4)
+    bits = ["5 years", "3-5 yrs", "two months", "1mo", " ", "\n", "\n\n", "experience", "preferred", "nice to", "have", "last", "ago", "Ideally", "x" * 30, "6\nmonths", "proven", "."]
+    rows = [("".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(1, 60))),) for _ in range(250)]
+    df = spark.createDataFrame(rows, "x string").select("x", d.find_mentions(F.col("x")).alias("m"))
+    for r in df.collect():
+        assert [(x.text, x.preferred) for x in r.m] == [(x, p) for x, p in brute_mentions(r.x)], r.x
+
+
+def test_join_wrapped_many_lines(spark):
+    import random
+    rng = random.Random(6)
+    bits = ["- Build web-", "services and", "APIs", "Management Skills", "* own it", "Domain Knowledge:", "finance", "a:", "b c:", "Done.", "x y z", "Big Tools", "(in", "2) two", "word-", "end"]
+    texts = ["\n".join(rng.choice(bits) for _ in range(rng.randint(1, 200))) for _ in range(150)] + ["\n".join(rng.choice(bits) for _ in range(20_000))]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", sec.join_wrapped(F.split("x", "\n")).alias("y"))
+    assert all(list(r.y) == brute_join(r.x.split("\n")) for r in df.collect())
+
+
+def test_strip_boilerplate_in_the_row(spark):
+    import random
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        pages = rng.randint(1, 9)
+        lines = [(p, i, rng.choice(["Head", " Head ", f"Page {p}", "", "tail", "x" * 61, f"line {rng.randint(0, 5)}"])) for p in range(pages) for i in range(rng.randint(0, 6))]
+        rows.append((k, lines))
+    rows += [(100, []), (101, [(p, i, "again") for p in range(40) for i in range(50)])]
+    df = spark.createDataFrame(rows, "k int, lines array<struct<page:bigint,line_no:bigint,line:string>>").withColumn("kept", sec.strip_boilerplate(F.col("lines")))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        pages = len({x.page for x in r.lines})
+        need = max(2, round(pages * 0.5))
+        on = {}
+        for x in r.lines:
+            if 0 < len(x.line.strip()) <= 60:
+                on.setdefault(x.line.strip(), set()).add(x.page)
+        want = [(x.page, x.line_no, x.line.strip()) for x in r.lines if x.line.strip() and len(on.get(x.line.strip(), ())) < need]
+        assert [tuple(x) for x in r.kept] == want

@@ -95,8 +95,9 @@ def _(s):
 
 @query("stream_tumbling_limit", """SELECT user_id AS key, CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, count(*) AS hits, least(count(*), 3) AS allowed, greatest(count(*) - 3, 0) AS denied FROM events GROUP BY 1, 2""")
 def _(s):
-    e = streams.event_time(streams.read_stream(s.spark, s.sf_dir, "events")).withColumnRenamed("user_id", "key")
-    out = streams.run_to_table(streams.stream_tumbling_limit(e, 3, 86400), "complete")
+    e, end = streams.with_end(streams.read_stream(s.spark, s.sf_dir, "events"))
+    e = streams.event_time(e).withColumnRenamed("user_id", "key")
+    out = streams.run_to_table(streams.stream_tumbling_limit(e, 3, 86400), "append", end=end)
     return out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
@@ -110,13 +111,15 @@ def _(s):
 
 
 @query("readiness_trigger", """SELECT a.application_id, greatest(r.created_at, j.created_at) AS due_at FROM v_applications a JOIN v_resumes r ON a.resume_id = r.resume_id
- JOIN v_jobs j ON j.job_id = a.job_id WHERE r.extraction_status = 'done' AND j.extraction_status = 'done' AND
- j.created_at BETWEEN r.created_at - INTERVAL 20000 DAY AND r.created_at + INTERVAL 20000 DAY""")
+ JOIN v_jobs j ON j.job_id = a.job_id WHERE r.extraction_status = 'done' AND j.extraction_status = 'done'""")
 def _(s):
-    # the same join serves streams; here both sides are the recorded finish moments
-    r = s.resumes.where("extraction_status = 'done'").select("resume_id", F.col("created_at").alias("ts"))
-    j = s.jobs.where("extraction_status = 'done'").select("job_id", F.col("created_at").alias("ts"))
-    return streams.stream_readiness(r, j, s.applications, "20000 days")
+    # finish moments arrive with the base rows; the views tell which are done and when
+    r = streams.read_stream(s.spark, s.sf_dir, "orders").select(F.col("o_orderkey").alias("resume_id")).join(
+        s.resumes.where("extraction_status = 'done'").select("resume_id", F.col("created_at").alias("ts")), "resume_id")
+    j = streams.read_stream(s.spark, s.sf_dir, "part").select(F.col("p_partkey").alias("job_id")).join(
+        s.jobs.where("extraction_status = 'done'").select("job_id", F.col("created_at").alias("ts")), "job_id")
+    out = streams.run_to_table(streams.stream_readiness(r, j, s.applications), "update", key="application_id")
+    return out.withColumn("due_at", F.col("due_at").cast("timestamp_ntz"))
 
 
 _T = "TIMESTAMP '1999-01-01 00:00:00'"

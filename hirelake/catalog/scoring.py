@@ -235,10 +235,9 @@ def _(s):
     return out.select("application_id", "job_id", "route", "score", "rank")
 
 
-@query("embed_distinct_skills", """WITH i AS (SELECT DISTINCT resume_id, skill FROM v_resume_skills), w AS (SELECT DISTINCT resume_id, skill FROM v_resume_skills WHERE source = 'work_experience'),
-o AS (SELECT DISTINCT a.resume_id, j.skill FROM v_applications a JOIN v_jd_skills j ON j.job_id = a.job_id WHERE a.resume_id IS NOT NULL EXCEPT SELECT resume_id, skill FROM w)
-SELECT skill, length(skill) AS x, length(skill) - length(replace(skill, 'e', '')) AS y FROM (SELECT skill FROM o UNION SELECT skill FROM i WHERE resume_id IN (SELECT resume_id FROM o))""")
+@query("embed_distinct_skills", """SELECT skill, length(skill) AS x, length(skill) - length(replace(skill, 'e', '')) AS y
+FROM (SELECT lower(trim(skill)) AS skill FROM v_resume_skills UNION SELECT lower(trim(skill)) FROM v_jd_skills)""")
 def _(s):
-    todo = embedding.skills_to_embed(scoring.clean_jd(s.jd_skills), scoring.best_tier(s.resume_skills), s.applications.where("resume_id is not null"))
+    todo = embedding.skills_to_embed(scoring.clean_jd(s.jd_skills), scoring.best_tier(s.resume_skills))
     out = embedding.embed_distinct(todo, lambda texts: [[len(t), t.count("e")] for t in texts])
     return out.select("skill", F.col("embedding")[0].cast("bigint").alias("x"), F.col("embedding")[1].cast("bigint").alias("y"))

@@ -246,13 +246,25 @@ _RS = f"""CASE WHEN {_trim('line')} = '' OR length({_trim('line')}) > 60 OR rege
  WHEN regexp_matches({_FORM2}, {_q(sec.FUZZY_JOB_HEADING)}) THEN 1 ELSE 0 END"""
 
 
-@query("classify_headings", f"""SELECT doc_id, line_no, CAST({_RS} AS INT) AS requirement, {_trim('line')} IN ('About the Company', 'Optional Skills', 'Rewards') AS boundary,
- regexp_matches({_trim('line')}, '[.;!?,]$') OR regexp_matches(regexp_extract({_trim('line')}, '(\\pL)', 1), '^\\p{{Ll}}$') AS fragment FROM v_job_lines""")
+# every line that the tables of boundaries know is one of three set in by rule
+_SET_IN = "('About the Company', 'Optional Skills', 'Rewards')"
+_BARE = f"regexp_replace({_trim('line')}, ':+$', '')"
+_BARE = _trim(_BARE)
+_NWORDS = f"len(regexp_extract_all({_BARE}, '\\S+'))"
+_CONTENT = f"list_filter(regexp_extract_all({_BARE}, '[A-Za-z][A-Za-z'']*'), lambda w: lower(w) NOT IN {_in(sec.SMALL_WORDS)})"
+
+
+@query("classify_headings", f"""SELECT doc_id, line_no, CAST({_RS} AS INT) AS requirement, {_trim('line')} IN {_SET_IN} AS boundary,
+ regexp_matches({_trim('line')}, '[.;!?,]$') OR regexp_matches(regexp_extract({_trim('line')}, '(\\pL)', 1), '^\\p{{Ll}}$') AS fragment,
+ {_BARE} <> '' AND NOT regexp_matches({_BARE}, {_q(t.ITEM_BULLET)}) AND {_BARE} = upper({_BARE}) AND {_BARE} <> lower({_BARE}) AND {_NWORDS} BETWEEN 2 AND 5 AND length({_BARE}) < 40 AND NOT regexp_matches({_BARE}, '[0-9,.;]') AS caps,
+ {_NWORDS} BETWEEN 1 AND 7 AND NOT regexp_matches({_BARE}, {_q(t.ITEM_BULLET)}) AND NOT regexp_matches({_BARE}, '[.;!?,0-9]') AND regexp_matches({_BARE}, {_q(sec.FUZZY_KEYWORD)}) AND regexp_matches({_BARE}, '^\\p{{Lu}}')
+  AND len({_CONTENT}) > 0 AND len(list_filter({_CONTENT}, lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0 AND {_BARE} NOT IN {_SET_IN} AS fuzzy,
+ CASE WHEN {_trim('line')} IN {_SET_IN} THEN lower({_trim('line')}) END AS leading,
+ CASE WHEN {_NH} IN {_in(sec.PRIORITY_JOB_HEADINGS)} THEN 1 ELSE 0 END AS priority FROM v_job_lines""")
 def _(s):
-    lines = s.job_lines
     c = F.col("line")
-    return lines.select("doc_id", "line_no", sec.requirement_score(c).alias("requirement"), sec.is_job_boundary(c).alias("boundary"),
-                        sec.sentence_fragment(c).alias("fragment"))
+    return s.job_lines.select("doc_id", "line_no", sec.requirement_score(c).alias("requirement"), sec.is_job_boundary(c).alias("boundary"), sec.sentence_fragment(c).alias("fragment"),
+                              sec.caps_heading(c).alias("caps"), sec.fuzzy_heading(c).alias("fuzzy"), sec.leading_boundary(c).alias("leading"), sec.heading_priority(c).alias("priority"))
 
 
 @query("split_inline_label", f"""SELECT doc_id, line_no, CASE WHEN line_no % 2 = 0 THEN 'Required Skills' ELSE 'must  have' END AS heading, {_trim('line')} AS rest FROM v_job_lines WHERE {_trim('line')} <> ''""")

@@ -99,9 +99,12 @@ def find_mentions(text: Column) -> Column:
 
     def views(marked: Column) -> Column:
         lines, parts = F.split(marked, "\n"), F.split(marked, "[\u0001\u0002]")
-        line_of = lambda mark: F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, F.regexp_count(x, F.lit(mark)))))
+        none = F.array().cast("array<int>")
+        times = lambda x, mark: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
+        line_of = lambda mark: F.flatten(F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit(mark)), F.array_repeat(i, times(x, mark))).otherwise(none)))
+        plain = lambda x: F.when(F.contains(x, F.lit("\u0001")) | F.contains(x, F.lit("\u0002")), F.translate(x, "\u0001\u0002", "")).otherwise(x)
         return F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.right(p, F.lit(50))).alias("ends"), F.transform(parts, lambda p: F.left(p, F.lit(80))).alias("starts"),
-                        F.transform(lines, lambda x: F.translate(x, "\u0001\u0002", "")).alias("lines"), line_of("\u0001").alias("first"), line_of("\u0002").alias("last"))
+                        F.transform(lines, plain).alias("lines"), F.transform(lines, lambda x: F.contains(x, F.lit("\u0001"))).alias("asked"), line_of("\u0001").alias("first"), line_of("\u0002").alias("last"))
 
     def led(v: Column, i: Column, line: Column) -> Column:
         """The line behind a short line before it."""
@@ -129,7 +132,7 @@ def find_mentions(text: Column) -> Column:
 
     def all_of(v: Column) -> Column:
         n = F.size(v["first"])
-        preferred = F.transform(v["lines"], lambda x, i: led(v, i, x).rlike(PREFERRED))
+        preferred = F.transform(v["lines"], lambda x, i: F.when(F.get(v["asked"], i), led(v, i, x).rlike(PREFERRED)))
         found = let(preferred, lambda flags: F.transform(F.filter(F.transform(F.sequence(F.lit(0), n - 1), lambda k: context(v, flags, k)), real), read))
         none = F.array().cast("array<struct<min_months:int,max_months:int,text:string,preferred:boolean>>")
         return F.when(n > 0, found).otherwise(none)

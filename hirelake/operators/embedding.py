@@ -11,17 +11,13 @@ from pyspark.sql import functions as F
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
-def skills_to_embed(jd: DataFrame, index: DataFrame, apps: DataFrame) -> DataFrame:
-    """Distinct skills whose similarity can matter.
+def skills_to_embed(jd: DataFrame, index: DataFrame) -> DataFrame:
+    """Distinct skills of both sides, ``jd(jd_skill)`` and ``index(skill)``.
 
-    A JD skill that every applicant of its job has in a tier of weight 1 needs
-    no vector; resume skills are needed where their application has a JD skill
-    left.  ``jd(job_id, jd_skill)``, ``index(resume_id, skill, weight)``.
+    A text is embedded once however often it is listed, so each side is made
+    distinct first; no application is read.
     """
-    wanted = apps.join(jd.select("job_id", "jd_skill"), "job_id").select("resume_id", F.col("jd_skill").alias("skill")).distinct()
-    open_ = wanted.join(index.where("weight >= 1.0").select("resume_id", "skill"), ["resume_id", "skill"], "left_anti")
-    theirs = index.join(open_.select("resume_id").distinct(), "resume_id", "left_semi").select("skill")
-    return open_.select("skill").union(theirs).distinct()
+    return jd.select(F.col("jd_skill").alias("skill")).distinct().union(index.select("skill").distinct()).distinct()
 
 
 def embed_distinct(skills: DataFrame, embed: Embedder) -> DataFrame:

@@ -122,7 +122,7 @@ def next_of(df: DataFrame, key: list[str], at: str, probe: Column, out: str) ->
     Probes and rows are put into one order and each probe reads what follows it;
     pieces hand the first row they hold to the pieces before.
     """
-    src = written(df.withColumn("_probe", probe), "probes")
+    src = df.withColumn("_probe", probe)
     both = src.select(*key, F.col(at).alias("_at"), F.lit(1).alias("_kind")).unionByName(src.select(*key, F.col("_probe").alias("_at"), F.lit(0).alias("_kind"))).distinct()
     p = in_pieces(both, key, ["_at", "_kind"]).withColumn("_event", F.when(F.col("_kind") == 1, F.col("_at")))
     ahead = Window.partitionBy(*key, "_piece").orderBy("_at", "_kind").rowsBetween(0, Window.unboundedFollowing)

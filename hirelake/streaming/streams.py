@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.operations import task_summary
+from ..operators.skew import latest
 from ..operators.stateful import out_names, out_schema, verdicts
 from ..session import shared_dir
 from ..sources.entities import SCHEMAS
@@ -32,19 +33,35 @@ def event_time(df: DataFrame, col: str = "ts", lateness: str = LATENESS) -> Data
     return df.withColumn(col, F.col(col).cast("timestamp")).withWatermark(col, lateness)
 
 
-def run_to_table(stream: DataFrame, mode: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def with_end(stream: DataFrame, at: str = "9999-01-01 00:00:00", col: str = "ts") -> tuple[DataFrame, Callable[[], None]]:
+    """A replay that can be ended: the stream, and a function that sends one more row, without a key, whose time is far ahead.
+
+    Sent after all data were read, it moves the watermark past all windows.
+    """
+    spark, path = stream.sparkSession, shared_dir(stream.sparkSession, "stream-end")
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+    row = [F.lit(at).cast(f.dataType).alias(f.name) if f.name == col else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path)), lambda: spark.range(1).select(*row).write.mode("append").parquet(path)
+
+
+def run_to_table(stream: DataFrame, mode: str, keep: Callable[[DataFrame], DataFrame] | None = None, key: str | None = None,
+                 end: Callable[[], None] | None = None) -> DataFrame:
     """Run a stream over all available data and return its result table.
 
     ``append`` writes files through the exactly-once file sink.  ``complete``
     replaces the table with each batch, one folder per batch, so a batch that
-    runs again after a failure overwrites its own folder only.
+    runs again after a failure overwrites its own folder only.  ``update`` keeps
+    the folders of all batches and gives the last row of each ``key``.  With
+    ``end`` (see :func:`with_end`) the data are read to their end, the end is sent, and
+    the stream goes on from its checkpoint.
     """
     spark = stream.sparkSession
     out, state = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
-        q = writer.format("parquet").option("path", out).start()
-        q.awaitTermination()
+        for send in [lambda: None, end] if end else [lambda: None]:
+            send()
+            writer.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
     last = {}
 
@@ -56,6 +73,9 @@ def run_to_table(stream: DataFrame, mode: str, keep: Callable[[DataFrame], DataF
     writer.foreachBatch(save).start().awaitTermination()
     if "path" not in last:
         return spark.createDataFrame([], stream.schema)
+    if mode == "update":
+        rows = spark.read.option("basePath", out).parquet(out)
+        return latest(rows, [key], ["batch"]).select(*stream.columns)
     return spark.read.parquet(last["path"])
 
 
@@ -65,7 +85,11 @@ def stream_task_metrics(events: DataFrame) -> DataFrame:
 
 
 def stream_tumbling_limit(hits: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Hits per key and clock bucket, split into allowed and denied; denied hits count."""
+    """Hits per key and clock bucket, split into allowed and denied; denied hits count.
+
+    In append mode a bucket is given out once, when the watermark has passed its
+    end, and its state is dropped then.
+    """
     n = hits.groupBy("key", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("hits"))
     return n.select("key", F.col("w.start").alias("bucket"), "hits", F.least("hits", F.lit(limit)).alias("allowed"),
                     F.greatest(F.col("hits") - limit, F.lit(0)).alias("denied"))
@@ -111,17 +135,18 @@ def stream_changes(audit: DataFrame) -> DataFrame:
     return with_changes(audit)
 
 
-def stream_readiness(resume_done: DataFrame, job_done: DataFrame, apps: DataFrame, within: str) -> DataFrame:
-    """An application is due when both its sides are done, at the later of the two moments.
+def stream_readiness(resume_done: DataFrame, job_done: DataFrame, apps: DataFrame) -> DataFrame:
+    """An application is due when both its sides are done, at the later of the two latest moments.
 
-    Stream-stream join: each side is first tied to its applications (a static
-    table), then both sides meet on the application.
+    The state is one row per application with the latest moment of each side, so
+    the sides may be any time apart; Spark keeps it in the state store, and map-side
+    sums go before it.  Each side is first tied to its applications (a static table).
     """
-    r = resume_done.join(apps.select("application_id", "resume_id"), "resume_id").select("application_id", F.col("ts").alias("resume_ts"))
-    j = job_done.join(apps.select("application_id", "job_id"), "job_id").select(F.col("application_id").alias("app"), F.col("ts").alias("job_ts"))
-    near = F.expr(f"job_ts BETWEEN resume_ts - INTERVAL {within} AND resume_ts + INTERVAL {within}")
-    return r.join(j, (F.col("application_id") == F.col("app")) & near).select(
-        "application_id", F.greatest("resume_ts", "job_ts").alias("due_at"))
+    none = F.lit(None).cast("timestamp")
+    r = resume_done.join(apps.select("application_id", "resume_id"), "resume_id").select("application_id", F.col("ts").cast("timestamp").alias("resume_ts"), none.alias("job_ts"))
+    j = job_done.join(apps.select("application_id", "job_id"), "job_id").select("application_id", none.alias("resume_ts"), F.col("ts").cast("timestamp").alias("job_ts"))
+    sides = r.unionByName(j).groupBy("application_id").agg(F.max("resume_ts").alias("resume_ts"), F.max("job_ts").alias("job_ts"))
+    return sides.where("resume_ts IS NOT NULL AND job_ts IS NOT NULL").select("application_id", F.greatest("resume_ts", "job_ts").alias("due_at"))
 
 
 def retry_step(df: DataFrame, now, after_minutes: int = 10, max_retry: int = 3) -> DataFrame:

@@ -105,17 +105,36 @@ def test_session_window_stream(spark, hits, tmp_path):
 
 
 def test_readiness_stream(spark, tmp_path):
+    """Sides finish months apart and some twice; the last row of an application holds the latest moments."""
     t0 = dt.datetime(2024, 1, 1)
     S = spark.createDataFrame
-    r = S([(i, t0 + dt.timedelta(hours=i)) for i in range(20)], "resume_id long, ts timestamp")
-    j = S([(i, t0 + dt.timedelta(hours=10 - i)) for i in range(5)], "job_id long, ts timestamp")
+    r = S([(i, t0 + dt.timedelta(hours=i)) for i in range(20)] + [(3, t0 + dt.timedelta(days=400))], "resume_id long, ts timestamp")
+    j = S([(i, t0 + dt.timedelta(days=90 * i)) for i in range(5)], "job_id long, ts timestamp")
     apps = S([(i, i, i % 7) for i in range(20)], "application_id long, resume_id long, job_id long")
     for name, df in (("r", r), ("j", j)):
-        df.coalesce(1).write.parquet(str(tmp_path / name))
-    read = lambda n, df: streams.event_time(spark.readStream.schema(df.schema).parquet(str(tmp_path / n)), lateness="2 days")
-    live = streams.run_to_table(streams.stream_readiness(read("r", r), read("j", j), apps, "30 days"), "append")
-    want = streams.stream_readiness(r, j, apps, "30 days")
-    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, want.collect())) and want.count() > 0
+        for at in range(3):
+            df.where(F.floor(F.unix_seconds("ts") / 86400) % 3 == at).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda n, df: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n))
+    live = streams.run_to_table(streams.stream_readiness(read("r", r), read("j", j), apps), "update", key="application_id")
+    latest = lambda df, k: {x[0]: max(y[1] for y in df.collect() if y[0] == x[0]) for x in df.collect()}
+    rs, js = latest(r, "resume_id"), latest(j, "job_id")
+    assert {x.application_id: x.due_at for x in live.collect()} == {i: max(rs[i], js[i % 7]) for i in range(20) if i in rs and i % 7 in js}
+
+
+def test_tumbling_state_is_dropped_behind_the_watermark(spark, tmp_path):
+    t0, src = dt.datetime(2024, 1, 1), str(tmp_path / "in")
+    for day in range(12):
+        rows = [(k, t0 + dt.timedelta(days=day, minutes=k)) for k in range(50)]
+        spark.createDataFrame(rows, "key long, ts timestamp").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("key long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    replay, end = streams.with_end(stream)
+    out, path, held = streams.stream_tumbling_limit(streams.event_time(replay), 3, 86400), str(tmp_path / "out"), []
+    for send in (lambda: None, end):
+        send()
+        q = out.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").option("path", path).start()
+        q.awaitTermination()
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert spark.read.parquet(path).count() == 600 and max(held) <= 200 and held[-1] <= 1
 
 
 def test_alerts(spark):

@@ -194,13 +194,31 @@ _CBR = _trim(f"regexp_replace(x, {_q(t.ITEM_BULLET)}, '')")
 _CB2 = f"CASE WHEN NOT regexp_matches(x, {_q(t.ITEM_BULLET)}) THEN x WHEN {_CBR} = '' THEN '' WHEN regexp_matches(x, '^[0-9]') THEN x ELSE '- ' || {_CBR} END"
 
 
-@query("clean_bullets", _hash_sql(_trim(f"array_to_string(list_filter(list_transform(list_transform(string_split(text, {NL}), lambda x: {_CB1}), lambda x: {_CB2}), lambda x: x <> '' AND NOT regexp_matches(x, {_q(t.PAGE_NUMBER)})), {NL})"), "v_job_docs"))
+CLEAN_BULLETS = _trim(f"array_to_string(list_filter(list_transform(list_transform(string_split(text, {NL}), lambda x: {_CB1}), lambda x: {_CB2}), lambda x: x <> '' AND NOT regexp_matches(x, {_q(t.PAGE_NUMBER)})), {NL})")
+
+
+@query("clean_bullets", _hash_sql(CLEAN_BULLETS, "v_job_docs"))
 def _(s):
     return _hashed(s.job_docs, t.clean_bullets(F.col("text")))
 
 
-# the check rewrites the one injected group by rule; the prose of the data holds no short parenthesis group of its own
-@query("expand_parens")
+def expand_sql(src: str, out: str) -> str:
+    """CTEs that expand the parentheses of ``src`` (doc_id, text) round by round until nothing changes; the result is ``out`` (doc_id, text)."""
+    group = "'([^()\\n,:|]+?)\\s*\\(([^()]*)\\)'"
+    plain = "translate(lower(text), chr(1) || chr(2), '  ')"
+    parts = f"""list_transform(regexp_extract_all(t, {group}), lambda x: {{'x': x, 'raw': regexp_extract(x, '^([^()\\n,:|]+?)\\s*\\(', 1), 'inner': regexp_extract(x, '\\(([^()]*)\\)$', 1)}})"""
+    read = f"""list_transform({parts}, lambda q: {{'x': q.x, 'lead': regexp_extract(q.raw, '^\\s*', 0), 'base': {_trim('q.raw')},
+ 'w': list_filter(string_split({_squeeze('q.raw')}, ' '), lambda v: v <> ''), 'items': list_filter(list_transform(regexp_split_to_array(q.inner, '[,;|]'), lambda v: {_trim('v')}), lambda v: v <> '')}})"""
+    named = f"""list_transform({read}, lambda q: {{'x': q.x, 'lead': q.lead, 'items': q.items, 'keep': len(q.w) = 0 OR len(q.w) > {t.MAX_BASE_WORDS} OR regexp_matches(q.base, '[.!?]\\s') OR len(q.items) = 0,
+ 'base': CASE WHEN len(q.w) > 1 AND q.w[1] IN {_in(t.STRUCTURAL_LEADERS)} AND q.w[2] NOT IN {_in(t.GENERIC_HEADS)} THEN array_to_string(q.w[2:], ' ') ELSE q.base END}})"""
+    done = f"list_transform({named}, lambda q: CASE WHEN q.keep THEN q.x ELSE q.lead || array_to_string(list_concat([q.base], list_transform(q.items, lambda v: q.base || ' ' || v)), ', ') END)"
+    return f"""{out}_r AS (SELECT doc_id, 0 AS k, replace(regexp_replace({plain}, '\\(\\s*cid:127\\s*\\)', ', ', 'g'), chr(8226), ', ') AS t FROM {src}
+ UNION ALL SELECT doc_id, k + 1, n FROM (SELECT doc_id, k, t, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(new[i], '')), '') AS n
+  FROM (SELECT doc_id, k, t, regexp_split_to_array(t, {group}) AS gaps, {done} AS new FROM {out}_r WHERE contains(t, '('))) WHERE n <> t),
+{out} AS (SELECT doc_id, arg_max(t, k) AS text FROM {out}_r GROUP BY 1)"""
+
+
+@query("expand_parens", "WITH RECURSIVE " + expand_sql("v_resume_docs", "expanded") + " SELECT doc_id, md5(text) AS hash, CAST(length(text) AS INT) AS n FROM expanded")
 def _(s):
     return _hashed(s.resume_docs, t.expand_parens(F.col("text")))
 
@@ -210,10 +228,15 @@ _BARE = f"NOT regexp_matches(x, '[,|/:]') AND len(w) <= 4 AND len(list_filter(w,
 _REST = _trim("regexp_replace(x, '^[^:]*:', '')")
 
 
-@query("strip_labels", f"""WITH l AS (SELECT doc_id, line_no, {_trim('line')} AS x FROM v_resume_lines),
-n AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY doc_id ORDER BY line_no), '') AS nxt, regexp_split_to_array(x, '\\s*&\\s*|\\s+') AS w FROM l),
-o AS (SELECT doc_id, line_no, CASE WHEN {_BARE} THEN '' WHEN contains(x, ':') THEN CASE WHEN {_REST} = '' THEN '' WHEN {_trim("regexp_extract(x, '^([^:]*):', 1)")} <> '' THEN {_REST} ELSE x END ELSE x END AS y FROM n)
-SELECT doc_id, md5(coalesce(string_agg(y, {NL} ORDER BY line_no) FILTER (y <> ''), '')) AS hash, CAST(coalesce(length(string_agg(y, {NL} ORDER BY line_no) FILTER (y <> '')), 0) AS INT) AS n FROM o GROUP BY 1""")
+def labels_sql(lines: str, out: str) -> str:
+    """CTEs that drop category labels from ``lines`` (doc_id, line_no, line); the result is ``out`` (doc_id, text)."""
+    return f"""{out}_l AS (SELECT doc_id, line_no, {_trim('line')} AS x FROM {lines}),
+{out}_n AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY doc_id ORDER BY line_no), '') AS nxt, regexp_split_to_array(x, '\\s*&\\s*|\\s+') AS w FROM {out}_l),
+{out}_o AS (SELECT doc_id, line_no, CASE WHEN {_BARE} THEN '' WHEN contains(x, ':') THEN CASE WHEN {_REST} = '' THEN '' WHEN {_trim("regexp_extract(x, '^([^:]*):', 1)")} <> '' THEN {_REST} ELSE x END ELSE x END AS y FROM {out}_n),
+{out} AS (SELECT doc_id, coalesce(string_agg(y, {NL} ORDER BY line_no) FILTER (y <> ''), '') AS text FROM {out}_o GROUP BY 1)"""
+
+
+@query("strip_labels", "WITH " + labels_sql("v_resume_lines", "labelled") + " SELECT doc_id, md5(text) AS hash, CAST(length(text) AS INT) AS n FROM labelled")
 def _(s):
     return _hashed(s.resume_docs, t.strip_labels(F.col("text")))
 
@@ -248,17 +271,17 @@ _RS = f"""CASE WHEN {_trim('line')} = '' OR length({_trim('line')}) > 60 OR rege
 
 # every line that the tables of boundaries know is one of three set in by rule
 _SET_IN = "('About the Company', 'Optional Skills', 'Rewards')"
-_BARE = f"regexp_replace({_trim('line')}, ':+$', '')"
-_BARE = _trim(_BARE)
-_NWORDS = f"len(regexp_extract_all({_BARE}, '\\S+'))"
-_CONTENT = f"list_filter(regexp_extract_all({_BARE}, '[A-Za-z][A-Za-z'']*'), lambda w: lower(w) NOT IN {_in(sec.SMALL_WORDS)})"
+_HEAD = f"regexp_replace({_trim('line')}, ':+$', '')"
+_HEAD = _trim(_HEAD)
+_NWORDS = f"len(regexp_extract_all({_HEAD}, '\\S+'))"
+_CONTENT = f"list_filter(regexp_extract_all({_HEAD}, '[A-Za-z][A-Za-z'']*'), lambda w: lower(w) NOT IN {_in(sec.SMALL_WORDS)})"
 
 
 @query("classify_headings", f"""SELECT doc_id, line_no, CAST({_RS} AS INT) AS requirement, {_trim('line')} IN {_SET_IN} AS boundary,
  regexp_matches({_trim('line')}, '[.;!?,]$') OR regexp_matches(regexp_extract({_trim('line')}, '(\\pL)', 1), '^\\p{{Ll}}$') AS fragment,
- {_BARE} <> '' AND NOT regexp_matches({_BARE}, {_q(t.ITEM_BULLET)}) AND {_BARE} = upper({_BARE}) AND {_BARE} <> lower({_BARE}) AND {_NWORDS} BETWEEN 2 AND 5 AND length({_BARE}) < 40 AND NOT regexp_matches({_BARE}, '[0-9,.;]') AS caps,
- {_NWORDS} BETWEEN 1 AND 7 AND NOT regexp_matches({_BARE}, {_q(t.ITEM_BULLET)}) AND NOT regexp_matches({_BARE}, '[.;!?,0-9]') AND regexp_matches({_BARE}, {_q(sec.FUZZY_KEYWORD)}) AND regexp_matches({_BARE}, '^\\p{{Lu}}')
-  AND len({_CONTENT}) > 0 AND len(list_filter({_CONTENT}, lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0 AND {_BARE} NOT IN {_SET_IN} AS fuzzy,
+ {_HEAD} <> '' AND NOT regexp_matches({_HEAD}, {_q(t.ITEM_BULLET)}) AND {_HEAD} = upper({_HEAD}) AND {_HEAD} <> lower({_HEAD}) AND {_NWORDS} BETWEEN 2 AND 5 AND length({_HEAD}) < 40 AND NOT regexp_matches({_HEAD}, '[0-9,.;]') AS caps,
+ {_NWORDS} BETWEEN 1 AND 7 AND NOT regexp_matches({_HEAD}, {_q(t.ITEM_BULLET)}) AND NOT regexp_matches({_HEAD}, '[.;!?,0-9]') AND regexp_matches({_HEAD}, {_q(sec.FUZZY_KEYWORD)}) AND regexp_matches({_HEAD}, '^\\p{{Lu}}')
+  AND len({_CONTENT}) > 0 AND len(list_filter({_CONTENT}, lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0 AND {_HEAD} NOT IN {_SET_IN} AS fuzzy,
  CASE WHEN {_trim('line')} IN {_SET_IN} THEN lower({_trim('line')}) END AS leading,
  CASE WHEN {_NH} IN {_in(sec.PRIORITY_JOB_HEADINGS)} THEN 1 ELSE 0 END AS priority FROM v_job_lines""")
 def _(s):
@@ -355,14 +378,16 @@ _CONT = rf"""CASE WHEN regexp_matches(b.t, '^(?:\p{{Ll}}|[)\],;])') THEN true WH
  ELSE hb.has AND NOT regexp_matches(r.item, '[.!?;:]$') END"""
 
 
-@query("join_wrapped", "WITH RECURSIVE " + _JL + ", " + _read_sql(_BEST, "b.score > 0", False) + rf""",
+_JOINED = _JL + ", " + _read_sql(_BEST, "b.score > 0", False) + rf""",
 b0 AS (SELECT doc_id, unnest(string_split(body, {NL})) AS raw, unnest(range(len(string_split(body, {NL})))) AS p FROM x),
 b AS (SELECT doc_id, t, regexp_matches(t, {_q(t.ITEM_BULLET)}) AS bul, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM (SELECT doc_id, p, {_trim('raw')} AS t FROM b0) WHERE t <> ''),
 hb AS (SELECT doc_id, bool_or(bul) AS has FROM b GROUP BY 1),
 r AS (SELECT doc_id, i, t AS item, 0 AS k FROM b WHERE i = 1 UNION ALL
  SELECT b.doc_id, b.i, CASE WHEN n.fresh THEN b.t ELSE r.item || CASE WHEN regexp_matches(r.item, '\pL-$') AND regexp_matches(b.t, '^\p{{Ll}}') THEN '' ELSE ' ' END || b.t END, r.k + CAST(n.fresh AS INT)
- FROM r JOIN b ON b.doc_id = r.doc_id AND b.i = r.i + 1 JOIN hb ON hb.doc_id = b.doc_id, LATERAL (SELECT b.bul OR NOT ({_CONT}) AS fresh) n)
-SELECT doc_id, k AS pos, arg_max(item, i) AS item FROM r GROUP BY 1, 2""")
+ FROM r JOIN b ON b.doc_id = r.doc_id AND b.i = r.i + 1 JOIN hb ON hb.doc_id = b.doc_id, LATERAL (SELECT b.bul OR NOT ({_CONT}) AS fresh) n)"""
+
+
+@query("join_wrapped", "WITH RECURSIVE " + _JOINED + " SELECT doc_id, k AS pos, arg_max(item, i) AS item FROM r GROUP BY 1, 2")
 def _(s):
     df = sec.requirements_section(s.job_docs)
     return df.select("doc_id", F.posexplode_outer(sec.join_wrapped(F.split("requirements.section_text", "\n"))).alias("pos", "item")).where("pos is not null")

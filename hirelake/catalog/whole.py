@@ -11,7 +11,7 @@ from .operations import _DEPTH, _STUCK, probes
 from .records import _REF
 from .registry import query
 from .relational import _CNT
-from .texts import _LEX, TODAY
+from .texts import _JOINED, _LEX, _TOK, CLEAN_BULLETS, NL, TODAY, expand_sql, labels_sql
 
 NOW = dt.datetime(1999, 1, 1)
 _NOW = "TIMESTAMP '1999-01-01 00:00:00'"
@@ -25,7 +25,30 @@ def _(s):
                       "experience_months", "experience_source")
 
 
-@query("extract_job_requirements")
+def _split(src: str) -> str:
+    """Lines of (doc_id, text)."""
+    return f"(SELECT doc_id, unnest(range(len(string_split(text, {NL})))) AS line_no, unnest(string_split(text, {NL})) AS line FROM {src})"
+
+
+def _tags_sql(src: str, out: str, key: str = "doc_id") -> str:
+    """Lexicon terms of (key, text) at their first place that the text also holds as they are written; the result is ``out`` (key, skill, pos)."""
+    return f"""{out}_k AS (SELECT {key}, {_TOK} AS tok, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS txt FROM {src}), {out}_g AS (SELECT *, unnest(range(1, len(tok) + 1)) AS i FROM {out}_k),
+{out}_n AS (SELECT {key}, txt, array_to_string(tok[i:i + z - 1], ' ') AS skill, i * 4 + z AS p FROM {out}_g, (VALUES (1), (2), (3)) v(z) WHERE i + z - 1 <= len(tok)),
+{out} AS (SELECT {key}, skill, min(p) AS pos, bool_and(contains(txt, skill)) AS held FROM {out}_n WHERE skill IN (SELECT alias FROM ({_LEX})) GROUP BY {key}, skill)"""
+
+
+_ASKS = "CAST(max(CAST(regexp_extract(line, '^- At least ([0-9]+)\\+ years of experience', 1) AS INT)) * 12 AS INT) AS months FROM {} WHERE regexp_matches(line, '^- At least [0-9]+\\+ years of experience') GROUP BY 1"
+
+
+@query("extract_job_requirements", "WITH RECURSIVE " + _JOINED + f""",
+items AS (SELECT doc_id, string_agg(item, {NL} ORDER BY k) AS text FROM (SELECT doc_id, k, arg_max(item, i) AS item FROM r GROUP BY 1, 2) GROUP BY 1),
+cleaned AS (SELECT doc_id, {CLEAN_BULLETS} AS text FROM (SELECT d.doc_id, coalesce(i.text, '') AS text FROM v_job_docs d LEFT JOIN items i ON i.doc_id = d.doc_id)),
+{expand_sql('cleaned', 'expanded')}, {labels_sql(_split('expanded'), 'body')}, {_tags_sql('body', 'tags')},
+part AS (SELECT doc_id, {_ASKS.format(_split('(SELECT doc_id, body AS text FROM x)'))}), whole AS (SELECT doc_id, {_ASKS.format('v_job_lines')})
+SELECT d.doc_id, x.doc_id IS NOT NULL AS found, coalesce(part.months, whole.months) AS min_months,
+ CASE WHEN part.months IS NOT NULL THEN 'requirements_section' WHEN whole.months IS NOT NULL THEN 'full_text' END AS min_source,
+ coalesce((SELECT string_agg(skill, '|' ORDER BY pos) FROM tags WHERE tags.doc_id = d.doc_id AND held), '') AS skills
+FROM v_job_docs d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN part ON part.doc_id = d.doc_id LEFT JOIN whole ON whole.doc_id = d.doc_id""")
 def _(s):
     out = composed.extract_job_requirements(s.job_docs, s.sql(_LEX))
     return out.select("doc_id", "found", "min_months", "min_source", F.array_join("skills", "|").alias("skills"))

@@ -174,17 +174,26 @@ for _o, _n in t.ARTEFACTS:
 _CLEAN = _trim(f"regexp_replace(regexp_replace({_CLEAN}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
-@query("clean_text", _hash_sql(_CLEAN, "documents"))
+CLEAN_TEXT = _CLEAN
+
+
+@query("clean_text", _hash_sql(CLEAN_TEXT, "documents"))
 def _(s):
     return _hashed(s.table("documents"), t.clean_text(F.col("text")))
 
 
-@query("strip_dates", _hash_sql(_lines_sql(_trim(f"regexp_replace(x, {_q(t.LEADING_DATE)}, '')"), "x <> ''"), "v_resume_docs"))
+STRIP_DATES = _lines_sql(_trim(f"regexp_replace(x, {_q(t.LEADING_DATE)}, '')"), "x <> ''")
+
+
+@query("strip_dates", _hash_sql(STRIP_DATES, "v_resume_docs"))
 def _(s):
     return _hashed(s.resume_docs, t.strip_dates(F.col("text")))
 
 
-@query("strip_bullets", _hash_sql(f"array_to_string(list_transform(list_filter(string_split(text, {NL}), lambda x: {_trim('x')} <> ''), lambda x: " + _trim(f"regexp_replace(x, {_q(t.PROSE_BULLET)}, '')") + f"), {NL})", "v_job_docs"))
+STRIP_BULLETS = f"array_to_string(list_transform(list_filter(string_split(text, {NL}), lambda x: {_trim('x')} <> ''), lambda x: " + _trim(f"regexp_replace(x, {_q(t.PROSE_BULLET)}, '')") + f"), {NL})"
+
+
+@query("strip_bullets", _hash_sql(STRIP_BULLETS, "v_job_docs"))
 def _(s):
     return _hashed(s.job_docs, t.strip_bullets(F.col("text")))
 

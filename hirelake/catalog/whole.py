@@ -3,28 +3,25 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+from ..operators import sections as sec
 from ..plans import composed
 from .operations import _DEPTH, _STUCK, probes
 from .records import _REF
 from .registry import query
 from .relational import _CNT
-from .texts import _JOINED, _LEX, _TOK, CLEAN_BULLETS, NL, TODAY, expand_sql, labels_sql
+from .texts import (_FORM2, _HS, _JOINED, _KIND, _LEX, _SECT, _TODAY, _TOK, CLEAN_BULLETS, CLEAN_TEXT, NL, STRIP_BULLETS, STRIP_DATES, TODAY,
+                    _in, _q, expand_sql, labels_sql)
 
 NOW = dt.datetime(1999, 1, 1)
 _NOW = "TIMESTAMP '1999-01-01 00:00:00'"
 ENOW = dt.datetime(2024, 1, 20)
 
 
-@query("extract_resume_skills")
-def _(s):
-    out = composed.extract_resume_skills(s.resume_docs, s.sql(_LEX), F.lit(TODAY))
-    return out.select("doc_id", F.array_join("skills", "|").alias("skills"), F.array_join(F.col("skills_by_source")["work_experience"], "|").alias("work"),
-                      "experience_months", "experience_source")
-
-
 def _split(src: str) -> str:
     """Lines of (doc_id, text)."""
     return f"(SELECT doc_id, unnest(range(len(string_split(text, {NL})))) AS line_no, unnest(string_split(text, {NL})) AS line FROM {src})"
@@ -37,6 +34,57 @@ def _tags_sql(src: str, out: str, key: str = "doc_id") -> str:
 {out} AS (SELECT {key}, skill, min(p) AS pos, bool_and(contains(txt, skill)) AS held FROM {out}_n WHERE skill IN (SELECT alias FROM ({_LEX})) GROUP BY {key}, skill)"""
 
 
+def _renamed(sql: str, tag: str) -> str:
+    """CTEs over the cleaned lines instead of the resume view, with names of their own."""
+    body = sql.strip().removeprefix("WITH ")
+    for name in sorted(set(re.findall(r"(?:^|,)\s*([a-z]) AS \(", body))):
+        body = re.sub(rf"\b{name}\b(?= AS \()|(?<=FROM ){name}\b", f"{tag}_{name}", body)
+    return body.replace("v_resume_lines", "lines")
+
+
+_MON = "CASE lower(left({0}, 3)) " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)) + " END"
+_MAJOR = f"""(f IN {_in(sec.MAJOR_HEADINGS)} OR (NOT regexp_matches(u, {_q(t.LIST_BULLET)}) AND u = upper(u) AND u <> lower(u) AND length(u) < 40 AND len(regexp_extract_all(u, '[A-Za-z][A-Za-z&/''-]*')) >= 2))"""
+_HELD = "regexp_matches(' ' || b.txt || ' ', '[^a-z0-9+#]' || regexp_replace(m.skill, '([\\\\.\\[\\]{}()*+?^$|#&-])', '\\\\\\1', 'g') || '[^a-z0-9+#]')"
+_PLACE = "CASE {} WHEN 'skills_section' THEN 0 WHEN 'work_experience' THEN 1 ELSE 2 END"
+
+
+@query("extract_resume_skills", f"""WITH RECURSIVE docs AS (SELECT doc_id, {CLEAN_TEXT} AS text FROM v_resume_docs), lines AS {_split('docs')},
+{_renamed(_SECT, 'sct')},
+under AS (SELECT doc_id, section, string_agg(line, {NL} ORDER BY line_no) FILTER (kind IS NULL) AS text FROM sct_s WHERE section IN ('experience', 'projects') GROUP BY 1, 2),
+{_renamed(_HS, 'hd')},
+top AS (SELECT doc_id, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS rn FROM hd_q) WHERE rn = 1 AND score >= 3),
+after AS (SELECT l.doc_id, l.line_no, l.line, hd.f, regexp_replace(hd.s, ':+$', '') AS u FROM lines l JOIN top USING (doc_id) JOIN hd_p hd ON hd.doc_id = l.doc_id AND hd.line_no = l.line_no WHERE l.line_no > top.line_no),
+stop AS (SELECT doc_id, min(line_no) FILTER ({_MAJOR}) AS halt FROM after GROUP BY 1),
+found AS (SELECT doc_id, string_agg(line, {NL} ORDER BY line_no) AS text FROM after JOIN stop USING (doc_id) WHERE line_no < coalesce(halt, 1000000000) AND trim(line) <> '' GROUP BY 1),
+undated AS (SELECT d.doc_id, {STRIP_DATES} AS text FROM (SELECT docs.doc_id, coalesce(found.text, '') AS text FROM docs LEFT JOIN found USING (doc_id)) d),
+{expand_sql('undated', 'expanded')}, {labels_sql(_split('expanded'), 'listed')},
+blocks AS (SELECT doc_id, 'skills_section' AS source, text FROM listed
+ UNION ALL SELECT doc_id, k.source, {STRIP_BULLETS} FROM (SELECT docs.doc_id, n.source, coalesce(under.text, '') AS text FROM docs CROSS JOIN (VALUES ('work_experience', 'experience'), ('projects', 'projects')) n(source, section)
+  LEFT JOIN under ON under.doc_id = docs.doc_id AND under.section = n.section) k),
+norm AS (SELECT doc_id, source, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS txt FROM blocks),
+{_tags_sql('blocks', 'tags', 'doc_id, source')},
+routed AS (SELECT g.doc_id, g.skill, {_PLACE.format('g.source')} * 1000000 + pos AS ord,
+ coalesce((SELECT arg_min(b.source, CASE WHEN b.source = g.source THEN -1 ELSE {_PLACE.format('b.source')} END) FROM norm b WHERE b.doc_id = g.doc_id AND contains(b.txt, g.skill)), g.source) AS source FROM tags g),
+kept AS (SELECT r.doc_id, r.source, r.skill, min(ord) AS ord FROM routed r JOIN norm b ON b.doc_id = r.doc_id AND b.source = r.source AND contains(b.txt, r.skill) GROUP BY 1, 2, 3),
+merged AS (SELECT doc_id, skill, min({_PLACE.format('source')} * 100000000 + ord) AS ord FROM kept GROUP BY 1, 2),
+filled AS (SELECT doc_id, source, skill, ord FROM kept UNION ALL
+ SELECT b.doc_id, b.source, m.skill, 10000000000 + m.ord FROM merged m JOIN norm b ON b.doc_id = m.doc_id WHERE {_HELD} AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = b.doc_id AND k.source = b.source AND k.skill = m.skill)),
+al AS (SELECT doc_id, skill, min({_PLACE.format('source')} * 100000000000 + ord) AS ord FROM filled GROUP BY 1, 2),
+sx AS (SELECT doc_id, line, last_value({_KIND.format(f=_FORM2)} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM lines),
+span AS (SELECT doc_id, make_date(TRY_CAST(regexp_extract(line, '^[A-Z][a-z]{{2}} ([0-9]{{4}})', 1) AS INT), {_MON.format('line')}, 1) AS a, CASE WHEN regexp_matches(line, '- Present Engineer') THEN {_TODAY} ELSE
+ make_date(TRY_CAST(regexp_extract(line, ' - [A-Z][a-z]{{2}} ([0-9]{{4}}) Engineer', 1) AS INT), {_MON.format("regexp_extract(line, ' - ([A-Z][a-z]{2}) [0-9]{4} Engineer', 1)")}, 1) END AS z
+ FROM sx WHERE section = 'experience' AND regexp_matches(line, '^[A-Z][a-z]{{2}} [0-9]{{4}} - (?:Present|[A-Z][a-z]{{2}} [0-9]{{4}}) Engineer')),
+usable AS (SELECT doc_id, year(a) * 12 + month(a) AS lo, year(least(z, {_TODAY})) * 12 + month(least(z, {_TODAY})) AS hi FROM span WHERE z >= a AND a <= {_TODAY}),
+months AS (SELECT doc_id, count(DISTINCT m) AS n FROM (SELECT doc_id, unnest(CASE WHEN hi > lo THEN range(lo, hi) ELSE [NULL] END) AS m FROM usable) GROUP BY 1)
+SELECT d.doc_id, coalesce((SELECT string_agg(skill, '|' ORDER BY ord) FROM al WHERE al.doc_id = d.doc_id), '') AS skills,
+ coalesce((SELECT string_agg(skill, '|' ORDER BY ord) FROM filled f WHERE f.doc_id = d.doc_id AND f.source = 'work_experience'), '') AS work,
+ CAST(m.n AS INT) AS experience_months, CASE WHEN m.n IS NOT NULL THEN 'experience_section' END AS experience_source FROM docs d LEFT JOIN months m ON m.doc_id = d.doc_id""")
+def _(s):
+    out = composed.extract_resume_skills(s.resume_docs, s.sql(_LEX), F.lit(TODAY))
+    return out.select("doc_id", F.array_join("skills", "|").alias("skills"), F.array_join(F.col("skills_by_source")["work_experience"], "|").alias("work"),
+                      "experience_months", "experience_source")
+
+
 _ASKS = "CAST(max(CAST(regexp_extract(line, '^- At least ([0-9]+)\\+ years of experience', 1) AS INT)) * 12 AS INT) AS months FROM {} WHERE regexp_matches(line, '^- At least [0-9]+\\+ years of experience') GROUP BY 1"
 
 

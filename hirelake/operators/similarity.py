@@ -5,7 +5,7 @@ sent the vector of every distinct skill in it once, ahead of its rows; a
 distinct pair of skills of a batch is multiplied once.  So a vector crosses
 the shuffle and Arrow once per block, whatever the number of rows that list
 its skill, and a very popular job or resume is spread over all blocks.  A
-task holds the vectors of one block and one batch of rows.
+task holds the vectors of one block and some rows of a batch.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .skew import written
 
-#: Products of so many pairs are held at once.
-PAIRS = 1 << 15
+#: Products of so many pairs are held at once, and rows of so many cells (wanted times own skills) are judged at once, one row at least.
+PAIRS, CELLS = 1 << 15, 1 << 20
 
 
 class Vectors:
@@ -80,6 +80,13 @@ class Cells:
         return at, np.flatnonzero(np.r_[True, np.diff(self.group[at]) != 0]) if len(at) else at
 
 
+def slices(batch: pa.RecordBatch, wanted: str, own: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``CELLS`` cells."""
+    cells = np.cumsum(pc.multiply(pc.list_value_length(batch.column(wanted)), pc.list_value_length(batch.column(own))).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.r_[True, np.diff(cells // CELLS) != 0, True])
+    yield from (batch.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:]))
+
+
 def map_blocks(rows: DataFrame, key: str, wanted: str, own: str, vectors: DataFrame, judge: Callable[[pa.RecordBatch, Vectors], pa.Array],
                out: str, kind: T.DataType, blocks: int | None = None) -> DataFrame:
     """Add column ``out``: ``judge`` of each batch of rows and the vectors of its block.
@@ -91,7 +98,7 @@ def map_blocks(rows: DataFrame, key: str, wanted: str, own: str, vectors: DataFr
     blocks = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = rows.columns
     rows = written(rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "blocks")
-    skills = rows.select("_b", F.explode(F.array_distinct(F.concat(wanted, F.col(own)["skill"]))).alias("skill")).distinct()
+    skills = rows.select("_b", F.explode(F.array_distinct(F.concat(wanted, F.col(own)["skill"]))).alias("skill")).where("skill IS NOT NULL").distinct()
     sent = skills.join(vectors.select("skill", "embedding"), "skill")
     first = sent.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in cols], "_b", F.col("skill").alias("_skill"), F.col("embedding").alias("_vec"))
     both = first.unionByName(rows.withColumns({"_skill": F.lit(None).cast("string"), "_vec": F.lit(None).cast(first.schema["_vec"].dataType)}))
@@ -110,8 +117,8 @@ def map_blocks(rows: DataFrame, key: str, wanted: str, own: str, vectors: DataFr
                     lists.append(part.column("_vec"))
                     continue
                 ready = ready or Vectors(names, lists)
-                mine = part.select(cols)
-                yield pa.RecordBatch.from_arrays([*mine.columns, judge(mine, ready)], names=[*cols, out])
+                for mine in slices(part.select(cols), wanted, own):
+                    yield pa.RecordBatch.from_arrays([*mine.columns, judge(mine, ready)], names=[*cols, out])
 
     dealt = both.repartition("_b").sortWithinPartitions("_b", F.col("_skill").asc_nulls_last())
     return dealt.mapInArrow(run, T.StructType([*[rows.schema[c] for c in cols], T.StructField(out, kind)]))

@@ -84,9 +84,13 @@ def test_wide_vectors(spark):
     assert run(spark, [], work=["s0"], months=24).skills_basis == "by_source"
 
 
-def test_blocks_send_each_vector_once_and_match_pairwise_cosines(spark):
+@pytest.mark.parametrize("cells", [7, 1 << 20])
+def test_blocks_send_each_vector_once_and_match_pairwise_cosines(spark, monkeypatch, cells):
     """Every application against its lists by plain numpy; one job has half of the applications, some skills have no vector."""
     import numpy as np
+
+    from hirelake.operators import similarity
+    monkeypatch.setattr(similarity, "CELLS", cells)
     rng = np.random.default_rng(1)
     names = [f"n{i}" for i in range(30)]
     vec = {n: rng.normal(size=8).tolist() for n in names[:25]} | {"n24": [0.0] * 8}

@@ -10,6 +10,8 @@ Only texts whose 64-bit hash occurs twice can have a copy; no other text is
 compared.  That filter is a join with the list of such hashes: Spark broadcasts
 the list while it is below the session's threshold, so texts stay where they
 are; beyond, texts are dealt by hash once, and the skew join splits a hot one.
+The table of groups is written before rows meet it, so that both sides of that
+join are plain shuffles, of which the skew join splits a hot one as well.
 
 Defined cases: null texts are empty; texts that differ in blanks only are
 equal; ties go to the smallest id, null ids last; of repeated rows with the id
@@ -63,7 +65,10 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     src = docs.select(column(id_col).alias("id"), whole(text_col).alias("text"))
     marked = src.select("id", F.length("text").alias("n"), normalised(F.col("text")).alias("norm")).withColumn("h", F.xxhash64("norm"))
-    thin = written(marked.select("id", "n", "h", sha256(F.col("norm")).alias("sha")), "exact-rows")
+    hashed = marked.select("id", "n", "h", sha256(F.col("norm")).alias("sha"))
+    # numbered before the join: a Window after it would hold a hot group in one task
+    same = Window.partitionBy("sha", "id").orderBy(F.desc("n"))
+    thin = written(hashed.withColumn("turn", F.row_number().over(same)), "exact-rows")
     repeated = thin.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     rows = marked.join(written(repeated, "exact-hashes"), "h", "left_semi").select(
         "norm", _order(F.col("n"), F.col("id")).alias("best"), F.lit(None).cast("int").alias("row"))
@@ -71,11 +76,10 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = groups.groupBy("sha").agg(F.count(F.lit(1)).alias("contents"), F.first("keep_id").alias("keep_id"), F.first("size").alias("size"))
     groups = groups.select("sha", F.when(F.col("contents") > 1, F.raise_error(F.lit("two contents with one SHA-256")).cast("bigint"))
                            .otherwise(F.col("size")).alias("size"), "keep_id")
-    out = thin.join(groups, "sha", "left").withColumn("keep_id", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep_id")))
-    same = Window.partitionBy("sha", "id").orderBy(F.desc("n"))
+    out = thin.join(written(groups, "exact-groups"), "sha", "left").withColumn("keep_id", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep_id")))
     return out.select(
         F.col("id").alias(id_col), "keep_id", F.coalesce("size", F.lit(1)).alias("group_size"),
-        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same) == 1)).alias("kept"),
+        (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"))
 
 

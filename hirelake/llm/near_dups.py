@@ -21,8 +21,10 @@ about 10 bits of 64 and often in 15, where chains of segments prune nothing, so
 candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which a
 pair at 0.8 shares none with chance 5e-6.  In a bucket, pairs whose sketches of
 ``LANES`` half bytes agree in ``NEAR`` or more are searched for a spanning forest;
-its components hold every candidate above.  The shingle sets of a component
-meet once and links are decided by their exact similarity.
+its components, the families, hold every candidate above.  Links are decided by
+the exact similarity of shingle sets.  A large family is cut by size class and
+hash into cells, and each pair of cells that may hold alike sets is a tile of its
+own, in any task, which returns a spanning forest of its links.
 
 Defined cases: null and blank texts have fingerprint zero and are linked like
 others; repeated rows share their component; null ids are no candidates for the
@@ -32,7 +34,6 @@ smallest id; an empty table gives an empty result; other columns are carried
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,8 +50,10 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 WORDS, ALIKE = 5, 0.8
 #: Minima of a key, keys of a text, half bytes of a sketch and how many of them candidates share (five deviations below 0.8).
 ROWS, BANDS, LANES, NEAR = 6, 40, 64, 36
-#: Bytes of shingle sets that are held in memory, the rest is mapped; elements compared at once.
-HELD, AT_ONCE = 1 << 27, 1 << 20
+#: Elements of shingle sets in a block of a family (a tile holds two blocks, a longer set is its own); elements compared at once.
+TILE, AT_ONCE = 1 << 22, 1 << 20
+#: Sizes of alike sets differ by less than this factor (1 / ``ALIKE``, and a margin for rounding): they are in one size class or in neighbours.
+STEP = 1.26
 #: Hashes counted at once; keeps the bit table of a long text small.
 BLOCK = 8192
 #: Runs of a bucket up to this length are compared by shifting, longer ones by search.
@@ -193,9 +196,11 @@ def components(pairs: DataFrame) -> DataFrame:
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are cut off too: an aggregate in the same stage would keep the skew join from splitting a hub
+        least = _cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = _cut(large)
+        least = _cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = _cut(small.distinct())
 
@@ -217,7 +222,7 @@ def groups_of(rows: DataFrame, least: Column, radius: int = RADIUS, link: Callab
 def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """Per row: id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest id reachable over links."""
     rows = written(docs.select(column(id_col).alias("id"), fingerprint(whole(text_col)).alias("fp")), "near-rows")
-    groups = groups_of(rows, F.col("id"), radius)
+    groups = written(groups_of(rows, F.col("id"), radius), "near-groups")
     return rows.join(groups, "fp").select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), F.col("best").alias("component_id"))
 
 
@@ -227,7 +232,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
                                  F.monotonically_increasing_id().alias("at")), "near-docs")
     rank = F.struct(F.col("row")[id_col].isNull().alias("no_id"), F.col("row")[id_col].alias("id"), F.col("at"))
     thin = marked.select("fp", "at", rank.alias("rank"))
-    groups = groups_of(thin, F.col("rank"), radius).select("fp", "best")
+    groups = written(groups_of(thin, F.col("rank"), radius).select("fp", "best"), "near-groups")
     dropped = thin.join(groups, "fp").where(F.col("best.at") != F.col("at")).select("at")
     return marked.join(written(dropped, "near-dropped"), "at", "left_anti").select("row.*")
 
@@ -259,20 +264,21 @@ def _multipliers() -> np.ndarray:
 
 
 def _marks(text: Column) -> Column:
-    """(fp, keys, sketch): digest of the shingle set, its bands' keys, and half bytes of its first minima."""
+    """(fp, n, keys, sketch): digest and size of the shingle set, its bands' keys, and half bytes of its first minima."""
 
-    @F.pandas_udf("fp bigint, keys array<bigint>, sketch binary")
+    @F.pandas_udf("fp bigint, n bigint, keys array<bigint>, sketch binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         by, band = _multipliers(), np.arange(BANDS, dtype=np.uint64)
-        fps, keys, sketches = [], [], []
+        fps, sizes, keys, sketches = [], [], [], []
         for t in texts:
             h = shingles(t)
+            sizes.append(len(h))
             fps.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
             least = _minima(h, by)
             keys.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in zip(band.tolist(), least.reshape(BANDS, ROWS))], np.uint64).view(np.int64))
             half = (least[:LANES] >> np.uint64(20)).astype(np.uint8) & 15
             sketches.append((half[::2] | half[1::2] << 4).tobytes())
-        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "keys": keys, "sketch": sketches})
+        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "n": np.array(sizes, np.int64), "keys": keys, "sketch": sketches})
 
     return of(text)
 
@@ -293,8 +299,8 @@ def _search(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list
     return a, b
 
 
-def _candidates(marks: DataFrame) -> DataFrame:
-    """Links (a, b) of ``marks`` (fp, keys, sketch; distinct fp) whose components hold all pairs with a common key and near sketches."""
+def _candidates(marks: DataFrame, near_lanes: int) -> DataFrame:
+    """Links (a, b) of ``marks`` (fp, keys, sketch; distinct fp) whose components hold all pairs with a common key and that many equal half bytes."""
     width = LANES // 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +315,7 @@ def _candidates(marks: DataFrame) -> DataFrame:
 
                 def near(head: int, left: np.ndarray) -> np.ndarray:
                     x = s[left] ^ s[head]
-                    return ((x & 15) == 0).sum(1) + ((x >> 4) == 0).sum(1) >= NEAR
+                    return ((x & 15) == 0).sum(1) + ((x >> 4) == 0).sum(1) >= near_lanes
 
                 for side, places in zip(out, _search(n, near)):
                     side += fps[at:at + n][places].tolist()
@@ -330,15 +336,47 @@ def _candidates(marks: DataFrame) -> DataFrame:
     return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(find, "a bigint, b bigint")
 
 
+def _tiled(nodes: DataFrame, tile: int) -> DataFrame:
+    """``nodes`` (root, fp, n, ...) with ``tiles``: the pairs of cells (p, q) in which a node is compared, and whether it stands on the side of q.
+
+    A family of up to ``tile`` elements is one cell.  A larger one is cut by size class, a
+    class by hash into cells of about ``tile`` elements.  A cell meets itself and the cells of
+    its class and the next ones, where alike sets are; each such pair of cells is a tile.
+    """
+    size_class = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(STEP))).cast("int")
+    sums = nodes.groupBy("root", size_class.alias("c")).agg(F.sum("n").alias("t"))
+    classes = sums.groupBy("root").agg(F.sum("t").alias("t"), F.map_from_entries(F.collect_list(F.struct("c", F.ceil(F.col("t") / tile).alias("cells")))).alias("cells"))
+    large = classes.where(F.col("t") > tile).select("root", "cells")
+    # written first, so that the join is of plain shuffles and a large family can be split
+    placed = nodes.join(written(large, "alike-large"), "root", "left").withColumn("c", size_class)
+
+    def cell(c: Column, block: Column) -> Column:
+        return c.cast("bigint") * F.lit(1 << 32) + block
+
+    own = cell(F.col("c"), F.pmod(F.xxhash64("fp"), F.element_at("cells", F.col("c"))))
+    rows = placed.withColumn("own", F.when(F.col("cells").isNotNull(), own))
+    others = F.flatten(F.transform(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1), lambda c: F.when(
+        F.coalesce(F.try_element_at("cells", c), F.lit(0)) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.element_at("cells", c) - 1), lambda b: cell(c, b))
+    ).otherwise(F.array().cast("array<bigint>"))))
+    pairs = F.transform(others, lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q"), (F.col("own") > o).alias("right")))
+    single = F.array(F.struct(F.lit(0).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q"), F.lit(False).alias("right")))
+    return rows.withColumn("tiles", F.when(F.col("cells").isNull(), single).otherwise(pairs)).drop("c", "cells", "own")
+
+
 def _confirmed(sets: DataFrame, alike: float) -> DataFrame:
-    """Links (a, b) between the sets of each ``root`` in ``sets`` (root, fp, hashes) that connect what pairs of that similarity connect."""
+    """Links (a, b) between the sets of each tile of ``sets`` (root, p, q, right, fp, hashes) that connect what pairs of that similarity connect.
 
-    def forest(fps: list[int], sizes: list[int], data: np.ndarray) -> pa.RecordBatch:
-        size, start = np.array(sizes), np.r_[0, np.cumsum(sizes)]
+    In a tile of two cells only sets of different cells are compared.
+    """
+
+    def forest(fps: list[int], right: list[bool], raws: list[bytes]) -> pa.RecordBatch:
+        size, side, data = np.array([len(r) // 8 for r in raws]), np.array(right), np.frombuffer(b"".join(raws), np.uint64)
+        start, both = np.r_[0, np.cumsum(size)], side.any()
 
         def near(head: int, left: np.ndarray) -> np.ndarray:
-            own, hit = np.array(data[start[head]:start[head + 1]]), np.zeros(len(left), bool)
-            likely = np.flatnonzero(np.minimum(size[left], len(own)) >= alike * np.maximum(size[left], len(own)) - 1e-9)
+            own, hit = data[start[head]:start[head + 1]], np.zeros(len(left), bool)
+            fits = np.minimum(size[left], len(own)) >= alike * np.maximum(size[left], len(own)) - 1e-9
+            likely = np.flatnonzero(fits & (side[left] != side[head]) if both else fits)
             step = np.r_[0, np.cumsum(size[left[likely]])] // AT_ONCE
             for block in np.split(likely, np.flatnonzero(np.diff(step[:-1])) + 1) if len(likely) else []:
                 rows = left[block]
@@ -352,34 +390,26 @@ def _confirmed(sets: DataFrame, alike: float) -> DataFrame:
         return pa.record_batch([pa.array([fps[i] for i in x], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fps, sizes = None, [], []
-        with tempfile.SpooledTemporaryFile(HELD) as file:
-
-            def done() -> pa.RecordBatch:
-                file.seek(0)
-                data = np.memmap(file, np.uint64, "r") if getattr(file, "_rolled", True) else np.frombuffer(file.read(), np.uint64)
-                return forest(fps, sizes, data)
-
-            for batch in batches:
-                for root, fp, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                    if now is not None and root != now:
-                        yield done()
-                        fps, sizes = [], []
-                        file.seek(0)
-                        file.truncate()
-                    now = root
-                    fps.append(fp)
-                    sizes.append(len(raw) // 8)
-                    file.write(raw)
-            if fps:
-                yield done()
+        now, held = None, ([], [], [])
+        for batch in batches:
+            for root, p, q, *values in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                # cells of one side only have nothing to meet
+                if (root, p, q) != now:
+                    if held[0] and (now[1] == now[2] or len(set(held[1])) == 2):
+                        yield forest(*held)
+                    now, held = (root, p, q), ([], [], [])
+                for column_, value in zip(held, values):
+                    column_.append(value)
+        if held[0] and (now[1] == now[2] or len(set(held[1])) == 2):
+            yield forest(*held)
 
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(n, "root").sortWithinPartitions("root").mapInArrow(confirm, "a bigint, b bigint")
+    tiles = sets.select("root", "p", "q", "fp", "right", "hashes")
+    return tiles.repartition(n, "root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(confirm, "a bigint, b bigint")
 
 
-def _alike_groups(marked: DataFrame, thin: DataFrame, alike: float) -> DataFrame:
-    """(fp, root, best) of the rows of ``marked`` (at, fp, keys, sketch, text); ``thin`` has their (fp, at, rank)."""
+def _alike_groups(marked: DataFrame, thin: DataFrame, alike: float, near_lanes: int, tile: int) -> DataFrame:
+    """(fp, root, best) of the rows of ``marked`` (at, fp, n, keys, sketch, text); ``thin`` has their (fp, at, rank)."""
 
     @F.pandas_udf("binary")
     def hashes(texts: pd.Series) -> pd.Series:
@@ -387,22 +417,27 @@ def _alike_groups(marked: DataFrame, thin: DataFrame, alike: float) -> DataFrame
 
     def link(nodes: DataFrame) -> DataFrame:
         ones = nodes.select("fp", F.col("best.at").alias("at"))
-        marks = marked.select("at", "keys", "sketch").join(ones, "at")
-        coarse = components(_candidates(marks.select("fp", "keys", "sketch")))
-        chosen = ones.join(coarse.withColumnRenamed("node", "fp"), "fp")
-        sets = marked.select("at", "text").join(chosen, "at").select("root", "fp", hashes(F.col("text")).alias("hashes"))
-        return _confirmed(sets, alike)
+        marks = marked.select("at", "n", "keys", "sketch").join(ones, "at")
+        coarse = components(_candidates(marks.select("fp", "keys", "sketch"), near_lanes))
+        chosen = written(marks.select("fp", "at", "n").join(coarse.withColumnRenamed("node", "fp"), "fp"), "alike-chosen")
+        tiled = _tiled(chosen, tile).select("root", "fp", "at", "tiles")
+        sets = marked.select("at", "text").join(tiled, "at").select("root", "fp", "tiles", hashes(F.col("text")).alias("hashes"))
+        return _confirmed(sets.select("root", "fp", "hashes", F.explode("tiles").alias("t")).select("root", "t.p", "t.q", "t.right", "fp", "hashes"), alike)
 
     return groups_of(thin, F.col("rank"), link=link)
 
 
-def keep_one_of_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE) -> DataFrame:
-    """The rows of ``docs``, all columns, with one of each group joined by pairs whose shingle sets are ``alike`` (0.8 at least): smallest id, null ids last."""
+def keep_one_of_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, near_lanes: int = NEAR, tile: int = TILE) -> DataFrame:
+    """The rows of ``docs``, all columns, with one of each group joined by pairs whose shingle sets are ``alike`` (0.8 at least): smallest id, null ids last.
+
+    ``near_lanes`` of 0 leaves the sketches out: then every pair with a common key is compared by its sets.
+    """
     assert ALIKE <= alike <= 1
     marks = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), _marks(whole(text_col)).alias("marks"), F.monotonically_increasing_id().alias("at"))
     marked = written(marks.select("row", "at", "marks.*"), "alike-docs")
     rank = F.struct(F.col("row")[id_col].isNull().alias("no_id"), F.col("row")[id_col].alias("id"), F.col("at"))
     thin = marked.select("fp", "at", rank.alias("rank"))
-    groups = _alike_groups(marked.withColumn("text", whole(F.col("row")[text_col])), thin, alike).select("fp", "best")
+    groups = _alike_groups(marked.withColumn("text", whole(F.col("row")[text_col])), thin, alike, near_lanes, tile).select("fp", "best")
+    groups = written(groups, "alike-groups")
     dropped = thin.join(groups, "fp").where(F.col("best.at") != F.col("at")).select("at")
     return marked.join(written(dropped, "alike-dropped"), "at", "left_anti").select("row.*")

@@ -163,7 +163,59 @@ def test_alike_texts_match_brute_force(spark):
     assert near_dups.keep_one_of_alike(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_alike_sets_beyond_memory_are_mapped(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "HELD", 100)
+def families():
+    """Families of near copies of all sizes, one with a third of all rows, that share words with each other."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for k in range(6):
+        v = common[:20 * k] + [f"f{k}w{i}" for i in range(40 + 30 * k)]
+        for j in range(70 if k == 3 else 20):
+            w = list(v)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+            rows.append((100 * k + j, " ".join(w + [f"t{i}" for i in range(rng.choice((0, 0, 5, 20)))])))
+    return rows
+
+
+@pytest.mark.parametrize("tile, lanes", [(100, near_dups.NEAR), (700, 0), (1 << 22, 0)])
+def test_large_families_are_confirmed_in_tiles(spark, tile, lanes):
+    rows, best = families(), {}
+    for (i, _), r in zip(rows, brute_alike(rows)):
+        best[r] = min(best.get(r, i), i)
+    kept = near_dups.keep_one_of_alike(frame(spark, rows), near_lanes=lanes, tile=tile)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(best.values()) and 1 < len(best) < len(rows) / 2
+
+
+def test_cells_meet_all_sets_of_like_size(spark):
+    nodes = spark.createDataFrame([(r, 1000 * r + i, n) for r, sizes in ((1, (1, 4, 5, 80, 100, 100, 125, 126, 4000)), (2, (3, 3))) for i, n in enumerate(sizes)], "root bigint, fp bigint, n bigint")
+    rows = near_dups._tiled(nodes, 100).collect()
+    tiles = {r.fp: {(t.p, t.q) for t in r.tiles} for r in rows}
+    for a in rows:
+        for b in rows:
+            if a.root == b.root and 0.8 * max(a.n, b.n) <= min(a.n, b.n):
+                assert tiles[a.fp] & tiles[b.fp]
+    assert all(tiles[r.fp] == {(0, 0)} for r in rows if r.root == 2)
+    assert not tiles[1000] & tiles[1008] and near_dups._tiled(nodes.limit(0), 100).count() == 0
+
+
+def test_alike_sets_of_one_large_family(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(100)) + f" end{i}") for i in range(30)] + [(99, "another text of some words")]
-    assert sorted(r.doc_id for r in near_dups.keep_one_of_alike(frame(spark, rows)).collect()) == [0, 99]
+    assert sorted(r.doc_id for r in near_dups.keep_one_of_alike(frame(spark, rows), tile=100).collect()) == [0, 99]
+
+
+def test_hot_group_of_copies_is_joined_by_a_split_shuffle(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in zip(keys, ("-1", "-1", "20KB", "1.5", "20KB")):
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(0, 60_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "one text").otherwise(F.concat(F.lit("text of "), "id")).alias("text"))
+        for out in (exact_dedup.find_copies(docs), near_dups.find_groups(docs)):
+            assert len(out.toPandas()) == 60_000
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "skew=true" in plan and "Window" not in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

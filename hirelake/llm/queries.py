@@ -108,7 +108,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 're
  CASE WHEN top <> page_id THEN top END AS refers_to FROM d LEFT JOIN m ON d.h = m.h AND d.payload_bytes >= 1000""")
 def _(spark, sf_dir):
     files, folder = warc.store_pages(read_entity(spark, sf_dir, "pages"))
-    back = warc.read_archives(files, folder, payloads=False)
+    back = warc.read_stored(files, folder)
     return back.select(warc.id_of(F.col("id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.id_of(F.col("refers_to")).alias("refers_to"))
 
 

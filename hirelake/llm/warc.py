@@ -6,10 +6,18 @@ writes one file into a folder of the shared store and reports its name and
 size; a file of a task that was lost is never in the report, so never read.
 
 Reader.  Files are cut into byte ranges, one row each.  A task looks for gzip
-magic from the start of its range, accepts a candidate only if its first bytes
-inflate to a WARC version line, and then follows members to the end of the
-range: it owns the records that start inside.  After damage it looks for the
-next member.  One record is in memory at a time.
+magic from the start of its range, accepts a candidate only if it inflates to a
+whole WARC header with a type, an id and a length, and then follows members to
+the end of the range: it owns the records that start inside.  After damage it
+looks for the next member.  One record is in memory at a time.
+
+A member that does not inflate, breaks off, or whose digest or length is not as
+its header says, is a row too: ``record_type`` is ``damaged``, ``error`` says why,
+``file`` and ``position`` where; so are bytes after a record that begin no record.
+``read_stored`` compares what is read with what was written and fails on any
+difference.  A payload stored without compression that holds whole members can
+still be taken for records by a range that starts inside it; text in UTF-8
+cannot hold the magic.
 
 Defined cases: null payloads and urls are empty; payloads under ``MIN_REVISIT``
 bytes are always responses; of equal payloads the largest id is the response,
@@ -29,16 +37,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .shared import column, shared_dir, whole, written
+from .shared import column, shared_dir, total, whole, written
 
 MIN_REVISIT = 1000
 SPLIT_BYTES = 4 << 20
-#: Enough of a candidate to inflate a version line from.
+#: Bytes of a candidate that are inflated at a time while its header is looked for.
 PROBE, BUFFER, LEVEL = 512, 1 << 18, 4
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = ("record_type string, id string, refers_to string, url string, payload_digest string, payload_bytes bigint, payload binary, "
-          "file string, position bigint")
+          "file string, position bigint, error string")
+DAMAGED = "damaged"
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = MIN_REVISIT) -> DataFrame:
@@ -67,10 +76,9 @@ def record_bytes(kind: str, ident: str, url: str, payload: bytes, digest: str, r
 def parse_record(raw: bytes) -> dict:
     """Fields of a record; the payload's size comes from the HTTP header, so revisits have it too."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not lines[0].startswith("WARC/1."):
-        raise ValueError("no WARC record")
-    field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    field = _header(head)
+    if len(rest) < int(field["content-length"]):
+        raise ValueError("a block is shorter than its header says")
     http, _, payload = rest[:int(field["content-length"])].partition(b"\r\n\r\n")
     size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
     ident = lambda name: field.get(name, "").removeprefix("<urn:page:").removesuffix(">")
@@ -125,11 +133,32 @@ class _Source:
         return self.held[lo:lo + n]
 
 
+def _header(raw: bytes) -> dict[str, str]:
+    """Fields of a header by lower-case name; an error if it is none, or lacks its type, id or length."""
+    lines = raw.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/1."):
+        raise ValueError("no WARC record")
+    field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    if not field.get("warc-type") or not field.get("warc-record-id") or not field.get("content-length", "").isdecimal():
+        raise ValueError("header without type, id or length")
+    return field
+
+
 def _is_record(src: _Source, at: int) -> bool:
-    """Whether a gzip member at this position inflates to a WARC version line."""
+    """Whether a gzip member at this position inflates to a whole WARC header."""
+    opened, head = zlib.decompressobj(31), b""
     try:
-        return zlib.decompressobj(31).decompress(src.read(at, min(PROBE, src.size - at)), 7) == b"WARC/1."
-    except zlib.error:
+        while b"\r\n\r\n" not in head:
+            block = src.read(at, min(PROBE, src.size - at))
+            if not block or opened.eof:
+                return False
+            head += opened.decompress(block)
+            at += len(block)
+            if head[:7] != b"WARC/1."[:len(head)]:
+                return False
+        _header(head.partition(b"\r\n\r\n")[0])
+        return True
+    except (zlib.error, ValueError):
         return False
 
 
@@ -158,26 +187,33 @@ def _member(src: _Source, at: int) -> tuple[bytes, int]:
     return b"".join(out), at
 
 
-def records_in(path: str, fs: pafs.FileSystem, begin: int, end: int) -> Iterator[dict]:
-    """Records that start in the byte range, in order."""
+def records_in(path: str, fs: pafs.FileSystem, begin: int, end: int, damage: bool = False) -> Iterator[dict]:
+    """Records that start in the byte range, in order; with ``damage`` also a row per damaged place."""
+
+    def broken(at: int, why: Exception | str) -> Iterator[dict]:
+        if damage:
+            yield {**dict.fromkeys(f.split()[0] for f in RECORD.split(", ")), "record_type": DAMAGED, "file": path, "position": at, "error": str(why)}
+
     with fs.open_input_file(path) as f:
         src = _Source(f, f.size())
         at = _next_record(src, begin, min(end, src.size))
         while at is not None:
             try:
                 raw, after = _member(src, at)
-                yield {**parse_record(raw), "file": path, "position": at}
-            except (zlib.error, ValueError, KeyError):
+                yield {**parse_record(raw), "file": path, "position": at, "error": None}
+            except (zlib.error, ValueError) as why:
+                yield from broken(at, why)
                 after = _next_record(src, at + 1, min(end, src.size))
                 if after is None:
                     return
             at = after if after < end and after < src.size else None
             if at is not None and not _is_record(src, at):
+                yield from broken(at, "no record begins here")
                 at = _next_record(src, at, min(end, src.size))
 
 
 def read_archives(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """Records of the files (file, bytes): see ``RECORD``.  Without ``payloads`` that column is null; digests are checked all the same."""
+    """Records and damaged places of the files (file, bytes): see ``RECORD``.  Without ``payloads`` that column is null; digests are checked all the same."""
     ranges = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("bigint")))
     splits = files.where("bytes > 0").select("file", ranges.alias("begin"))
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -190,8 +226,8 @@ def read_archives(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES,
         for batch in batches:
             for path, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held, size = [], 0
-                for record in records_in(path, fs, begin, begin + split_bytes):
-                    size += len(record["payload"]) if payloads else 500
+                for record in records_in(path, fs, begin, begin + split_bytes, damage=True):
+                    size += 500 + (len(record["payload"] or b"") if payloads else 0)
                     held.append(record if payloads else {**record, "payload": None})
                     if size > BUFFER * 16:
                         yield pa.RecordBatch.from_pylist(held, kinds)
@@ -215,5 +251,15 @@ def store_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str = "h
     return write_archives(plan_records(pages, id_col, payload_col), folder), folder
 
 
+def read_stored(files: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Records, without payloads, of files that :func:`write_archives` reported, kept as a table; an error if any is damaged, missing or too many."""
+    back = written(read_archives(files, folder, split_bytes, payloads=False), "warc-read")
+    stored = total(files, F.coalesce(F.sum("records"), F.lit(0)))[0]
+    bad, found = total(back, F.count_if(F.col("record_type") == DAMAGED), F.count_if(F.col("record_type") != DAMAGED))
+    if bad or found != stored:
+        raise RuntimeError(f"{stored} records were written, {found} read, {bad} places are damaged")
+    return back
+
+
 def id_of(c: Column) -> Column:
     return F.when(c != "", c).cast("bigint")

@@ -106,6 +106,37 @@ def test_reader_goes_on_after_damage(spark, tmp_path):
     path.write_bytes(b"junk" + b"".join(parts) + member(9)[:60])
     found = [r["id"] for r in warc.records_in(str(path), pafs.LocalFileSystem(), 0, 1 << 20)]
     assert found == ["0", "1", "3", "4"]
+    rows = list(warc.records_in(str(path), pafs.LocalFileSystem(), 0, 1 << 20, damage=True))
+    assert [r["id"] for r in rows] == ["0", "1", None, "3", "4", None]
+    assert [r["record_type"] for r in rows if r["error"]] == [warc.DAMAGED] * 2
+    assert [r["position"] for r in rows if r["error"]] == [4 + len(parts[0]) + len(parts[1]), 4 + sum(map(len, parts))]
+
+
+def test_lost_and_damaged_records_stop_the_reader_of_stored_pages(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", f"text {i} " * (20_000 if i == 3 else 30)) for i in range(60)], "page_id bigint, url string, html string")
+    files, folder = warc.store_pages(pages.coalesce(1))
+    assert warc.read_stored(files, folder, 500).count() == 60
+    file = files.first()
+    raw = open(file.file, "rb").read()
+    at = [r["position"] for r in warc.records_in(file.file, pafs.LocalFileSystem(), 0, len(raw))]
+    for bad in (raw[:at[20]] + b"\0\0\0" + raw[at[20] + 3:], raw[:at[30]] + raw[at[31]:], raw[:-20]):
+        with open(file.file, "wb") as out:
+            out.write(bad)
+        with pytest.raises(RuntimeError, match="60 records were written, 59 read"):
+            warc.read_stored(files, folder)
+
+
+def test_candidates_without_a_whole_header_are_no_records(tmp_path):
+    import zlib
+
+    def member(data):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return packer.compress(data) + packer.flush()
+
+    good = member(warc.record_bytes("response", "1", "u" * 5000, b"x", hashlib.sha1(b"x").hexdigest(), ""))
+    path = tmp_path / "b.warc.gz"
+    path.write_bytes(member(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n") + member(b"WARC/1.1\r\nno end") + good)
+    assert [r["id"] for r in warc.records_in(str(path), pafs.LocalFileSystem(), 0, 1 << 20, damage=True)] == ["1"]
 
 
 def lm_rows():

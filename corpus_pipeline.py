@@ -27,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: proposed by SimHash links, beyond their radius by MinHash, and decided by Jaccard similarity of five-word shingles, 0.8 or more."""
     return near_dups.keep_one_of_alike(docs)
 
 

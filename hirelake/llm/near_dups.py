@@ -15,11 +15,12 @@ a dense group does not give all its pairs.  Components grow by large-star and
 small-star steps, as joins and map-side combined minima; every step is cut by
 a checkpoint.
 
-``keep_one_of_alike`` goes by the texts themselves: word sets of ``WORDS``-word
-shingles with a Jaccard similarity of ``ALIKE`` or more.  Such pairs differ in
-about 10 bits of 64 and often in 15, where chains of segments prune nothing, so
-candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, of which a
-pair at 0.8 shares none with chance 5e-6.  In a bucket, pairs whose sketches of
+``keep_one_of_alike`` takes these links as candidates and lets the texts decide:
+word sets of ``WORDS``-word shingles with a Jaccard similarity of ``ALIKE`` or
+more.  Many such pairs differ in about 10 bits of 64 and often in 15, where chains
+of segments prune nothing, so candidates beyond the radius come from MinHash:
+``BANDS`` keys of ``ROWS`` minima each, of which a pair at 0.8 shares none with
+chance 5e-6.  In a bucket, pairs whose sketches of
 ``LANES`` half bytes agree in ``NEAR`` or more are searched for a spanning forest;
 its components, the families, hold every candidate above.  Links are decided by
 the exact similarity of shingle sets.  A large family is cut by size class and
@@ -264,9 +265,9 @@ def _multipliers() -> np.ndarray:
 
 
 def _marks(text: Column) -> Column:
-    """(fp, n, keys, sketch): digest and size of the shingle set, its bands' keys, and half bytes of its first minima."""
+    """(fp, n, sim, keys, sketch): digest and size of the shingle set, SimHash of the text, the set's bands' keys, and half bytes of its first minima."""
 
-    @F.pandas_udf("fp bigint, n bigint, keys array<bigint>, sketch binary")
+    @F.pandas_udf("fp bigint, n bigint, sim bigint, keys array<bigint>, sketch binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         by, band = _multipliers(), np.arange(BANDS, dtype=np.uint64)
         fps, sizes, keys, sketches = [], [], [], []
@@ -278,7 +279,8 @@ def _marks(text: Column) -> Column:
             keys.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in zip(band.tolist(), least.reshape(BANDS, ROWS))], np.uint64).view(np.int64))
             half = (least[:LANES] >> np.uint64(20)).astype(np.uint8) & 15
             sketches.append((half[::2] | half[1::2] << 4).tobytes())
-        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "n": np.array(sizes, np.int64), "keys": keys, "sketch": sketches})
+        sims = np.array([simhash(t) for t in texts], np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": np.array(fps, np.uint64).view(np.int64), "n": np.array(sizes, np.int64), "sim": sims, "keys": keys, "sketch": sketches})
 
     return of(text)
 
@@ -299,6 +301,17 @@ def _search(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list
     return a, b
 
 
+def _by_fingerprint(marks: DataFrame) -> DataFrame:
+    """Links (a, b) that join the ``fp`` of ``marks`` (fp, sim) whose SimHash fingerprints are equal or linked.
+
+    A ``fp`` is tied to its fingerprint and fingerprints to each other, so equal ones give no pairs.
+    """
+    near = written(links(marks.select(F.col("sim").alias("fp")).distinct()), "alike-links")
+    equal = marks.groupBy("sim").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sim")
+    met = near.select(F.explode(F.array("a", "b")).alias("sim")).unionByName(equal).distinct()
+    return near.unionByName(marks.join(written(met, "alike-met"), "sim").select(F.col("fp").alias("a"), F.col("sim").alias("b")))
+
+
 def _candidates(marks: DataFrame, near_lanes: int) -> DataFrame:
     """Links (a, b) of ``marks`` (fp, keys, sketch; distinct fp) whose components hold all pairs with a common key and that many equal half bytes."""
     width = LANES // 2
@@ -409,7 +422,7 @@ def _confirmed(sets: DataFrame, alike: float) -> DataFrame:
 
 
 def _alike_groups(marked: DataFrame, thin: DataFrame, alike: float, near_lanes: int, tile: int) -> DataFrame:
-    """(fp, root, best) of the rows of ``marked`` (at, fp, n, keys, sketch, text); ``thin`` has their (fp, at, rank)."""
+    """(fp, root, best) of the rows of ``marked`` (at, fp, n, sim, keys, sketch, text); ``thin`` has their (fp, at, rank)."""
 
     @F.pandas_udf("binary")
     def hashes(texts: pd.Series) -> pd.Series:
@@ -417,8 +430,9 @@ def _alike_groups(marked: DataFrame, thin: DataFrame, alike: float, near_lanes:
 
     def link(nodes: DataFrame) -> DataFrame:
         ones = nodes.select("fp", F.col("best.at").alias("at"))
-        marks = marked.select("at", "n", "keys", "sketch").join(ones, "at")
-        coarse = components(_candidates(marks.select("fp", "keys", "sketch"), near_lanes))
+        marks = marked.select("at", "n", "sim", "keys", "sketch").join(ones, "at")
+        sims = written(marks.select("fp", "sim"), "alike-sims")
+        coarse = components(_by_fingerprint(sims).unionByName(_candidates(marks.select("fp", "keys", "sketch"), near_lanes)))
         chosen = written(marks.select("fp", "at", "n").join(coarse.withColumnRenamed("node", "fp"), "fp"), "alike-chosen")
         tiled = _tiled(chosen, tile).select("root", "fp", "at", "tiles")
         sets = marked.select("at", "text").join(tiled, "at").select("root", "fp", "tiles", hashes(F.col("text")).alias("hashes"))
@@ -430,7 +444,8 @@ def _alike_groups(marked: DataFrame, thin: DataFrame, alike: float, near_lanes:
 def keep_one_of_alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: float = ALIKE, near_lanes: int = NEAR, tile: int = TILE) -> DataFrame:
     """The rows of ``docs``, all columns, with one of each group joined by pairs whose shingle sets are ``alike`` (0.8 at least): smallest id, null ids last.
 
-    ``near_lanes`` of 0 leaves the sketches out: then every pair with a common key is compared by its sets.
+    SimHash links and, beyond their radius, MinHash propose pairs; the sets decide.  ``near_lanes``
+    of 0 leaves the sketches out: then every pair with a common key is compared by its sets.
     """
     assert ALIKE <= alike <= 1
     marks = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("row"), _marks(whole(text_col)).alias("marks"), F.monotonically_increasing_id().alias("at"))

@@ -187,6 +187,18 @@ def test_large_families_are_confirmed_in_tiles(spark, tile, lanes):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(best.values()) and 1 < len(best) < len(rows) / 2
 
 
+def test_simhash_links_propose_alike_pairs(spark):
+    words = [f"a{i}" for i in range(400)]
+    near = words[:-1] + ["end"]
+    # equal fingerprints and unlike sets: one shingle outweighs all others
+    loud = ["again"] * 300
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(loud + words[:30])), (4, " ".join(loud + words[30:60])), (5, None)]
+    assert (plain_simhash(rows[0][1]) ^ plain_simhash(rows[1][1])).bit_count() <= near_dups.RADIUS
+    assert plain_simhash(rows[2][1]) == plain_simhash(rows[3][1])
+    kept = near_dups.keep_one_of_alike(frame(spark, rows), near_lanes=near_dups.LANES + 1)  # no pair of MinHash is near enough
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
+
+
 def test_cells_meet_all_sets_of_like_size(spark):
     nodes = spark.createDataFrame([(r, 1000 * r + i, n) for r, sizes in ((1, (1, 4, 5, 80, 100, 100, 125, 126, 4000)), (2, (3, 3))) for i, n in enumerate(sizes)], "root bigint, fp bigint, n bigint")
     rows = near_dups._tiled(nodes, 100).collect()

@@ -46,7 +46,8 @@ def can_withdraw(apps: DataFrame, jobs: DataFrame, viewers: DataFrame) -> DataFr
 
     ``viewers(user_id, role, company)``, any number of them.  A viewer and a job
     meet in one equi-join on the scope that gives the right: everything, a
-    company, or a creator in a company.  Applications are read once.
+    company, or a creator in a company.  Owned rows take no part in the join: with
+    a null job they would all be dealt to one task.
     """
     part = lambda kind, *cols: F.concat_ws(":", F.lit(kind), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
     role, placed = F.col("role"), F.col("company").isNotNull()
@@ -56,9 +57,8 @@ def can_withdraw(apps: DataFrame, jobs: DataFrame, viewers: DataFrame) -> DataFr
     rights = F.array(F.lit("all"), part("company", "company"), part("creator", "company", "created_by"))
     open_jobs = jobs.select("job_id", F.explode(rights).alias("scope")).join(asking, "scope").select("job_id", "viewer_id")
     own = apps.select("application_id", "job_id", "user_id")
-    writers = F.when(F.col("user_id").isNull(), F.col("job_id"))  # owned rows meet no job
-    both = own.withColumn("_job", writers).join(open_jobs.withColumnRenamed("job_id", "_job"), "_job", "left")
-    return both.select("application_id", F.coalesce("user_id", "viewer_id").alias("viewer_id")).where("viewer_id IS NOT NULL")
+    unowned = own.where("user_id IS NULL").join(open_jobs, "job_id").select("application_id", "viewer_id")
+    return own.where("user_id IS NOT NULL").select("application_id", F.col("user_id").alias("viewer_id")).unionByName(unowned.where("viewer_id IS NOT NULL"))
 
 
 def library(resumes: DataFrame, viewer_id: int, role: str) -> DataFrame:

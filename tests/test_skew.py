@@ -72,3 +72,21 @@ def test_next_of(spark):
     rows = [tuple(r) for r in df.collect()]
     got = skew.next_of(df, ["g"], "at", F.col("at") + 100, "nxt").distinct().collect()
     assert {(r.g, r["at"], r.nxt) for r in got} == {(g, a, min((b for h, b in rows if h == g and b >= a + 100), default=None)) for g, a in set(rows)}
+
+
+def most_in_one_part(df):
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def test_owned_applications_are_not_dealt_to_one_task(spark):
+    from hirelake.operators.scopes import can_withdraw
+    apps = spark.range(0, 4000, 1, 8).select(F.col("id").alias("application_id"), (F.col("id") % 5).alias("job_id"), F.when(F.col("id") % 10 > 0, F.col("id")).alias("user_id"))
+    jobs = spark.range(5).select(F.col("id").alias("job_id"), F.lit(1).alias("company"), F.lit(7).alias("created_by"))
+    viewers = spark.createDataFrame([(1, "superuser", None), (7, "recruiter", 1), (8, "user", 1)], "user_id long, role string, company int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = can_withdraw(apps, jobs, viewers)
+        assert out.count() == 3600 + 2 * 400 and most_in_one_part(out) < 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -44,6 +44,12 @@ def lookup_many(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
     ).drop("_hit")
 
 
+def deal(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Deal a scan by ``key`` into partitions of about ``rows`` rows, whatever its files and splits."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    return df.repartition(n, key)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly row work on a scan with few splits.
 

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .entities import SCHEMAS, read_entity, spread
+from .entities import SCHEMAS, deal, read_entity, spread
 
 SPARK, DUCK = "spark", "duck"
 
@@ -245,6 +245,9 @@ FROM v_resume_lines WHERE line <> '' AND split_part(line, ' ', 2) <> ''""",
 
 
 VIEWS = {SPARK: _views(SPARK), DUCK: _views(DUCK)}
+#: Views that group by nearly unique keys what a few splits of one table hold: the table is dealt by the key first, and a task groups so many of its rows.
+DEALT = {"v_resume_skills": ("lineitem", "l_orderkey"), "v_jd_skills": ("part", "p_partkey")}
+ROWS = {"lineitem": 1 << 18, "part": 1 << 16}
 
 
 def _needed(sql: str, d: str, seen: list[str]) -> list[str]:
@@ -281,10 +284,12 @@ class Stage:
 
     def sql(self, text: str) -> DataFrame:
         full = with_views(text, SPARK)
+        keys = dict(DEALT[v] for v in _needed(text, SPARK, []) if v in DEALT)
         for name in SCHEMAS:
             if re.search(rf"\b{name}\b", full):
                 table = self.table(name)
-                (spread(table) if name == "documents" else table).createOrReplaceTempView(name)
+                table = spread(table) if name == "documents" else deal(table, keys[name], ROWS[name]) if name in keys else table
+                table.createOrReplaceTempView(name)
         return self.spark.sql(full)
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -90,3 +90,13 @@ def test_owned_applications_are_not_dealt_to_one_task(spark):
         assert out.count() == 3600 + 2 * 400 and most_in_one_part(out) < 1000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_skill_views_group_a_bounded_number_of_rows_per_task(spark, stage, monkeypatch):
+    from hirelake.sources import standins
+    want = [sorted(map(tuple, df.collect())) for df in (stage.resume_skills, stage.jd_skills)]
+    monkeypatch.setattr(standins, "ROWS", {"lineitem": 300, "part": 10})
+    for df, rows in zip((stage.resume_skills, stage.jd_skills), want):
+        assert sorted(map(tuple, df.collect())) == rows
+        # more parts than the session's eight: the scan is dealt by rows
+        assert df.select(F.spark_partition_id()).distinct().count() > 8 and most_in_one_part(df) < len(rows) / 4

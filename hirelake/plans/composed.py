@@ -52,6 +52,7 @@ def extract_resume_skills(docs: DataFrame, lexicon: DataFrame, today: Column) ->
             F.lit("skills_section"), t.strip_labels(t.expand_parens(t.strip_dates(F.col("skills.section_text")))),
             F.lit("work_experience"), t.strip_bullets(F.col("work.section_text")),
             F.lit("projects"), t.strip_bullets(F.col("proj.section_text"))).alias("blocks"))
+    d = written(d, "resume-blocks")  # read twice, by the dictionary match and beside its result
     # *_outer generators: a plain explode infers a filter that evaluates the whole row work again
     parts = d.select("doc_id", F.explode_outer("blocks").alias("source", "body"))
     found = ex.tag_skills(parts, ["doc_id", "source"], "body", lexicon.select("alias", F.col("alias").alias("canonical")))

@@ -115,7 +115,8 @@ def _(s):
 
 def details(s):
     """Stored explanations: per application the matched structs and the missing names."""
-    st = s.skill_state
+    # dealt before they are grouped: a map-side list per application saves nothing, and would sort all rows of a task
+    st = s.skill_state.repartition(s.parts("orders"), "application_id")
     return st.groupBy("application_id").agg(
         F.collect_list(F.when(F.col("state") != "missing", F.struct("jd_skill", F.col("state").alias("status")))).alias("matched"),
         F.collect_list(F.when(F.col("state") == "missing", F.col("jd_skill"))).alias("missing"))

@@ -44,10 +44,9 @@ def lookup_many(keys: DataFrame, df: DataFrame, key: str) -> DataFrame:
     ).drop("_hit")
 
 
-def deal(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Deal a scan by ``key`` into partitions of about ``rows`` rows, whatever its files and splits."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
-    return df.repartition(n, key)
+def parts(df: DataFrame, rows: int) -> int:
+    """Partitions that hold about ``rows`` rows of a scan each, at least those of the session; counting reads the footers of its files."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .entities import SCHEMAS, deal, read_entity, spread
+from .entities import SCHEMAS, parts, read_entity, spread
 
 SPARK, DUCK = "spark", "duck"
 
@@ -43,6 +43,15 @@ def explode_seq(d: str, lo: str, hi: str, name: str) -> str:
     return f"unnest(range({lo}, {hi} + 1)) AS {name}"
 
 
+def dealt(d: str, table: str, cols: str, joined: str, name: str = "") -> str:
+    """A join with ``part`` whose rows Spark deals by key before they are grouped; :class:`Stage` puts the hints where the mark stands."""
+    return f"(SELECT {_mark(table)} {cols} FROM {joined}) {name}".rstrip() if d == SPARK else joined
+
+
+def _mark(table: str) -> str:
+    return f"/* hints: {table} */"
+
+
 _MONTHS = "Jan,Feb,Mar,Apr,May,Jun,Jul,Aug,Sep,Oct,Nov,Dec".split(",")
 
 
@@ -80,7 +89,7 @@ SELECT c_custkey AS user_id,
        {add(d, t0, 'c_custkey % 20000', 'hour')} AS created_at
 FROM customer""",
         "v_jobs": f"""
-SELECT p_partkey AS job_id, p_name AS title, p_type AS department, p_brand AS location,
+SELECT {_mark('customer') if d == SPARK else ''}p_partkey AS job_id, p_name AS title, p_type AS department, p_brand AS location,
        CASE p_size % 3 WHEN 0 THEN 'draft' WHEN 1 THEN 'published' ELSE 'closed' END AS status,
        c_custkey AS created_by,
        CASE WHEN p_partkey % 37 = 0 THEN (c_nationkey + 1) % 3 ELSE c_nationkey % 3 END AS company,
@@ -125,17 +134,17 @@ SELECT o_orderkey AS application_id,
        o_orderdate AS applied_at,
        {add(d, 'o_orderdate', 'o_orderkey % 90', 'minute')} AS updated_at
 FROM orders""",
-        "v_resume_skills": """
+        "v_resume_skills": f"""
 SELECT l_orderkey AS resume_id,
        CASE l_linenumber % 3 WHEN 0 THEN 'skills_section' WHEN 1 THEN 'work_experience' ELSE 'projects' END AS source,
        p_name AS skill, min(l_partkey) AS pos
-FROM lineitem JOIN part ON l_partkey = p_partkey
+FROM {dealt(d, 'lineitem', 'l_orderkey, l_linenumber, l_partkey, p_name', 'lineitem JOIN part ON l_partkey = p_partkey')}
 GROUP BY 1, 2, 3""",
         "v_jd_skills": f"""
 SELECT t.job_id AS job_id, p_name AS skill, min(t.k) AS pos
-FROM (SELECT job_id, k, (job_id + k * 97) % (SELECT count(*) FROM part) AS target
+FROM {dealt(d, 'part', 't.job_id, t.k, p_name', f"""(SELECT job_id, k, (job_id + k * 97) % (SELECT count(*) FROM part) AS target
       FROM (SELECT p_partkey AS job_id, {explode_seq(d, '0', '4', 'k')} FROM part)) t
-JOIN part ON p_partkey = t.target
+JOIN part ON p_partkey = t.target""", 't')}
 GROUP BY 1, 2""",
         "v_vectors": """
 SELECT s.skill AS skill, e.embedding AS embedding
@@ -245,9 +254,12 @@ FROM v_resume_lines WHERE line <> '' AND split_part(line, ' ', 2) <> ''""",
 
 
 VIEWS = {SPARK: _views(SPARK), DUCK: _views(DUCK)}
-#: Views that group by nearly unique keys what a few splits of one table hold: the table is dealt by the key first, and a task groups so many of its rows.
-DEALT = {"v_resume_skills": ("lineitem", "l_orderkey"), "v_jd_skills": ("part", "p_partkey")}
-ROWS = {"lineitem": 1 << 18, "part": 1 << 16}
+#: Views that group a join by nearly unique keys: its rows are dealt by the key first, so later groupings by it need no shuffle, and a task groups
+#: the rows that come from so many rows of the table, whatever the session's number of partitions.
+DEALT = {"lineitem": "l_orderkey", "part": "t.job_id"}
+ROWS = {"lineitem": 1 << 18, "part": 1 << 16, "orders": 1 << 17}
+#: Rows of a table up to which Spark may broadcast it to a join.  Spark goes by the size of the file, where dictionary-coded columns take a small part of the memory they need in a task.
+LOOKED_UP = 1 << 18
 
 
 def _needed(sql: str, d: str, seen: list[str]) -> list[str]:
@@ -284,14 +296,28 @@ class Stage:
 
     def sql(self, text: str) -> DataFrame:
         full = with_views(text, SPARK)
-        keys = dict(DEALT[v] for v in _needed(text, SPARK, []) if v in DEALT)
+        for name in ("lineitem", "part", "customer"):
+            if _mark(name) in full:
+                full = full.replace(_mark(name), f"/*+ {self._hints(name, full)} */".replace("/*+  */", ""))
         for name in SCHEMAS:
             if re.search(rf"\b{name}\b", full):
                 table = self.table(name)
-                table = spread(table) if name == "documents" else deal(table, keys[name], ROWS[name]) if name in keys else table
-                table.createOrReplaceTempView(name)
+                (spread(table) if name == "documents" else table).createOrReplaceTempView(name)
         return self.spark.sql(full)
 
+    def _hints(self, name: str, full: str) -> str:
+        looked_up = "customer" if name == "customer" else "part"
+        hints = [f"MERGE({looked_up})"] if self.table(looked_up).count() > LOOKED_UP else []
+        if name in DEALT:
+            # for v_skill_state the lists of jobs meet the applications in a shuffle of its own, where AQE splits a job with very many
+            key = DEALT[name] + (", p_name" if name == "part" and "v_skill_state" in full else "")
+            hints.append(f"REPARTITION({self.parts(name)}, {key})")
+        return ", ".join(hints)
+
+    def parts(self, name: str) -> int:
+        """Into how many parts rows that come from a table are dealt."""
+        return parts(self.table(name), ROWS[name])
+
     def __getattr__(self, name: str) -> DataFrame:
         if f"v_{name}" in VIEWS[SPARK]:
             return self.sql(f"SELECT * FROM v_{name}")

@@ -100,3 +100,23 @@ def test_skill_views_group_a_bounded_number_of_rows_per_task(spark, stage, monke
         assert sorted(map(tuple, df.collect())) == rows
         # more parts than the session's eight: the scan is dealt by rows
         assert df.select(F.spark_partition_id()).distinct().count() > 8 and most_in_one_part(df) < len(rows) / 4
+
+
+def test_skill_views_broadcast_no_table_of_many_rows(spark, stage, monkeypatch):
+    from hirelake.sources import standins
+    views = "resume_skills", "jd_skills", "jobs", "skill_state"
+    want = [sorted(map(str, getattr(stage, v).collect())) for v in views]
+    monkeypatch.setattr(standins, "LOOKED_UP", 10)
+    for view, rows in zip(views, want):
+        df = getattr(stage, view)
+        assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString() and sorted(map(str, df.collect())) == rows
+
+
+def test_lists_per_application_are_grouped_in_parts_of_bounded_size(spark, stage, monkeypatch):
+    from hirelake.catalog.relational import details
+    from hirelake.sources import standins
+    plain = lambda df: sorted((r.application_id, sorted(map(tuple, r.matched)), sorted(r.missing)) for r in df.collect())
+    want = plain(details(stage))
+    monkeypatch.setattr(standins, "ROWS", {**standins.ROWS, "orders": 50})
+    df = details(stage)
+    assert plain(df) == want and most_in_one_part(df) < 120 < len(want)

@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.entities import parts
 from .skew import written
 
 #: Products of so many pairs are held at once, and rows of so many cells (wanted times own skills) are judged at once, one row at least.
 PAIRS, CELLS = 1 << 15, 1 << 20
+#: Rows of a block.
+ROWS = 1 << 17
 
 
 class Vectors:
@@ -92,12 +95,14 @@ def map_blocks(rows: DataFrame, key: str, wanted: str, own: str, vectors: DataFr
     """Add column ``out``: ``judge`` of each batch of rows and the vectors of its block.
 
     ``wanted`` is an array of names, ``own`` an array of structs with a ``skill``;
-    ``vectors(skill, embedding)``; rows are dealt by ``key``.  The rows are written
-    once, as both the skills of a block and its rows are read from them.
+    ``vectors(skill, embedding)``; rows are dealt by ``key`` into blocks of about
+    ``ROWS`` rows, a task each.  The rows are written once, as both the skills of a
+    block and its rows are read from them.
     """
-    blocks = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = rows.columns
-    rows = written(rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "blocks")
+    rows = written(rows, "blocks")
+    blocks = blocks or parts(rows, ROWS)
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     skills = rows.select("_b", F.explode(F.array_distinct(F.concat(wanted, F.col(own)["skill"]))).alias("skill")).where("skill IS NOT NULL").distinct()
     sent = skills.join(vectors.select("skill", "embedding"), "skill")
     first = sent.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in cols], "_b", F.col("skill").alias("_skill"), F.col("embedding").alias("_vec"))
@@ -120,5 +125,5 @@ def map_blocks(rows: DataFrame, key: str, wanted: str, own: str, vectors: DataFr
                 for mine in slices(part.select(cols), wanted, own):
                     yield pa.RecordBatch.from_arrays([*mine.columns, judge(mine, ready)], names=[*cols, out])
 
-    dealt = both.repartition("_b").sortWithinPartitions("_b", F.col("_skill").asc_nulls_last())
+    dealt = both.repartitionById(blocks, "_b").sortWithinPartitions("_b", F.col("_skill").asc_nulls_last())
     return dealt.mapInArrow(run, T.StructType([*[rows.schema[c] for c in cols], T.StructField(out, kind)]))

@@ -120,3 +120,12 @@ def test_lists_per_application_are_grouped_in_parts_of_bounded_size(spark, stage
     monkeypatch.setattr(standins, "ROWS", {**standins.ROWS, "orders": 50})
     df = details(stage)
     assert plain(df) == want and most_in_one_part(df) < 120 < len(want)
+
+
+def test_blocks_hold_a_bounded_number_of_rows(spark, stage, monkeypatch):
+    from hirelake.catalog.scoring import score_view, scored
+    from hirelake.operators import similarity
+    want = sorted(map(str, score_view(scored(stage)).collect()))
+    monkeypatch.setattr(similarity, "ROWS", 50)
+    df = scored(stage)
+    assert most_in_one_part(df) < 120 < len(want) and sorted(map(str, score_view(df).collect())) == want

@@ -31,6 +31,7 @@ import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -53,7 +54,9 @@ LETTER, NUMBER, OTHER, BLANK, END = range(5)
 # another blank or the end, another blank before a non-blank, the gap.
 L, N, O, A2, A3, SPACE, INNER, LAST, GAPS = range(9)
 FRESH, IN_L, IN_N, IN_O, AFTER_SPACE, IN_BLANK, ONE_LEFT, TWO_LEFT = range(8)
-WINDOW, STEP, LONG, CACHE = 1 << 20, 128, 200, 300_000
+WINDOW, STEP, LONG, CACHE = 1 << 20, 128, 200, 100_000
+#: Texts encoded at once, so that the ids of a whole batch are not held beside it.
+GROUP = 1024
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -337,14 +340,25 @@ def codec(raw: bytes) -> Codec:
     return held[key]
 
 
+@contextmanager
+def task_codec(raw: bytes) -> Iterator[Codec]:
+    """The worker's codec for one task; merged pieces are forgotten at its end, as the worker goes on with other work."""
+    c = codec(raw)
+    try:
+        yield c
+    finally:
+        c.cache.clear()
+
+
 def encoded(text: Column, raw: bytes) -> Column:
     """struct(ids array<int>, offsets array<int>): offsets are the tokens' first bytes in the text's UTF-8."""
 
     @F.pandas_udf("ids array<int>, offsets array<int>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        c = codec(raw)
-        ids = [np.frombuffer(b, "<u4") for b in c.encode(list(texts))]
-        return pd.DataFrame({"ids": [i.astype(np.int32) for i in ids], "offsets": [c.decode(i)[1].astype(np.int32) for i in ids]})
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with task_codec(raw) as c:
+            for texts in batches:
+                ids = [np.frombuffer(b, "<u4") for b in c.encode(list(texts))]
+                yield pd.DataFrame({"ids": [i.astype(np.int32) for i in ids], "offsets": [c.decode(i)[1].astype(np.int32) for i in ids]})
 
     return of(text)
 
@@ -370,10 +384,13 @@ def round_trip(text: Column, raw: bytes) -> Column:
     """struct(n_tokens, ids_sha256, decoded_sha256): the text encoded, then its ids decoded, as digests."""
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        c = codec(raw)
-        ids = c.encode(list(texts))
-        back = (hashlib.sha256(c.decode(np.frombuffer(b, "<u4"))[0]).hexdigest() for b in ids)
-        return pd.DataFrame({"n_tokens": [len(b) // 4 for b in ids], "ids_sha256": [hashlib.sha256(b).hexdigest() for b in ids], "decoded_sha256": list(back)})
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        with task_codec(raw) as c:
+            for texts in batches:
+                rows = []
+                for at in range(0, len(texts), GROUP):
+                    for b in c.encode(texts.iloc[at:at + GROUP].tolist()):
+                        rows.append((len(b) // 4, hashlib.sha256(b).hexdigest(), hashlib.sha256(c.decode(np.frombuffer(b, "<u4"))[0]).hexdigest()))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return of(text)

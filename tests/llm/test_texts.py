@@ -231,3 +231,11 @@ def test_block_tables_find_all_within_the_radius(spark, radius):
 
 def test_shared_folder_is_used(spark):
     assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_codec_keeps_no_pieces_of_a_task():
+    raw = byte_bpe.read_ranks(VOCABULARY)
+    with byte_bpe.task_codec(raw) as c:
+        c.encode(["a few words that the codec has to merge"])
+        assert c.cache
+    assert not byte_bpe.codec(raw).cache and c is byte_bpe.codec(raw)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,13 +54,23 @@ class Weights:
         return dict(zip(SOURCES, (self.tier_work, self.tier_projects, self.tier_mention)))
 
 
-def _rank_of(source: Column) -> Column:
-    expr = F.when(source == SOURCES[0], F.lit(0).cast("bigint"))
-    for i, name in enumerate(SOURCES[1:], 1):
+def _place_in(source: Column, names: tuple[str, ...] | list[str]) -> Column:
+    expr = F.when(source == names[0], F.lit(0).cast("bigint"))
+    for i, name in enumerate(names[1:], 1):
         expr = expr.when(source == name, i)
     return expr
 
 
+def _ranking(w: Weights) -> list[str]:
+    return sorted(SOURCES, key=lambda s: -w.tiers()[s])  # stable: earlier source first on equal weight
+
+
+def _tier_of(order: Column, w: Weights) -> tuple[Column, Column]:
+    """Weight and source of a place in the ranking."""
+    best = lambda values: F.get(F.array(*[F.lit(v) for v in values]), order)
+    return best([w.tiers()[s] for s in _ranking(w)]), best(_ranking(w))
+
+
 def best_tier(skills: DataFrame, w: Weights = Weights(), alias: DataFrame | None = None) -> DataFrame:
     """(resume_id, skill) -> best tier weight, its source, and place in the index.
 
@@ -70,16 +80,13 @@ def best_tier(skills: DataFrame, w: Weights = Weights(), alias: DataFrame | None
     the map side.
     """
     rows = normalize_skill(skills.where(F.trim("skill") != ""), "skill", alias)
-    rank = _rank_of(F.col("source"))
-    tiers = w.tiers()
-    ranking = sorted(SOURCES, key=lambda s: -tiers[s])  # stable: earlier source first on equal weight
-    order = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(ranking) for x in (s, i)]), F.col("source"))
-    best = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_o"))
+    rank = _place_in(F.col("source"), SOURCES)
+    weight, source = _tier_of(F.col("_o"), w)
     return (
         rows.where(rank.isNotNull())
         .groupBy("resume_id", "skill")
-        .agg(F.min(order).alias("_o"), F.min(rank * PLACES + F.col("pos")).alias("place"))
-        .select("resume_id", "skill", best([tiers[s] for s in ranking]).alias("weight"), best(ranking).alias("source"), "place")
+        .agg(F.min(_place_in(F.col("source"), _ranking(w))).alias("_o"), F.min(rank * PLACES + F.col("pos")).alias("place"))
+        .select("resume_id", "skill", weight.alias("weight"), source.alias("source"), "place")
     )
 
 
@@ -89,8 +96,15 @@ def flat_tier(skills: DataFrame, w: Weights = Weights(), alias: DataFrame | None
     return best_tier(rows, w, alias)
 
 
-def tier_fallback(skills: DataFrame, flat: DataFrame, w: Weights = Weights(), alias: DataFrame | None = None) -> DataFrame:
-    """Per-source index where any source list has an entry, else the flat list; ``basis`` says which."""
+def tier_fallback(skills: DataFrame, flat: DataFrame | Column, w: Weights = Weights(), alias: DataFrame | None = None) -> DataFrame:
+    """Per-source index where any source list has an entry, else the flat list; ``basis`` says which.
+
+    ``flat`` is a frame, or a condition: the flat lists are then the rows of
+    ``skills`` where it holds, and both indexes are made in one pass over them,
+    grouped by resume throughout.
+    """
+    if isinstance(flat, Column):
+        return _fallback_in_place(skills, flat, w, alias)
     has_source = skills.where(F.col("source").isin(*SOURCES)).select("resume_id").distinct()
     return (
         best_tier(skills, w, alias).withColumn("basis", F.lit("by_source"))
@@ -99,6 +113,26 @@ def tier_fallback(skills: DataFrame, flat: DataFrame, w: Weights = Weights(), al
     )
 
 
+def _fallback_in_place(skills: DataFrame, flat: Column, w: Weights, alias: DataFrame | None) -> DataFrame:
+    mention = SOURCES[2]
+    rank, listed = _place_in(F.col("source"), SOURCES), F.coalesce(flat, F.lit(False))
+    # a blank skill is none, but its source counts as present
+    rows = skills.select("resume_id", "source", "pos", listed.alias("_flat"), F.when(F.trim("skill") != "", F.col("skill")).alias("skill"))
+    rows = normalize_skill(rows.where(rank.isNotNull() | F.col("_flat")), "skill", alias)
+    seen = rows.groupBy("resume_id", "skill").agg(
+        F.min(_place_in(F.col("source"), _ranking(w))).alias("_o"), F.min(rank * PLACES + F.col("pos")).alias("_place"),
+        F.max("_flat").alias("_flat"), F.min(F.when(F.col("_flat"), SOURCES.index(mention) * PLACES + F.col("pos"))).alias("_flat_place"))
+    # rows without a resume have no lists to compare and stay in both indexes
+    has_source = F.col("resume_id").isNotNull() & F.max(F.col("_o").isNotNull()).over(Window.partitionBy("resume_id"))
+    seen = seen.withColumn("_flat", F.col("_flat") & ~has_source).where(F.col("skill").isNotNull() & (F.col("_o").isNotNull() | F.col("_flat")))
+    seen = seen.withColumn("_by", F.explode(F.when(F.col("_flat") & F.col("_o").isNotNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array(~F.col("_flat")))))
+    weight, source = _tier_of(F.col("_o"), w)
+    either = lambda a, b: F.when(F.col("_by"), a).otherwise(b)
+    return seen.select(
+        "resume_id", "skill", either(weight, F.lit(w.tiers()[mention])).alias("weight"), either(source, F.lit(mention)).alias("source"),
+        either(F.col("_place"), F.col("_flat_place")).alias("place"), either(F.lit("by_source"), F.lit("flat_fallback")).alias("basis"))
+
+
 def clean_jd(jd: DataFrame, alias: DataFrame | None = None) -> DataFrame:
     """(job_id, jd_skill, pos): normalised, blanks dropped, first sighting kept."""
     rows = normalize_skill(jd.where(F.trim("skill") != ""), "skill", alias, "jd_skill")
@@ -140,7 +174,7 @@ def _credits(cells: Cells, w: Weights) -> np.ndarray:
 
 
 CANDIDATES = "array<array<struct<e:double,k:int,c:double,sim:double>>>"
-FOUND = "array<struct<mine:int,e1:double,e2:double,shown:int,sim:double,c:double>>"
+FOUND = "array<struct<mine:int,e1:double,e2:double,shown:int,sim:double,c:double,u:double,proven:boolean>>"
 
 
 def _struct(names: str, *arrays: np.ndarray) -> pa.StructArray:
@@ -167,7 +201,8 @@ def with_candidates(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, vector
 
 
 def with_found(df: DataFrame, vectors: DataFrame, w: Weights) -> DataFrame:
-    """Add ``found``: per JD skill its own entry of weight 1, the two strongest evidences, and the match to show with similarity and credit.
+    """Add ``found``: per JD skill its own entry of weight 1, the two strongest evidences, the match to show with similarity and credit,
+    the top-2 evidence ``u``, and whether it is proven.
 
     Entries are places in ``rs``, -1 for none.  The match to show has a credit of one half at least; a proven one comes first.
     """
@@ -184,30 +219,31 @@ def with_found(df: DataFrame, vectors: DataFrame, w: Weights) -> DataFrame:
         e1[x.group[at[first]]] = e[at[first]]
         second = np.setdiff1d(first + 1, np.r_[first, len(at)])
         e2[x.group[at[second]]] = e[at[second]]
-        at, first = x.firsts(x.same & (weight[x.own] >= 1.0), x.k)
-        mine[x.group[at[first]]] = x.k[at[first]]
+        at_own, first_own = x.firsts(x.same & (weight[x.own] >= 1.0), x.k)
+        mine[x.group[at_own[first_own]]] = x.k[at_own[first_own]]
         at, first = x.firsts(c >= MATCHED_CREDIT, ~proven[x.own], -e, x.k)
         best = at[first]
         shown[x.group[best]], sim[x.group[best]], credit[x.group[best]] = x.k[best], x.sim[best], c[best]
-        return pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), _struct("mine e1 e2 shown sim c", mine, e1, e2, shown, sim, credit))
+        # an own entry of full weight settles the skill; otherwise the match to show is a proven one wherever there is any
+        settled, sure = mine >= 0, np.zeros(n, bool)
+        sure[x.group[best]] = proven[x.own[best]]
+        own = at_own[first_own]
+        sure[x.group[own]] = proven[x.own[own]]
+        u = np.where(settled, 1.0, np.minimum(1.0, e1 + w.support_rho * (1 - e1) * e2))
+        return pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), _struct("mine e1 e2 shown sim c u proven", mine, e1, e2, shown, sim, credit, u, sure))
 
     return map_blocks(df, "application_id", "jd", "rs", vectors, judge, "found", T.DataType.fromDDL(FOUND))
 
 
-def with_evidence(df: DataFrame, w: Weights) -> DataFrame:
+def with_evidence(df: DataFrame) -> DataFrame:
     """Add ``per_skill``: top-2 evidence ``u``, proven flag and the match to show, per JD skill."""
 
-    def proven(source: Column) -> Column:
-        return source.isin(*PROVEN_SOURCES)
-
     def told(j: Column, v: Column) -> Column:
         entry = lambda k: F.when(v[k] >= 0, F.get(F.col("rs"), v[k]))
         mine, shown, settled, seen = entry("mine"), entry("shown"), v["mine"] >= 0, v["shown"] >= 0
         return F.struct(
             j.alias("jd_skill"),
-            F.when(settled, 1.0).otherwise(F.least(F.lit(1.0), v["e1"] + w.support_rho * (1 - v["e1"]) * v["e2"])).alias("u"),
-            # the match to show is a proven one wherever there is any
-            F.when(settled, proven(mine["source"])).otherwise(F.coalesce(proven(shown["source"]), F.lit(False))).alias("proven"),
+            v["u"].alias("u"), v["proven"].alias("proven"),
             F.when(settled, j).otherwise(shown["skill"]).alias("resume_skill"),
             F.when(settled, 1.0).when(seen, v["sim"]).alias("similarity"),
             F.when(settled, 1.0).when(seen, v["c"]).alias("credit"),
@@ -216,7 +252,7 @@ def with_evidence(df: DataFrame, w: Weights) -> DataFrame:
             v["e1"].alias("e1"), v["e2"].alias("e2"),
         )
 
-    return df.withColumn("per_skill", F.transform("jd", lambda j, i: told(j, F.get(F.col("found"), i)))).drop("found")
+    return df.withColumn("per_skill", F.transform("jd", lambda j, i: told(j, F.get(F.col("found"), i))))
 
 
 def _mean(arr: str, field: str) -> Column:
@@ -224,16 +260,16 @@ def _mean(arr: str, field: str) -> Column:
 
 
 def with_skills_score(df: DataFrame, w: Weights) -> DataFrame:
-    """Add coverage, proof_rate, balance and skills_score; all null when the job lists no skills."""
+    """Add coverage, proof_rate, balance and skills_score; all null when the job lists no skills.  Reads ``found`` only, not the explanation."""
     eps = max(w.balance_eps, 1e-6)
     floor = eps / (1 + eps)
-    logs = F.aggregate("per_skill", F.lit(0.0), lambda s, x: s + F.ln((x["u"] + eps) / (1 + eps)))
+    logs = F.aggregate("found", F.lit(0.0), lambda s, x: s + F.ln((x["u"] + eps) / (1 + eps)))
     bc, bp, bb = (max(0.0, x) for x in (w.blend_coverage, w.blend_proof, w.blend_balance))
     total = bc + bp + bb
     some = F.size("jd") > 0
     df = df.withColumns({
-        "coverage": F.when(some, _mean("per_skill", "u")),
-        "proof_rate": F.when(some, _mean("per_skill", "proven")),
+        "coverage": F.when(some, _mean("found", "u")),
+        "proof_rate": F.when(some, _mean("found", "proven")),
         "balance": F.when(some, F.greatest(F.lit(0.0), (F.exp(logs / F.size("jd")) - floor) / (1 - floor))),
     })
     blend = F.col("coverage") if total <= 0 else (
@@ -247,6 +283,8 @@ def score_applications(
 ) -> DataFrame:
     """Score every application; the parts are unrounded, the explanation per skill has three decimals.
 
+    ``n_matched`` and ``n_missing`` are the lengths of ``matched`` and ``missing``, for callers that store no explanation.
+
     ``apps(application_id, job_id, resume_id)``, ``jd`` from :func:`clean_jd`,
     ``index`` from :func:`best_tier` or :func:`tier_fallback`,
     ``resumes(resume_id, experience_months)``, ``jobs(job_id, min_experience_months)``.
@@ -256,7 +294,7 @@ def score_applications(
         jobs.select("job_id", "min_experience_months").join(job_arrays(jd), "job_id", "left"),
         resumes.select("resume_id", "experience_months").join(resume_arrays(index), "resume_id", "left"),
     )
-    df = with_skills_score(with_evidence(with_found(df, vectors, w), w), w)
+    df = with_evidence(with_skills_score(with_found(df, vectors, w), w))
     ws, we = max(0.0, w.skills), max(0.0, w.experience)
     df = df.withColumn("experience_score", experience_score(F.col("experience_months"), w.experience_scale_months))
     usable = F.col("skills_score").isNotNull() if ws + we > 0 else F.lit(False)
@@ -265,6 +303,7 @@ def score_applications(
         if ws + we > 0 else F.create_map().cast("map<string,double>")
     meets = F.when(F.col("min_experience_months") > 0, F.col("experience_months") >= F.col("min_experience_months"))
 
+    n_matched = F.size(F.filter("found", lambda v: (v["mine"] >= 0) | (v["shown"] >= 0)))
     r3 = lambda c: F.round(c, 3)
 
     def explain(x: Column) -> Column:
@@ -286,7 +325,7 @@ def score_applications(
         F.when(usable, used).otherwise(F.create_map().cast("map<string,double>")).alias("weights_used"),
         F.lit(w.experience_scale_months).alias("experience_scale_months"),
         F.when(F.size("jd") == 0, "by_source").otherwise(F.coalesce("skills_basis", F.lit("flat_fallback"))).alias("skills_basis"),
-        "per_skill",
+        "per_skill", n_matched.alias("n_matched"), (F.size("found") - n_matched).alias("n_missing"),
     )
 
 

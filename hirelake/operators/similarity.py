@@ -103,7 +103,7 @@ def map_blocks(rows: DataFrame, key: str, wanted: str, own: str, vectors: DataFr
     rows = written(rows, "blocks")
     blocks = blocks or parts(rows, ROWS)
     rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    skills = rows.select("_b", F.explode(F.array_distinct(F.concat(wanted, F.col(own)["skill"]))).alias("skill")).where("skill IS NOT NULL").distinct()
+    skills = rows.select("_b", F.explode(F.concat(wanted, F.col(own)["skill"])).alias("skill")).where("skill IS NOT NULL").distinct()
     sent = skills.join(vectors.select("skill", "embedding"), "skill")
     first = sent.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in cols], "_b", F.col("skill").alias("_skill"), F.col("embedding").alias("_vec"))
     both = first.unionByName(rows.withColumns({"_skill": F.lit(None).cast("string"), "_vec": F.lit(None).cast(first.schema["_vec"].dataType)}))

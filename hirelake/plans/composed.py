@@ -17,20 +17,19 @@ from ..operators.skew import written
 
 
 def score_and_rank(apps: DataFrame, jobs: DataFrame, resumes: DataFrame, users: DataFrame, jd: DataFrame, skills: DataFrame,
-                   vectors: DataFrame, weights: scoring.Weights = scoring.Weights(), alias: DataFrame | None = None, flat: DataFrame | None = None) -> DataFrame:
+                   vectors: DataFrame, weights: scoring.Weights = scoring.Weights(), alias: DataFrame | None = None, flat: DataFrame | Column | None = None) -> DataFrame:
     """Route, score and rank all applications; those not ready keep a null score and rank last.
 
     ``alias`` maps the skills of both sides to canonical names; ``flat`` holds the
-    lists used for resumes without any list by source.  Ranking uses the stored
-    score, which has one decimal.
+    lists used for resumes without any list by source, or says which rows of
+    ``skills`` they are.  Ranking uses the stored score, which has one decimal.
     """
     clean = scoring.clean_jd(jd, alias)
     index = scoring.best_tier(skills, weights, alias) if flat is None else scoring.tier_fallback(skills, flat, weights, alias)
-    route = scoring.match_readiness(apps, resumes, jobs, clean)
+    route = written(scoring.match_readiness(apps, resumes, jobs, clean), "routes")  # read twice, to score and beside the scores
     ready = route.where("route = 'score'").select("application_id", "job_id", "resume_id")
     scored = scoring.score_applications(ready, clean, index, vectors, resumes, jobs, weights)
-    stored = scored.select("application_id", F.round("score", 1).alias("score"), "skills_score", "experience_score",
-                           F.size("matched").alias("n_matched"), F.size("missing").alias("n_missing"))
+    stored = scored.select("application_id", F.round("score", 1).alias("score"), "skills_score", "experience_score", "n_matched", "n_missing")
     stored = written(stored, "scores")  # ranking deals rows by ranges, which would run the scorer once more to sample it
     people = listing.display_identity(listing.with_people(apps, users, resumes)).select("application_id", "job_id", "applied_at", "sort_name")
     df = people.join(route.select("application_id", "route", "reason"), "application_id").join(stored, "application_id", "left")

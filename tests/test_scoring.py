@@ -126,3 +126,47 @@ def test_blocks_send_each_vector_once_and_match_pairwise_cosines(spark, monkeypa
 def test_no_vector_column_in_the_application_row(spark, stage):
     lists = sc.with_lists(stage.applications.select("application_id", "job_id", "resume_id"), sc.job_arrays(sc.clean_jd(stage.jd_skills)), sc.resume_arrays(sc.best_tier(stage.resume_skills)))
     assert "float" not in lists.schema.simpleString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("aliased", [False, True])
+def test_index_in_one_pass_equals_two_frames(spark, aliased):
+    """Blank and null skills, unknown sources, rows that come twice, rows without a resume, and resumes whose only listed skill is blank."""
+    rows = [(1, "projects", "s1", 4), (1, "work_experience", "S1 ", 7), (1, "skills_section", "s2", 1), (1, None, "s3", 0), (2, None, "s1", 3), (2, None, " s1", 2),
+            (2, "hobby", "s4", 5), (3, "projects", " ", 1), (3, None, "s1", 2), (4, "projects", None, 1), (4, None, "s2", 2), (None, "work_experience", "s1", 1),
+            (None, None, "s5", 2), (5, "projects", "s1", None), (6, None, "s-6", None), (7, None, "", 1), (8, "skills_section", "s-6", 1), (8, "skills_section", "s 6", 0)]
+    skills = spark.createDataFrame(rows + rows[:3], "resume_id long, source string, skill string, pos long")
+    alias = spark.createDataFrame([("s-6", "s 6"), ("s4", "s1")], "alias string, canonical string") if aliased else None
+    w = sc.Weights(tier_projects=1.0)
+    for flat in (F.lit(True), F.col("pos") > 1):
+        got = sc.tier_fallback(skills, flat, w, alias)
+        want = sc.tier_fallback(skills, skills.where(flat).select("resume_id", "skill", "pos"), w, alias)
+        assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_index_reads_the_skills_once(spark, stage):
+    """Three joins of lineitem with part before: lists by source, flat lists, and the resumes that have the former."""
+    from hirelake.catalog import all_queries
+    assert _plan(all_queries()["tier_fallback"](spark, stage.sf_dir)).count("Relation [l_orderkey") == 1
+
+
+def test_score_and_rank_reads_skills_and_routes_once_and_makes_no_explanation(spark, stage, monkeypatch):
+    from hirelake.catalog import all_queries
+    from hirelake.operators import similarity
+    from hirelake.plans import composed
+    plans = {}
+    for module in (composed, similarity):
+        monkeypatch.setattr(module, "written", lambda df, purpose, real=module.written: (plans.setdefault(purpose, _plan(df)), real(df, purpose))[1])
+    all_queries()["score_and_rank"](spark, stage.sf_dir)
+    assert plans["blocks"].count("Relation [l_orderkey") == 1 and "extraction_status" not in plans["blocks"]
+    assert list(plans) == ["routes", "blocks", "scores"] and "tier_weight" not in plans["scores"]
+
+
+def test_counts_are_the_lengths_of_the_explanation(stage):
+    from hirelake.catalog.scoring import scored
+    r = scored(stage).agg(
+        F.count_if((F.col("n_matched") != F.size("matched")) | (F.col("n_missing") != F.size("missing"))).alias("bad"), F.sum("n_matched").alias("n")).first()
+    assert r.bad == 0 and r.n > 0

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skills import normalize_ws
 from ..functions.text import let
+from .skew import written
 
 # The source keys in their order.
 SOURCE_KEYS = ("skills_section", "work_experience", "projects")
@@ -22,9 +23,12 @@ def tag_skills(docs: DataFrame, key: list[str], text: str, lexicon: DataFrame) -
     A word of the text goes on only where a term begins with it, and then only
     runs of the lengths of such terms are made and matched by equality.  While
     Spark broadcasts the first words and the terms, only matches are shuffled.
-    ``lexicon(alias, canonical)``.
+    ``lexicon(alias, canonical)`` is written once, so Spark goes by its own size
+    and not by that of the tables it comes from.
     """
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}+#]+(?:[.-][\p{L}\p{N}+#]+)*)"), F.lit(1))
+    lexicon = written(lexicon.select("alias", "canonical"), "lexicon")
+    # possessive: a plain repeated group takes stack for each part of a dotted word
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}+#]++(?:[.-][\p{L}\p{N}+#]++)*+)"), F.lit(1))
     words = F.split("alias", " ")
     longest = lexicon.agg(F.coalesce(F.max(F.size(words)), F.lit(1))).scalar()
     firsts = lexicon.groupBy(F.get(words, F.lit(0)).alias("_first")).agg(F.collect_set(F.size(words)).alias("_sizes"))
@@ -35,7 +39,7 @@ def tag_skills(docs: DataFrame, key: list[str], text: str, lexicon: DataFrame) -
     runs = runs.select(*key, F.array_join(F.slice("_window", F.lit(1), F.col("_n")), " ").alias("alias"),
                        (F.col("_at").cast("bigint") * (F.col("_longest") + 1) + F.col("_n")).alias("pos"))
     return (
-        runs.join(lexicon.select("alias", "canonical"), "alias")
+        runs.join(lexicon, "alias")
         .groupBy(*key, F.col("canonical").alias("skill")).agg(F.min("pos").alias("pos"))
     )
 

@@ -243,6 +243,39 @@ def test_tagging_shuffles_only_runs_that_may_match(spark):
     assert {(r.skill, r.pos) for r in out.collect()} == {("red", 7), ("red widget", 8), ("c++", 22)}
 
 
+def test_long_lines_and_long_words_take_no_stack(spark):
+    """Lines of 20,000 title-case words and words of 20,000 dotted parts filled the stack of a task, which ends its executor."""
+    from hirelake.plans.composed import extract_resume_skills
+    titles, dotted = "Von " * 20_000, "a." * 20_000 + "a-" * 20_000
+    lines = [(titles, True), ("1 Ab. \u00c9 " * 9_000 + "!\n", True), (titles + "von", False), (titles + "VoN", False), ("", False), ("12", False)]
+    df = spark.createDataFrame(lines, "x string, want boolean").repartition(2)
+    assert df.where(sec.is_title(F.col("x")) != F.col("want")).count() == 0
+    lex = spark.createDataFrame([(x, x) for x in ("python", "red widget")], "alias string, canonical string")
+    docs = spark.createDataFrame([(1, f"{dotted}a red widget")], "doc_id long, text string").repartition(2)
+    assert [tuple(r) for r in ex.tag_skills(docs, ["doc_id"], "text", lex).collect()] == [(1, "red widget", 5)]
+    resume = f"Jane\n{titles}\nSkills\nPython, red widget\n{dotted}a\nWork Experience\nJan 2020 - Jan 2022 Acme\n{titles}\n- Python and {dotted}a"
+    r = extract_resume_skills(spark.createDataFrame([(1, resume)], "doc_id long, text string").repartition(2), lex, F.lit(TODAY)).first()
+    assert r.experience_months == 24 and {k: set(v) for k, v in r.skills_by_source.items()} == {
+        "skills_section": {"python", "red widget"}, "work_experience": {"python"}, "projects": set()}
+
+
+def test_tagging_goes_by_the_size_of_the_lexicon(spark, tmp_path):
+    """A few terms out of a table above the broadcast threshold: the words of the texts stay where they are."""
+    spark.range(60_000).selectExpr("id", "uuid() AS x", "concat('red ', id % 5) AS name").write.parquet(str(tmp_path / "part"))
+    lex = spark.read.parquet(str(tmp_path / "part")).select(F.col("name").alias("alias"), F.col("name").alias("canonical")).distinct()
+    docs = spark.createDataFrame([(k, f"a red {k} and a red 9") for k in range(8)], "doc_id int, text string")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "40k")
+        out = ex.tag_skills(docs, ["doc_id"], "text", lex)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        assert sorted(map(tuple, out.collect())) == [(k, f"red {k}", 5) for k in range(5)]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_ranges_cost_one_row_each_and_hot_people_are_bounded(spark):
     """A third of a million ranges of one person, long ones among them, against months counted one by one."""
     import random
